@@ -31,13 +31,14 @@ def ranked_counts(counts: DataFrame, key: list[str], value: str, weights: list[s
     return prefix_sums(placed, key, ["_c0", "_c1", value], weights).drop("_lo", "_hi", "_c0", "_c1")
 
 
-def exact_quantiles(long: DataFrame, key: list[str], value: str, probs: list[Column]) -> DataFrame:
+def exact_quantiles(
+    counts: DataFrame, key: list[str], value: str, probs: list[Column]
+) -> DataFrame:
     """Linear-interpolated quantiles per key as an array, one entry per element
     of ``probs``; these may use the key's ``total`` and ``distinct`` counts.
 
-    Equal values are counted before any shuffle by rank.
+    ``counts`` holds each (key, value) once with its row count ``n``.
     """
-    counts = long.groupBy(*key, value).agg(F.count(F.lit(1)).alias("n"))
     ranked = ranked_counts(counts, key, value, ["n"])
     totals = counts.groupBy(*key).agg(
         F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")
@@ -52,7 +53,7 @@ def exact_quantiles(long: DataFrame, key: list[str], value: str, probs: list[Col
         position = p * (F.col("total") - 1)
         for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             picks.append(F.max(F.when(holds(rank), F.col(value))).alias(f"{side}{i}"))
-        picks.append(F.first(position - F.floor(position)).alias(f"frac{i}"))
+        picks.append(F.max(position - F.floor(position)).alias(f"frac{i}"))
     at = ranked.join(F.broadcast(totals), key).groupBy(*key).agg(*picks)
     return at.select(
         *key,

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from bedside.functions.hashing import hash_uniform
 from bedside.functions.mixture import decay_factor
 from bedside.operators.blocks import (
-    BLOCK, block_of, block_window, in_blocks, number_rows, own_rows, patient_blocks,
-    with_last_observed,
+    BLOCK, block_of, block_window, in_blocks, own_rows, patient_blocks, with_last_observed,
 )
+from bedside.operators.ranking import ranked_counts
 from bedside.operators.tabular import one_row
 
 
@@ -214,14 +214,16 @@ def pack_sequences(
     Batches take patients in id order; inside a batch ``position`` goes by
     falling length. A matrix longer than ``part_rows`` is stored as several
     parts, so no cell holds a whole long patient. Patients are numbered through
-    blocks of a thousand ids, not by one global sort.
+    cells of the id range, not by one global sort.
     """
-    lengths = sequences.groupBy("pid").agg(
-        F.count(F.lit(1)).alias("length")
+    lengths = sequences.groupBy("pid").agg(F.count(F.lit(1)).alias("length")).withColumns(
+        {"n": F.lit(1), "_all": F.lit(1)}
+    )
+    numbered = (
+        ranked_counts(lengths, ["_all"], "pid", ["n"])
+        .withColumn("batch_id", F.floor(F.col("before_n") / batch).cast("int"))
+        .drop("_all", "n", "before_n")
     )
-    numbered = number_rows(
-        lengths, [], ["pid"], [F.floor(F.col("pid") / 1_000_000), F.floor(F.col("pid") / 1000)], "rank"
-    ).withColumn("batch_id", F.floor(F.col("rank") / batch).cast("int"))
     in_batch = Window.partitionBy("batch_id")
     falling = in_batch.orderBy(F.desc("length"), "pid")
     placed = numbered.withColumns(
@@ -229,7 +231,7 @@ def pack_sequences(
             "position": F.row_number().over(falling) - 1,
             "padded": F.max("length").over(in_batch),
         }
-    ).drop("rank")
+    )
     last_part = F.floor((F.col("padded") - 1) / part_rows).cast("int")
     slots = placed.withColumn("part", F.explode(F.sequence(F.lit(0), last_part)))
     row = F.array(*[F.col(c).cast("float") for c in columns])
