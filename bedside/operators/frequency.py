@@ -168,9 +168,10 @@ def min_sample_guard(chart: DataFrame, features: list[str], bins: int = 5) -> Da
     return per_class.groupBy("feature").agg(
         F.sum("n").alias("present"),
         F.count(F.when(F.col("n") > 0, 1)).alias("classes"),
-    ).withColumn(
-        "status",
-        F.when(F.col("present") < 2 * bins, "too few rows")
-        .when(F.col("classes") < 2, "one class")
-        .otherwise("ok"),
+    ).withColumn("status", guard_status(F.col("present"), F.col("classes"), bins))
+
+
+def guard_status(present: Column, classes: Column, bins: int) -> Column:
+    return (
+        F.when(present < 2 * bins, "too few rows").when(classes < 2, "one class").otherwise("ok")
     )

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from bedside.operators.frequency import min_sample_guard, unpivot
+from bedside.operators.frequency import guard_status, unpivot
 from bedside.operators.ranking import exact_quantiles
 
 
@@ -26,12 +26,13 @@ def distinct_counts(chart: DataFrame, features: list[str]) -> DataFrame:
     classes = counted.select("feature", "y").distinct().groupBy("feature").agg(
         F.count(F.lit(1)).alias("classes")
     )
-    names = counted.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    return (
-        names.join(F.broadcast(values), "feature", "left")
-        .join(F.broadcast(classes), "feature", "left")
-        .fillna(0)
-    )
+    return all_features(values.join(F.broadcast(classes), "feature"), features)
+
+
+def all_features(per_feature: DataFrame, features: list[str]) -> DataFrame:
+    """One row per listed feature, counts 0 for a feature that never occurs."""
+    names = per_feature.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return names.join(F.broadcast(per_feature), "feature", "left").fillna(0)
 
 
 def inner_edges(edges: Column) -> Column:
@@ -77,22 +78,24 @@ def mutual_information(chart: DataFrame, features: list[str], bins: int = 5) ->
         .agg(F.sum("n").alias("n"))
     )
     # At most bins x classes rows per feature from here on.
-    by = Window.partitionBy
+    whole = Window.partitionBy("feature")
     joint = table.withColumns(
         {
-            "total": F.sum("n").over(by("feature")),
-            "n_bin": F.sum("n").over(by("feature", "bin")),
-            "n_y": F.sum("n").over(by("feature", "y")),
+            "total": F.sum("n").over(whole),
+            "n_bin": F.sum("n").over(Window.partitionBy("feature", "bin")),
+            "n_y": F.sum("n").over(Window.partitionBy("feature", "y")),
         }
     )
     share = F.col("n") / F.col("total")
     ratio = F.col("n").cast("double") * F.col("total") / (F.col("n_bin").cast("double") * F.col("n_y"))
     scored = joint.groupBy("feature").agg(
-        F.greatest(F.sum(share * F.ln(ratio)), F.lit(0.0)).alias("score")
+        F.greatest(F.sum(share * F.ln(ratio)), F.lit(0.0)).alias("score"),
+        F.sum("n").alias("present"),
+        F.size(F.collect_set("y")).alias("classes"),
     )
-    guard = min_sample_guard(chart, features, bins)
-    return guard.join(F.broadcast(scored), "feature", "left").select(
-        "feature", F.when(F.col("status") == "ok", F.col("score")).alias("mi"), "status"
+    status = guard_status(F.col("present"), F.col("classes"), bins)
+    return all_features(scored, features).select(
+        "feature", F.when(status == "ok", F.col("score")).alias("mi"), status.alias("status")
     )
 
 

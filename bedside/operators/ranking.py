@@ -6,29 +6,60 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.operators.blocks import prefix_sums
 
-# Branching of the two levels that subdivide a value range.
-_FINE = 65536.0
+# Cells a value range is cut into.
+CELLS = 65536.0
+
+
+def place_in_cells(counts: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Add ``_cell``, which never decreases with the value.
+
+    Cells are finest around a middle value and widen with the fourth root of
+    the distance from it, so a far outlier does not squeeze all other values
+    into one cell. Only correctly rounded, hence monotone, arithmetic is used,
+    and the middle is an integer average, the same in any order of summing.
+    Keys are few (features, models or classes), so their ranges are broadcast.
+    """
+    root = F.signum(value) * F.least(F.sqrt(F.sqrt(F.abs(F.col(value)))), F.lit(1e4))
+    middle = F.sum(F.round(root * 1000).cast("long")) / F.count(F.lit(1)) / 1000.0
+    ranges = counts.groupBy(*key).agg(
+        middle.alias("_root"), (F.max(value) - F.min(value)).alias("_width")
+    )
+    squared = F.col("_root") * F.col("_root")
+    away = F.col(value) - F.signum("_root") * squared * squared
+    # The middle may lie outside the values; clamp instead of growing cells.
+    spread = F.least(F.sqrt(F.sqrt(F.abs(away) / F.col("_width"))), F.lit(1.0))
+    cell = F.when(F.col("_width") > 0, F.floor(F.signum(away) * spread * (CELLS / 2))).otherwise(0)
+    return (
+        counts.join(F.broadcast(ranges), key)
+        .withColumn("_cell", cell.cast("int"))
+        .drop("_root", "_width")
+    )
+
+
+def cell_starts(placed: DataFrame, key: list[str], weights: list[str]) -> DataFrame:
+    """(key, _cell, <w>, before_<w>): at most 65536 rows per key."""
+    sums = placed.groupBy(*key, "_cell").agg(
+        *[F.sum(w).alias(w) for w in weights], F.count(F.lit(1)).alias("_values")
+    )
+    return prefix_sums(sums, key, ["_cell"], weights)
 
 
 def ranked_counts(counts: DataFrame, key: list[str], value: str, weights: list[str]) -> DataFrame:
     """Add ``before_<w>``: the sum of each weight over smaller values of the key.
 
     ``counts`` has one row per (key, value), so repeated values are already
-    collapsed. A value range is cut into 65536 cells and each cell again, so
-    outliers do not push all values into one window. Keys are few
-    (features, models or classes), so their ranges are broadcast.
+    collapsed; only the values of one cell are sorted together.
     """
-    ranges = counts.groupBy(*key).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = F.when(
-        F.col("_hi") > F.col("_lo"), (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    ).otherwise(0.0)
-    placed = counts.join(F.broadcast(ranges), key).withColumns(
-        {
-            "_c0": F.floor(share * _FINE),
-            "_c1": F.floor(share * _FINE * _FINE),
-        }
+    placed = place_in_cells(counts, key, value)
+    starts = cell_starts(placed, key, weights).select(
+        *key, "_cell", *[F.col(f"before_{w}").alias(f"_start_{w}") for w in weights]
+    )
+    inside = prefix_sums(placed, [*key, "_cell"], [value], weights)
+    return (
+        inside.join(starts, [*key, "_cell"])
+        .withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"_start_{w}") for w in weights})
+        .drop("_cell", *[f"_start_{w}" for w in weights])
     )
-    return prefix_sums(placed, key, ["_c0", "_c1", value], weights).drop("_lo", "_hi", "_c0", "_c1")
 
 
 def exact_quantiles(
@@ -37,25 +68,36 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key as an array, one entry per element
     of ``probs``; these may use the key's ``total`` and ``distinct`` counts.
 
-    ``counts`` holds each (key, value) once with its row count ``n``.
+    ``counts`` holds each (key, value) once with its row count ``n``. Ranks are
+    located among the cells first; only values of cells that hold a wanted rank
+    are sorted. That cell list (two per probability and key) is broadcast.
     """
-    ranked = ranked_counts(counts, key, value, ["n"])
-    totals = counts.groupBy(*key).agg(
-        F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")
+    placed = place_in_cells(counts, key, value)
+    whole = Window.partitionBy(*key)
+    starts = cell_starts(placed, key, ["n"]).withColumns(
+        {"total": F.sum("n").over(whole), "distinct": F.sum("_values").over(whole)}
+    )
+    wanted = [p * (F.col("total") - 1) for p in probs]
+    ranks = F.array(*[side(w) for w in wanted for side in (F.floor, F.ceil)])
+    end = F.col("before_n") + F.col("n")
+    hit = starts.filter(
+        F.exists(ranks, lambda r: (r >= F.col("before_n")) & (r < end))
+    ).select(*key, "_cell", F.col("before_n").alias("_start"), "total", "distinct")
+    near = prefix_sums(
+        placed.join(F.broadcast(hit), [*key, "_cell"]), [*key, "_cell"], [value], ["n"]
     )
-    first, past = F.col("before_n"), F.col("before_n") + F.col("n")
+    first = F.col("before_n") + F.col("_start")
 
-    def holds(position: Column) -> Column:
-        return (position >= first) & (position < past)
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= first) & (rank < first + F.col("n")), F.col(value)))
 
     picks = []
-    for i, p in enumerate(probs):
-        position = p * (F.col("total") - 1)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            picks.append(F.max(F.when(holds(rank), F.col(value))).alias(f"{side}{i}"))
-        picks.append(F.max(position - F.floor(position)).alias(f"frac{i}"))
-    at = ranked.join(F.broadcast(totals), key).groupBy(*key).agg(*picks)
-    return at.select(
+    for i, w in enumerate(wanted):
+        picks += [
+            at(F.floor(w)).alias(f"lo{i}"), at(F.ceil(w)).alias(f"hi{i}"),
+            F.max(w - F.floor(w)).alias(f"frac{i}"),
+        ]
+    return near.groupBy(*key).agg(*picks).select(
         *key,
         F.array(
             *[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"frac{i}")

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from bedside.plans import frequency_queries, score_queries, sequence_queries  # noqa: F401
+from bedside.plans import frequency_queries, score_queries, sequence_queries, tabular_queries  # noqa: F401
 from bedside.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

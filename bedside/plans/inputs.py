@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bedside.operators.blocks import block_window, in_blocks, number_rows, own_rows
+from bedside.operators.tabular import mean_impute, standard_scale, stratified_split
 from bedside.session import stored
 
 STAY_FEATURES = ["click", "engage", "signup", "anyv", "refund"]
@@ -79,6 +80,27 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def build_points(chart: DataFrame) -> DataFrame:
+    """Scaled vectors: imputed on all rows, split by class, scaled on the training
+    rows. Rounded, so that equal distances are equal in any engine."""
+    ids = (F.col("pid") * 1000000 + F.col("t")).alias("id")
+    filled = mean_impute(chart.select(ids, "pid", "t", "y", *POINT_FEATURES), POINT_FEATURES)
+    split = stratified_split(filled, "y", [F.col("pid"), F.col("t")])
+    scaled = standard_scale(split, POINT_FEATURES, split.filter("NOT is_test"))
+    return scaled.select(
+        "id", "y", "is_test", *[F.round(f, 6).alias(f) for f in POINT_FEATURES]
+    )
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"points:{sf_dir}", lambda: build_points(stay(spark, sf_dir)))
+
+
+def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = points(spark, sf_dir)
+    return rows.filter("NOT is_test").drop("is_test"), rows.filter("is_test").drop("is_test")
+
+
 def categories(spark: SparkSession) -> DataFrame:
     """(category, category_ord, feature, feature_ord) of the ``stay`` chart."""
     rows = [

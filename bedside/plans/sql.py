@@ -38,6 +38,31 @@ CATEGORIES = """cats(category, category_ord, feature, feature_ord) AS (
   VALUES ('VITAL', 0, 'anyv', 0), ('VITAL', 0, 'engage', 1),
          ('LAB', 1, 'click', 0), ('LAB', 1, 'signup', 1), ('LAB', 1, 'refund', 2))"""
 
+POINT_FEATURES = ["click", "engage", "signup", "anyv"]
+
+SPLIT = f"""means AS (SELECT {", ".join(f"avg({f}) AS {f}" for f in POINT_FEATURES)} FROM stay),
+imputed AS (
+  SELECT s.pid, s.t, s.y, {", ".join(f"coalesce(s.{f}, m.{f}) AS {f}" for f in POINT_FEATURES)}
+  FROM stay s, means m),
+split AS (
+  SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(pid || '|' || t || '|42'))
+            <= ceil(0.25 * count(*) OVER (PARTITION BY y)) AS is_test FROM imputed)"""
+
+POINTS = f"""{SPLIT},
+scale AS (SELECT {", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1.0) AS s_{f}" for f in POINT_FEATURES)}
+  FROM split WHERE NOT is_test),
+points AS MATERIALIZED (
+  SELECT pid * 1000000 + t AS id, y, is_test,
+         {", ".join(f"round(({f} - m_{f}) / s_{f}, 6) + 0 AS {f}" for f in POINT_FEATURES)}
+  FROM split, scale),
+train AS MATERIALIZED (SELECT * FROM points WHERE NOT is_test),
+test AS MATERIALIZED (SELECT * FROM points WHERE is_test)"""
+
+
+def d2(a: str, b: str, features=POINT_FEATURES) -> str:
+    return " + ".join(f"({a}.{f} - {b}.{f}) * ({a}.{f} - {b}.{f})" for f in features)
+
+
 FEATURES = ["click", "engage", "signup", "anyv", "refund"]
 
 
