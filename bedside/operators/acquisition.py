@@ -186,8 +186,8 @@ def tertile_edges(chart: DataFrame) -> DataFrame:
 
 
 def with_tertile(df: DataFrame, edges: DataFrame) -> DataFrame:
-    borders = edges.scalar()
-    return df.withColumn("tertile", F.size(F.filter(borders, lambda e: e < F.col("t"))))
+    above = [F.col("t") > edges.select(F.get("quantiles", F.lit(i))).scalar() for i in (0, 1)]
+    return df.withColumn("tertile", above[0].cast("int") + above[1].cast("int"))
 
 
 def donor_samples(

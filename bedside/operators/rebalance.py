@@ -156,6 +156,9 @@ def smote(
 
 
 def balanced(train: DataFrame, features: list[str], **options) -> DataFrame:
-    """Training rows and their synthetic rows: (y, features)."""
-    made = smote(train, features, **options).select(F.lit(1).alias("y"), *features)
-    return train.select("y", *features).unionByName(made)
+    """Training rows and their synthetic rows: (id, y, features). Synthetic rows
+    get negative ids from the hash of parent and copy."""
+    made = smote(train, features, **options)
+    number = F.conv(F.substring(hash_text("made", F.col("parent"), F.col("copy")), 1, 15), 16, 10)
+    extra = made.select((-number.cast("long")).alias("id"), F.lit(1).alias("y"), *features)
+    return train.select("id", "y", *features).unionByName(extra)

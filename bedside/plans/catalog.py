@@ -1,6 +1,9 @@
 """All registered queries."""
 
-from bedside.plans import frequency_queries, score_queries, sequence_queries, tabular_queries  # noqa: F401
+from bedside.plans import (  # noqa: F401
+    acquisition_queries, frequency_queries, score_queries, sequence_queries, source_queries,
+    tabular_queries,
+)
 from bedside.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -241,12 +241,7 @@ def tabular_classification(spark, sf_dir):
 
     train, test = inputs.train_test(spark, sf_dir)
     augmented = cut(rb.augment_union(train, detectors_of(spark, sf_dir), FEATURES), "augmented")
-    final = cut(
-        rb.balanced(augmented, FEATURES).withColumn(
-            "id", F.conv(F.substring(F.md5(F.concat_ws("|", *FEATURES)), 1, 15), 16, 10).cast("long")
-        ),
-        "final",
-    )
+    final = cut(rb.balanced(augmented, FEATURES), "final")
     return md.compare_classifiers(final, test, FEATURES)
 
 
