@@ -40,8 +40,10 @@ def radius_anti_join(
 ) -> DataFrame:
     """Candidates (``det_id``, features) farther than ``radius`` from every point.
 
-    The candidates are the side that is copied to cells; hits are reduced to
-    distinct candidate ids before they are shuffled.
+    The candidates are the side that is copied to cells. A round of them is small
+    enough for Spark to broadcast by its own size check, and then the points are
+    scanned without a shuffle; hits are reduced to distinct candidate ids
+    before they move.
     """
     grid = grid or features[:2]
     side = 2 * radius
@@ -49,7 +51,7 @@ def radius_anti_join(
         "det_id", *_names(grid), *[F.col(f).alias(f"c_{f}") for f in features]
     )
     near = squared_distance([(F.col(f), F.col(f"c_{f}")) for f in features]) <= radius * radius
-    cells = in_cell(points.select(*features).distinct(), grid, side)
+    cells = in_cell(points.select(*features), grid, side)
     hits = cells.join(reached, _names(grid)).filter(near).select("det_id").distinct()
     return candidates.join(hits, "det_id", "left_anti")
 
@@ -85,9 +87,25 @@ def radius_flag(
     )
 
 
+def start_radius(points: DataFrame, grid: list[str], diameter: float, k: int) -> float:
+    """Largest of some radii whose cells hold few points as seen from a point:
+    one count of points per cell for all radii together, one row per radius."""
+    radii = [diameter / 3.0**j for j in range(1, 15)]
+    levels = F.explode(F.array(*[F.lit(r) for r in radii])).alias("_r")
+    placed = points.select(levels, *grid)
+    sizes = placed.groupBy(
+        "_r", *[F.floor(F.col(f) / (2 * F.col("_r"))).alias(n) for f, n in zip(grid, _names(grid))]
+    ).agg(F.count(F.lit(1)).alias("n"))
+    seen = sizes.groupBy("_r").agg(
+        (F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("seen")
+    )
+    fine = [r["_r"] for r in seen.collect() if r["seen"] <= 4 * k]
+    return max(fine, default=radii[-1])
+
+
 def nearest(
     queries: DataFrame, points: DataFrame, features: list[str], k: int,
-    grid: list[str] | None = None, payload: str = "y", growth: float = 3.0,
+    grid: list[str] | None = None, payload: str = "y", growth: float = 4.0,
 ) -> DataFrame:
     """(features, ``neighbours``) per distinct query vector: its ``k`` nearest
     points as sorted structs (d2, id, payload, v), ties by id. Exact.
@@ -124,7 +142,7 @@ def nearest(
         max(s[f"hi_{f}"] for s in spans) - min(s[f"lo_{f}"] for s in spans) for f in features
     ]
     diameter = sum(w * w for w in widths) ** 0.5 + 1e-6
-    radius = max(max(widths) / max(spans[0]["n"], 1) ** 0.5, diameter * 1e-9)
+    radius = start_radius(usable, grid, diameter, k)
     copies = usable.select(
         "id", payload, F.array(*features).alias("v"), *[F.col(f).alias(f"p_{f}") for f in features]
     )

@@ -60,7 +60,7 @@ def nsa_detectors(
     num_detectors: int = 10000,
     max_trials: int = 1000,
     seed: str = "42",
-    round_size: int = 4096,
+    round_size: int = 16384,
     grid: list[str] | None = None,
 ) -> DataFrame:
     """Points inside the training bounds farther than ``radius`` from every

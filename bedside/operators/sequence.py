@@ -213,8 +213,9 @@ def pack_sequences(
 
     Batches take patients in id order; inside a batch ``position`` goes by
     falling length. A matrix longer than ``part_rows`` is stored as several
-    parts, so no cell holds a whole long patient. Patients are numbered through
-    cells of the id range, not by one global sort.
+    parts, so no cell holds a whole long patient; parts that would hold nothing
+    but padding are not stored, ``padded`` tells their extent. Patients are
+    numbered through cells of the id range, not by one global sort.
     """
     lengths = sequences.groupBy("pid").agg(F.count(F.lit(1)).alias("length")).withColumns(
         {"n": F.lit(1), "_all": F.lit(1)}
@@ -232,8 +233,6 @@ def pack_sequences(
             "padded": F.max("length").over(in_batch),
         }
     )
-    last_part = F.floor((F.col("padded") - 1) / part_rows).cast("int")
-    slots = placed.withColumn("part", F.explode(F.sequence(F.lit(0), last_part)))
     row = F.array(*[F.col(c).cast("float") for c in columns])
     parts = sequences.groupBy("pid", F.floor(F.col("t") / part_rows).cast("int").alias("part")).agg(
         F.transform(
@@ -242,8 +241,7 @@ def pack_sequences(
     )
     width = F.least(F.col("padded") - F.col("part") * part_rows, F.lit(part_rows)).cast("int")
     zeros = F.array(*[F.lit(0.0).cast("float") for _ in columns])
-    filled = F.coalesce("rows", F.array().cast("array<array<float>>"))
-    return slots.join(parts, ["pid", "part"], "left").select(
+    return parts.join(placed, "pid").select(
         "batch_id", "position", "pid", "part", "length", "padded",
-        F.concat(filled, F.array_repeat(zeros, width - F.size(filled))).alias("x"),
+        F.concat("rows", F.array_repeat(zeros, width - F.size("rows"))).alias("x"),
     )

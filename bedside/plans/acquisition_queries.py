@@ -164,7 +164,19 @@ def donor_samples(spark, sf_dir):
     )
 
 
-@query("donor_gain")
+DONOR_GAIN = f"""{CHOSEN}, q AS (SELECT quantile_cont(t, [{1 / 3!r}, {2 / 3!r}]) AS e FROM stay),
+obs AS (SELECT pid, t, feature, value, CASE WHEN t > e[2] THEN 2 WHEN t > e[1] THEN 1 ELSE 0 END AS tertile
+        FROM ({sql.long_form('z')}), q WHERE value IS NOT NULL),
+rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY feature, tertile
+         ORDER BY md5(pid || '|' || t || '|' || feature || '|42')) AS n FROM obs) WHERE n <= 5),
+ct AS (SELECT cells.*, CASE WHEN t > e[2] THEN 2 WHEN t > e[1] THEN 1 ELSE 0 END AS tertile FROM cells, q),
+fan AS (SELECT ct.*, {entropy_sql(logits_sql('feature_name', 'rk.value'))} AS after
+        FROM ct JOIN rk ON rk.feature = ct.feature_name AND rk.tertile = ct.tertile)"""
+
+
+@query("donor_gain", with_stay(f"""{DONOR_GAIN}
+SELECT pid AS patient_id, t AS timestep_idx_analyzed, feature_name, {q6('max(baseline) - avg(after)')} AS information_gain
+FROM fan GROUP BY pid, t, feature_name"""))
 def donor_gain(spark, sf_dir):
     """Gains with observed donor values of the same third of the stay."""
     chart = inputs.stay(spark, sf_dir)
