@@ -179,10 +179,10 @@ def feature_counts_top(report: DataFrame, n: int = 10) -> DataFrame:
 
 def tertile_edges(chart: DataFrame) -> DataFrame:
     """The two borders of the thirds of ``t`` over all rows, as one array."""
-    counts = chart.groupBy("t").agg(F.count(F.lit(1)).alias("n")).withColumns(
-        {"_all": F.lit(1), "t": F.col("t").cast("double")}
+    counts = chart.groupBy("t").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "t", F.col("t").cast("double")
     )
-    return exact_quantiles(counts, ["_all"], "t", [F.lit(1 / 3), F.lit(2 / 3)]).select("quantiles")
+    return exact_quantiles(counts, [], "t", [F.lit(1 / 3), F.lit(2 / 3)])
 
 
 def with_tertile(df: DataFrame, edges: DataFrame) -> DataFrame:

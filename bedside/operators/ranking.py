@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.operators.blocks import prefix_sums
 
+def one_row(df: DataFrame) -> Column:
+    """A one-row result as a struct column: a scalar subquery, not a join."""
+    return df.select(F.struct(*df.columns).alias("row")).scalar()
+
+
 # Cells a value range is cut into.
 CELLS = 65536.0
 
@@ -17,7 +22,8 @@ def place_in_cells(counts: DataFrame, key: list[str], value: str) -> DataFrame:
     the distance from it, so a far outlier does not squeeze all other values
     into one cell. Only correctly rounded, hence monotone, arithmetic is used,
     and the middle is an integer average, the same in any order of summing.
-    Keys are few (features, models or classes), so their ranges are broadcast.
+    Keys are few (features, models or classes), so their ranges are broadcast; an
+    empty key ranks all values together.
     """
     root = F.signum(value) * F.least(F.sqrt(F.sqrt(F.abs(F.col(value)))), F.lit(1e4))
     middle = F.sum(F.round(root * 1000).cast("long")) / F.count(F.lit(1)) / 1000.0
@@ -29,11 +35,13 @@ def place_in_cells(counts: DataFrame, key: list[str], value: str) -> DataFrame:
     # The middle may lie outside the values; clamp instead of growing cells.
     spread = F.least(F.sqrt(F.sqrt(F.abs(away) / F.col("_width"))), F.lit(1.0))
     cell = F.when(F.col("_width") > 0, F.floor(F.signum(away) * spread * (CELLS / 2))).otherwise(0)
-    return (
-        counts.join(F.broadcast(ranges), key)
-        .withColumn("_cell", cell.cast("int"))
-        .drop("_root", "_width")
-    )
+    if key:
+        ranged = counts.join(F.broadcast(ranges), key)
+    else:
+        ranged = counts.withColumn("_range", one_row(ranges)).withColumns(
+            {"_root": F.col("_range._root"), "_width": F.col("_range._width")}
+        ).drop("_range")
+    return ranged.withColumn("_cell", cell.cast("int")).drop("_root", "_width")
 
 
 def cell_starts(placed: DataFrame, key: list[str], weights: list[str]) -> DataFrame:

@@ -10,8 +10,7 @@ from bedside.functions.mixture import decay_factor
 from bedside.operators.blocks import (
     BLOCK, block_of, block_window, in_blocks, own_rows, patient_blocks, with_last_observed,
 )
-from bedside.operators.ranking import ranked_counts
-from bedside.operators.tabular import one_row
+from bedside.operators.ranking import one_row, ranked_counts
 
 
 def truncate_sequence(chart: DataFrame, max_len: int | None) -> DataFrame:
@@ -217,13 +216,13 @@ def pack_sequences(
     but padding are not stored, ``padded`` tells their extent. Patients are
     numbered through cells of the id range, not by one global sort.
     """
-    lengths = sequences.groupBy("pid").agg(F.count(F.lit(1)).alias("length")).withColumns(
-        {"n": F.lit(1), "_all": F.lit(1)}
+    lengths = sequences.groupBy("pid").agg(F.count(F.lit(1)).alias("length")).withColumn(
+        "n", F.lit(1)
     )
     numbered = (
-        ranked_counts(lengths, ["_all"], "pid", ["n"])
+        ranked_counts(lengths, [], "pid", ["n"])
         .withColumn("batch_id", F.floor(F.col("before_n") / batch).cast("int"))
-        .drop("_all", "n", "before_n")
+        .drop("n", "before_n")
     )
     in_batch = Window.partitionBy("batch_id")
     falling = in_batch.orderBy(F.desc("length"), "pid")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bedside.functions.cells import to_number
 from bedside.functions.hashing import hash_text
-from bedside.operators.ranking import quota_cut, take_quota
+from bedside.operators.ranking import one_row, quota_cut, take_quota
 
 
 def clean_target(df: DataFrame, target: str, out: str = "y") -> DataFrame:
@@ -17,11 +17,6 @@ def clean_target(df: DataFrame, target: str, out: str = "y") -> DataFrame:
     )
 
 
-def one_row(df: DataFrame) -> Column:
-    """A one-row result as a struct column: a scalar subquery, not a join."""
-    return df.select(F.struct(*df.columns).alias("row")).scalar()
-
-
 def column_means(df: DataFrame, features: list[str]) -> DataFrame:
     """One row of means; a column without values gets NULL."""
     return df.agg(*[F.avg(f).alias(f) for f in features])
@@ -63,13 +58,7 @@ def stratified_split(
 
 def patient_split(chart: DataFrame, fraction: float = 0.2, seed: str = "42") -> DataFrame:
     """(pid, is_validation): whole patients go to one side; 0 disables."""
-    patients = chart.select("pid").distinct()
-    if not 0 < fraction < 1:
-        return patients.withColumn("is_validation", F.lit(False))
-    quota = F.ceil(F.col("total") * fraction)
-    grouped = patients.withColumn("_all", F.lit(1))
-    flagged = take_quota(grouped, "_all", hash_text(seed, F.col("pid")), quota, "is_validation")
-    return flagged.drop("_all")
+    return patient_split_rows(chart.select("pid").distinct(), fraction, seed)
 
 
 def patient_split_rows(chart: DataFrame, fraction: float = 0.2, seed: str = "42") -> DataFrame:

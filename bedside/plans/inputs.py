@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from bedside.operators.blocks import block_window, in_blocks, number_rows, own_rows
 from bedside.operators.tabular import mean_impute, standard_scale, stratified_split
-from bedside.session import stored
+from bedside.session import cut, stored
 
 STAY_FEATURES = ["click", "engage", "signup", "anyv", "refund"]
 POINT_FEATURES = ["click", "engage", "signup", "anyv"]
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def build_stay(events: DataFrame) -> DataFrame:
     """Hourly chart per user. Events are averaged per hour before any row of a
-    user meets another; rows are numbered month by month."""
+    user meets another; rows are numbered month by month. The hours are written
+    once, since numbering reads them twice."""
     kind, value = F.col("event_type"), F.col("value")
     hours = events.groupBy(
         F.col("user_id").cast("long").alias("pid"), F.date_trunc("hour", "ts").alias("h")
@@ -31,7 +32,7 @@ def build_stay(events: DataFrame) -> DataFrame:
         F.avg(F.when(kind == "refund", value)).alias("refund"),
         F.max(F.when((kind == "error") & (value > 150), 1).otherwise(0)).alias("hit"),
     )
-    chart = number_rows(hours, ["pid"], ["h"], [F.date_trunc("month", "h")])
+    chart = number_rows(cut(hours, "hours"), ["pid"], ["h"], [F.date_trunc("month", "h")])
     recent = block_window().rowsBetween(-5, Window.currentRow)
     labelled = in_blocks(chart, back=5).withColumn("y", F.max("hit").over(recent))
     return own_rows(labelled).select("pid", "t", *STAY_FEATURES, F.col("y").cast("int").alias("y"))
@@ -44,7 +45,8 @@ def stay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Line items of a customer as one long chart, numbered by ship date and by
-    range of order keys within a date."""
+    range of order keys within a date. The join is written once, since numbering
+    reads it twice."""
     lines = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").cast("long").alias("pid"),
         "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
@@ -57,7 +59,7 @@ def build_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     blocks = [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / (1 << 20))]
-    return number_rows(lines, ["pid"], order, blocks).select(
+    return number_rows(cut(lines, "lines"), ["pid"], order, blocks).select(
         "pid", "t", "qty", "price", "disc", "tax", "qf", "y"
     )
 

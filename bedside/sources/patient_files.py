@@ -62,21 +62,21 @@ def delimiter_split(line: Column) -> Column:
     return F.when(F.col("file").endswith(".psv"), split_line(line)).otherwise(split_line(line, ","))
 
 
-def _split_table(lines: DataFrame) -> DataFrame:
-    """One row per split: lines before it in its file, and the file's header."""
-    sizes = lines.groupBy(*PLACE).agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("value", "pos").alias("first_line")
-    )
-    starts = prefix_sums(sizes, ["file"], ["chunk", "split"], ["n"])
-    headers = starts.filter("before_n = 0").select(
-        "file", delimiter_split(F.col("first_line")).alias("header")
-    )
-    return starts.join(headers, "file").select(*PLACE, "before_n", "header")
+def _splits(lines: DataFrame) -> DataFrame:
+    """One row per split with the number of lines before it in its file."""
+    sizes = lines.groupBy(*PLACE).agg(F.count(F.lit(1)).alias("n"))
+    return prefix_sums(sizes, ["file"], ["chunk", "split"], ["n"]).drop("n")
+
+
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """First line of each file, looked for in its first split only."""
+    start = lines.filter("chunk = 0 AND split = 0")
+    return start.groupBy("file").agg(F.min_by("value", "pos").alias("first_line"))
 
 
 def headers(lines: DataFrame) -> DataFrame:
     """(file, header) with the header as an array of names."""
-    return _split_table(lines).groupBy("file").agg(F.first("header").alias("header"))
+    return _first_lines(lines).select("file", delimiter_split(F.col("first_line")).alias("header"))
 
 
 def discover_headers(lines: DataFrame) -> DataFrame:
@@ -85,19 +85,30 @@ def discover_headers(lines: DataFrame) -> DataFrame:
 
 
 def data_lines(lines: DataFrame) -> DataFrame:
-    """(PLACE, pos, line_no, values, blank, header) without header lines. Numbering and
-    the join share one shuffle by split."""
+    """(PLACE, pos, line_no, values, blank, header) without header lines.
+
+    Numbering and the joined split table share one shuffle by split. The header
+    is the first line of the file's first split, which lies in the same task;
+    only for files read in several splits is it looked up and handed to the
+    other splits.
+    """
+    splits = _splits(lines)
+    later = splits.filter("before_n > 0").select("file").distinct()
+    handed = _first_lines(lines.join(later, "file", "left_semi"))
+    table = splits.join(handed, "file", "left")
     inside = Window.partitionBy(*PLACE).orderBy("pos")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("before_n") == 0, F.col("_top")).otherwise(F.col("first_line"))
     return (
-        lines.withColumn("_r", F.row_number().over(inside))
-        .join(_split_table(lines), PLACE)
+        lines.withColumns({"_r": F.row_number().over(inside), "_top": F.first("value").over(upto)})
+        .join(table, PLACE)
         .withColumn("line_no", F.col("before_n") + F.col("_r") - 1)
         .filter("line_no > 0")
         .select(
             *PLACE, "pos", "line_no",
             delimiter_split(F.col("value")).alias("values"),
             (F.trim("value") == "").alias("blank"),
-            "header",
+            delimiter_split(own).alias("header"),
         )
     )
 
