@@ -64,7 +64,7 @@ def number_rows(
 
 
 def block_of(t: str = "t", size: int = BLOCK) -> Column:
-    return F.floor(F.col(t) / size).cast("int")
+    return F.expr(f"cast({t} div {size} as int)")
 
 
 def in_blocks(chart: DataFrame, back: int = 0, ahead: int = 0, size: int = BLOCK) -> DataFrame:
