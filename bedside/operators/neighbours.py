@@ -7,6 +7,8 @@ dimension. No step compares all points with all points.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.functions.mixture import squared_distance
@@ -103,9 +105,94 @@ def start_radius(points: DataFrame, grid: list[str], diameter: float, k: int) ->
     return max(fine, default=radii[-1])
 
 
+def _boxes(points: DataFrame, features: list[str], grid: list[str], side: float) -> DataFrame:
+    """Occupied cells with their point count and the bounds of their points."""
+    return in_cell(points, grid, side).groupBy(*_names(grid)).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min(f).alias(f"lo_{f}") for f in features],
+        *[F.max(f).alias(f"hi_{f}") for f in features],
+    )
+
+
+def _parents(cells: DataFrame, grid: list[str]) -> DataFrame:
+    """Add the cell eight times as wide that holds each cell."""
+    return cells.withColumns({f"_p{i}": F.shiftright(name, 3) for i, name in enumerate(_names(grid))})
+
+
+def _bounded(pairs: DataFrame, features: list[str], radius: float, k: int) -> DataFrame:
+    """Keep the cells of each query that can hold one of its ``k`` nearest points.
+
+    ``limit`` is the squared distance within which ``k`` points are certain,
+    from the farthest corners of the nearest boxes. Rounding is monotone, so
+    the bounds hold for the distances as computed.
+    """
+    zero = F.lit(0.0)
+    inner, outer = zero, zero
+    for f in features:
+        below, above = F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}")
+        gap = F.greatest(below, above, zero)
+        far = F.greatest(F.abs(below), F.abs(above))
+        inner, outer = inner + gap * gap, outer + far * far
+    query = Window.partitionBy(*features)
+    certain = F.sum(F.least("n", F.lit(k))).over(
+        query.orderBy("_outer").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    reach = F.min(F.when(F.col("_certain") >= k, F.col("_outer"))).over(query)
+    return (
+        pairs.withColumns({"_inner": inner, "_outer": outer})
+        .withColumn("_certain", certain)
+        .withColumn("limit", F.least(F.coalesce(reach, F.lit(radius * radius)), F.lit(radius * radius)))
+        .filter(F.col("_inner") <= F.col("limit"))
+        .drop("_inner", "_outer", "_certain")
+    )
+
+
+def near_cells(
+    open_: DataFrame, points: DataFrame, features: list[str], grid: list[str], radius: float,
+    k: int, heavy: int,
+) -> tuple[DataFrame, list[float]]:
+    """(features, cell, level, limit) of the cells worth opening per query, and the
+    cell side of each level.
+
+    Cells are an eighth of a touched cell wide. A cell kept with more than
+    ``heavy`` points is replaced by its own eighths and judged again, so a
+    sparse query next to a dense clump opens the near edge of the clump only.
+    """
+    names, sides = _names(grid), [radius / 4]
+    columns = [*features, *names, "n", *[f"{p}_{f}" for f in features for p in ("lo", "hi")], "level"]
+    cells = _parents(_boxes(points, features, grid, sides[0]), grid)
+    touched = in_touched_cells(open_, grid, radius, 2 * radius).select(
+        *[F.col(f).alias(f"_q_{f}") for f in features],
+        *[F.col(name).alias(f"_p{i}") for i, name in enumerate(names)],
+    )
+    parent = [f"_p{i}" for i in range(len(grid))]
+
+    def paired(queries: DataFrame, children: DataFrame, level: int) -> DataFrame:
+        joined = queries.join(children, parent).withColumn("level", F.lit(level))
+        return joined.withColumns({f: F.col(f"_q_{f}") for f in features}).select(*columns)
+
+    pairs = cut(_bounded(paired(touched, cells, 0), features, radius, k), "cells")
+    while not pairs.filter(F.col("n") > heavy).isEmpty() and len(sides) < 16:
+        deep = pairs.filter(F.col("n") > heavy)
+        inside = in_cell(points, grid, sides[-1]).join(
+            deep.select(*names).distinct(), names, "left_semi"
+        )
+        sides.append(sides[-1] / 8)
+        children = _parents(_boxes(inside, features, grid, sides[-1]), grid)
+        opened = deep.select(
+            *[F.col(f).alias(f"_q_{f}") for f in features],
+            *[F.col(name).alias(f"_p{i}") for i, name in enumerate(names)],
+        )
+        both = pairs.filter(F.col("n") <= heavy).select(*columns).unionByName(
+            paired(opened, children, len(sides) - 1)
+        )
+        pairs = cut(_bounded(both, features, radius, k), "cells")
+    return pairs, sides
+
+
 def nearest(
     queries: DataFrame, points: DataFrame, features: list[str], k: int,
-    grid: list[str] | None = None, payload: str = "y", growth: float = 4.0,
+    grid: list[str] | None = None, payload: str = "y", growth: float = 16.0, heavy: int = 1024,
 ) -> DataFrame:
     """(features, ``neighbours``) per distinct query vector: its ``k`` nearest
     points as sorted structs (d2, id, payload, v), ties by id. Exact.
@@ -113,11 +200,13 @@ def nearest(
     Query vectors are looked up with a small radius first. A vector with ``k``
     points inside the radius is settled, since every point that close lies in a
     touched cell; the others go on with a larger radius. Dense regions are thus
-    settled with small cells and only sparse ones see large cells. Of equal
-    points only the first ``k`` ids are kept. Each round is written to the shared
-    folder, so a lost executor repeats part of one round.
+    settled with small cells. Later rounds look at boxes before points (see
+    :func:`near_cells`), so sparse queries do not meet whole dense regions. Of
+    equal points only the first ``k`` ids are kept. Each round is written to the
+    shared folder, so a lost executor repeats part of one round.
     """
     grid = grid or features
+    names = _names(grid)
     first = Window.partitionBy(*features).orderBy("id")
     usable = cut(
         points.select("id", payload, *features)
@@ -148,19 +237,28 @@ def nearest(
     )
     point_grid = [f"p_{f}" for f in grid]
     d2 = squared_distance([(F.col(f), F.col(f"p_{f}")) for f in features])
+    closest = Window.partitionBy(*features).orderBy("d2", "id")
     settled = []
     while True:
         last = radius >= diameter
-        side = 2 * radius
-        pairs = (
-            in_touched_cells(open_, grid, radius, side)
-            .join(in_cell(copies, point_grid, side), _names(grid))
-            .withColumn("d2", d2)
-            .filter(F.col("d2") <= radius * radius)
-        )
-        closest = Window.partitionBy(*features).orderBy("d2", "id")
+        if not settled:
+            side = 2 * radius
+            pairs = in_touched_cells(open_, grid, radius, side).join(
+                in_cell(copies, point_grid, side), names
+            ).withColumn("limit", F.lit(radius * radius))
+        else:
+            cells, sides = near_cells(open_, usable, features, grid, radius, k, heavy)
+            by_level = [
+                cells.filter(F.col("level") == level)
+                .select(*features, *names, "limit")
+                .join(in_cell(copies, point_grid, side), names)
+                for level, side in enumerate(sides)
+            ]
+            pairs = reduce(DataFrame.unionByName, by_level)
         found = cut(
-            pairs.withColumn("_n", F.row_number().over(closest))
+            pairs.withColumn("d2", d2)
+            .filter(F.col("d2") <= F.col("limit"))
+            .withColumn("_n", F.row_number().over(closest))
             .filter(F.col("_n") <= k)
             .groupBy(*features)
             .agg(F.array_sort(F.collect_list(F.struct("d2", "id", payload, "v"))).alias("neighbours"))
@@ -174,10 +272,7 @@ def nearest(
         if open_.isEmpty():
             break
         radius = min(radius * growth, diameter)
-    result = settled[0]
-    for more in settled[1:]:
-        result = result.unionByName(more)
-    return result
+    return reduce(DataFrame.unionByName, settled)
 
 
 def knn_classify(
