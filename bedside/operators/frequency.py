@@ -60,9 +60,10 @@ def cohort_frequency(profile: DataFrame, features: list[str]) -> DataFrame:
 
 def entry_frequency(chart: DataFrame, features: list[str]) -> DataFrame:
     """Micro averages: present rows over rows, per row label. Both labels are
-    listed; a label without rows has frequency 0."""
-    positive = F.coalesce(F.col("y") == 1, F.lit(False))
-    totals = chart.agg(
+    listed; a label without rows has frequency 0. Rows without a label (too
+    short to hold one) are left out."""
+    positive = F.col("y") == 1
+    totals = chart.filter(F.col("y").isNotNull()).agg(
         *[F.count(F.when(side, F.lit(1))).alias(f"n_{k}")
           for k, side in ((0, ~positive), (1, positive))],
         *[F.count(F.when(side, F.col(f))).alias(f"{f}_{k}")

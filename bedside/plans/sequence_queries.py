@@ -9,6 +9,7 @@ from bedside.operators import tabular as tb
 from bedside.plans import inputs, sql
 from bedside.plans.registry import q6, query, r6
 from bedside.plans.sql import uniform, with_items, with_stay
+from bedside.session import stored
 
 FEATURES = inputs.STAY_FEATURES
 GAMMAS = {"click": 0.05, "engage": 0.1, "signup": -0.2, "anyv": 0.0, "refund": 0.3}
@@ -69,9 +70,13 @@ TARGETS = f"""tg AS (
 
 
 def training_stats(spark, sf_dir):
-    """Statistics of the training patients only."""
-    rows = tb.patient_split_rows(inputs.stay(spark, sf_dir), 0.2).filter("NOT is_validation")
-    return sq.norm_stats(rows, FEATURES)
+    """Statistics of the training patients only, computed once and kept for later
+    jobs: one row per feature."""
+    def build():
+        rows = tb.patient_split_rows(inputs.stay(spark, sf_dir), 0.2).filter("NOT is_validation")
+        return sq.norm_stats(rows, FEATURES).coalesce(1)
+
+    return stored(spark, f"stats:{sf_dir}", build)
 
 
 def sequences(spark, sf_dir, horizon=HORIZON, **options):

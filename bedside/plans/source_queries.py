@@ -88,6 +88,32 @@ def read_positional(spark, sf_dir):
     )
 
 
+FILE_PROFILE = with_stay(f"""{PROFILE}
+SELECT 'p' || pid || '.psv' AS pid, CAST(n AS BIGINT) AS rows, {", ".join(f"{q6(f)} AS freq_{f}" for f in FEATURES)},
+       CAST(is_positive AS INTEGER) AS is_positive, CAST(duration AS BIGINT) AS duration FROM profile""")
+
+
+@query("patient_profile_files", FILE_PROFILE)
+def patient_profile_files(spark, sf_dir):
+    """Profiles by the text rules: one header by position, label text ``1``."""
+    text = pf.read_positional(lines(spark, sf_dir), HEADER)
+    found = fq.patient_profile(pf.presence_chart(text, FEATURES), FEATURES)
+    return found.select(
+        "pid", "rows", *[r6(f"freq_{f}") for f in FEATURES],
+        F.col("is_positive").cast("int").alias("is_positive"), "duration",
+    )
+
+
+@query("entry_frequency_files", with_stay(f"""{ENTRY}
+SELECT CAST(label AS INTEGER) AS label, feature, CAST(present AS BIGINT) AS present,
+       CAST(entries AS BIGINT) AS entries, {q6('freq')} AS freq FROM entry"""))
+def entry_frequency_files(spark, sf_dir):
+    """Entry frequencies by the text rules: each file's own header."""
+    text = pf.read_text_by_name(lines(spark, sf_dir), HEADER)
+    found = fq.entry_frequency(pf.presence_chart(text, FEATURES), FEATURES)
+    return found.select("label", "feature", "present", "entries", r6("freq"))
+
+
 @query("time_index", with_stay("SELECT pid, t FROM stay"))
 def time_index(spark, sf_dir):
     return pf.read_by_name(lines(spark, sf_dir), ["anyv"]).select(pid_of_file(), "t")

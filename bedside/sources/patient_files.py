@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from bedside.functions.cells import split_line, to_number
+from bedside.functions.cells import cell_present, label_is_one, split_line, to_number
 from bedside.operators.blocks import number_rows, prefix_sums
 from bedside.session import cut
 
@@ -139,6 +139,24 @@ def read_positional(lines: DataFrame, header: list[str]) -> DataFrame:
     )
 
 
+def read_text_by_name(lines: DataFrame, wanted: list[str]) -> DataFrame:
+    """(file, t, wanted...) as text, matched by each file's own header; blank
+    lines count as rows."""
+    return data_lines(lines).select(
+        "file", (F.col("line_no") - 1).cast("int").alias("t"), *[_named(c).alias(c) for c in wanted]
+    )
+
+
+def presence_chart(text: DataFrame, features: list[str], label: str = "SepsisLabel") -> DataFrame:
+    """A chart of text rows for the frequency analyses: 1 where a cell counts as
+    present, ``y`` by the label's text, NULL on rows too short to have one."""
+    seen = {f: F.when(cell_present(F.col(f)), 1.0) for f in features}
+    y = F.when(F.col(label).isNotNull(), label_is_one(F.col(label)).cast("int"))
+    return text.select(
+        F.col("file").alias("pid"), "t", *[c.alias(f) for f, c in seen.items()], y.alias("y")
+    )
+
+
 def read_union(lines: DataFrame) -> DataFrame:
     """:func:`read_by_name` for the union of all headers, in name order. Only the
     column names come to the driver."""
