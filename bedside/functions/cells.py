@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 
+# Characters that count as blank around lines and cells.
+BLANKS = " \t\r\n\f\v"
+
+
+def trimmed(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def split_line(line: Column, delimiter: str = "[|]") -> Column:
     """Fields of a trimmed line; empty fields are kept."""
-    return F.split(F.trim(line), delimiter, -1)
+    return F.split(trimmed(line), delimiter, -1)
 
 
 def cell_present(cell: Column) -> Column:
@@ -15,7 +23,7 @@ def cell_present(cell: Column) -> Column:
 
     The ``nan`` test does not trim, so ``' nan'`` counts as a value.
     """
-    return cell.isNotNull() & (F.lower(cell) != "nan") & (F.trim(cell) != "")
+    return cell.isNotNull() & (F.lower(cell) != "nan") & (trimmed(cell) != "")
 
 
 def value_present(value: Column) -> Column:

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from bedside.operators.evaluation import leaderboard
 from bedside.operators.neighbours import knn_classify
-from bedside.operators.tabular import column_means, label_weights, one_row, scale_pos_weight
+from bedside.operators.tabular import (
+    check_trainable, column_means, label_weights, one_row, scale_pos_weight,
+)
 
 SEED = 42
 CLASSIFIERS = {
@@ -56,6 +58,7 @@ def predictions(model, test: DataFrame, features: list[str]) -> DataFrame:
 
 def evaluate(name: str, train: DataFrame, test: DataFrame, features: list[str]) -> DataFrame:
     """Metrics row of one classifier."""
+    check_trainable(train)
     found = predictions(fit(name, train, features), test, features)
     return metrics_of({name: found})
 
@@ -73,6 +76,7 @@ def compare_classifiers(
     train: DataFrame, test: DataFrame, features: list[str], k: int = 5
 ) -> DataFrame:
     """All classifiers and the nearest-neighbour vote on the same split."""
+    check_trainable(train)
     by_model = {
         name: predictions(fit(name, train, features), test, features) for name in CLASSIFIERS
     }
@@ -84,6 +88,7 @@ def boosting_with_missing(train: DataFrame, test: DataFrame, features: list[str]
     """Boosted trees on rows with missing cells: each feature comes with a presence
     indicator and is filled with its training mean (0 if it has none), and
     positives weigh negatives over positives."""
+    check_trainable(train)
     means = one_row(column_means(train, features))
     ratio = scale_pos_weight(train).select("scale_pos_weight").scalar()
 

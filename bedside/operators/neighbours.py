@@ -92,7 +92,7 @@ def radius_flag(
 def start_radius(points: DataFrame, grid: list[str], diameter: float, k: int) -> float:
     """Largest of some radii whose cells hold few points as seen from a point:
     one count of points per cell for all radii together, one row per radius."""
-    radii = [diameter / 3.0**j for j in range(1, 15)]
+    radii = [diameter / 4.0**j for j in range(1, 12)]
     levels = F.explode(F.array(*[F.lit(r) for r in radii])).alias("_r")
     placed = points.select(levels, *grid)
     sizes = placed.groupBy(

@@ -17,6 +17,15 @@ def clean_target(df: DataFrame, target: str, out: str = "y") -> DataFrame:
     )
 
 
+def check_trainable(df: DataFrame, label: str = "y", minimum: int = 10) -> None:
+    """Refuse data too small to learn from: under ``minimum`` rows or one class."""
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.min(label).alias("low"), F.max(label).alias("high")
+    ).first()
+    if row["n"] < minimum or row["low"] == row["high"]:
+        raise ValueError(f"cannot train on {row['n']} rows with labels {row['low']} to {row['high']}")
+
+
 def column_means(df: DataFrame, features: list[str]) -> DataFrame:
     """One row of means; a column without values gets NULL."""
     return df.agg(*[F.avg(f).alias(f) for f in features])

@@ -13,7 +13,7 @@ from bedside.plans.frequency_queries import COHORT, COMPARED, ENTRY, PROFILE
 from bedside.plans.registry import q6, query, r6
 from bedside.plans.sequence_queries import stats_sql
 from bedside.plans.sql import with_stay
-from bedside.session import new_path, shared_dir
+from bedside.session import new_path, shared_dir, stored
 from bedside.sources import patient_files as pf
 from bedside.sources import sinks
 
@@ -47,15 +47,12 @@ def export(spark, sf_dir, kind="psv"):
     return _EXPORTS[slot]
 
 
-_LINES: dict[tuple[str, str, str], object] = {}
-
-
 def lines(spark, sf_dir, kind="psv"):
-    slot = (spark.sparkContext.applicationId, sf_dir, kind)
-    if slot not in _LINES:
-        pattern = r"^p.*\.psv$" if kind == "psv" else r"\.(psv|csv)$"
-        _LINES[slot] = pf.ingest_lines(spark, export(spark, sf_dir, kind), pattern)
-    return _LINES[slot]
+    pattern = r"^p.*\.psv$" if kind == "psv" else r"\.(psv|csv)$"
+    return stored(
+        spark, f"lines-{kind}:{sf_dir}",
+        lambda: pf.placed_lines(spark, export(spark, sf_dir, kind), pattern),
+    )
 
 
 CHART_SQL = f"SELECT pid, t, {', '.join(f'{q6(f)} AS {f}' for f in FEATURES)}, y FROM stay"

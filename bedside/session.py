@@ -47,7 +47,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path; all paths of one application lie in one folder."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/bedside-{app}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from bedside.functions.cells import cell_present, label_is_one, split_line, to_number
+from bedside.functions.cells import cell_present, label_is_one, split_line, to_number, trimmed
 from bedside.operators.blocks import number_rows, prefix_sums
 from bedside.session import cut
 
@@ -20,12 +20,16 @@ PLACE = ["file", "chunk", "split"]
 
 
 def ingest_lines(spark: SparkSession, path: str, pattern: str = r"^p.*\.psv$") -> DataFrame:
+    """The placed lines, written once so that all later steps see the same splits."""
+    return cut(placed_lines(spark, path, pattern), "lines")
+
+
+def placed_lines(spark: SparkSession, path: str, pattern: str = r"^p.*\.psv$") -> DataFrame:
     """(file, chunk, split, pos, value) of the files whose name matches.
 
     Rows of one split come from one task in file order, so
     ``monotonically_increasing_id`` orders them there; it is compared within a
-    split only. The table is written once, so all later steps see the same
-    splits.
+    split only.
     """
     where = F.col("_metadata.file_path")
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
@@ -38,7 +42,7 @@ def ingest_lines(spark: SparkSession, path: str, pattern: str = r"^p.*\.psv$") -
         F.monotonically_increasing_id().alias("pos"),
         "value",
     )
-    return cut(lines.filter(F.col("file").rlike(pattern)), "lines")
+    return lines.filter(F.col("file").rlike(pattern))
 
 
 def scan_patient_files(lines: DataFrame, limit: int | None = None) -> DataFrame:
@@ -107,7 +111,7 @@ def data_lines(lines: DataFrame) -> DataFrame:
         .select(
             *PLACE, "pos", "line_no",
             delimiter_split(F.col("value")).alias("values"),
-            (F.trim("value") == "").alias("blank"),
+            (trimmed(F.col("value")) == "").alias("blank"),
             delimiter_split(own).alias("header"),
         )
     )
