@@ -106,13 +106,16 @@ def carried_in(chart: DataFrame, features: list[str], size: int = BLOCK) -> Data
     """Last observation of each feature before a block starts, for blocks >= 1.
 
     Only patients longer than one block are read again; the filter on ``t``
-    reaches the Parquet scan, so on usual data this side is empty.
+    reaches the Parquet scan, so on usual data this side is empty. They are
+    found again by (patient, block), so a long patient is spread over tasks.
     """
-    long = chart.filter(F.col("t") >= size).select("pid").distinct()
+    longer = chart.filter(F.col("t") >= size).groupBy("pid").agg(F.max(block_of(size=size)).alias("last"))
+    wanted = longer.select("pid", F.explode(F.sequence(F.lit(0), "last")).alias("blk"))
     seen = {f: F.when(F.col(f).isNotNull(), F.col("t")) for f in features}
     per_block = (
-        chart.join(long, "pid", "left_semi")
-        .groupBy("pid", block_of(size=size).alias("blk"))
+        chart.withColumn("blk", block_of(size=size))
+        .join(wanted, ["pid", "blk"], "left_semi")
+        .groupBy("pid", "blk")
         .agg(
             *[F.max_by(f, seen[f]).alias(f"in_{f}") for f in features],
             *[F.max(seen[f]).alias(f"at_{f}") for f in features],

@@ -275,16 +275,33 @@ def nearest(
     return reduce(DataFrame.unionByName, settled)
 
 
+def hand_back(
+    rows: DataFrame, answers: DataFrame, keys: list[str], hot_rows: int = 1_000_000
+) -> DataFrame:
+    """Join answers, one per key, to all rows of their key.
+
+    A key of more than ``hot_rows`` rows is answered by broadcast and its rows are
+    not shuffled; there are at most ``rows / hot_rows`` such keys. The rest is
+    a plain join whose keys are all small.
+    """
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(counted.filter(F.col("_n") > hot_rows).select(*keys))
+    many = rows.join(F.broadcast(answers.join(hot, keys, "left_semi")), keys)
+    few = rows.join(hot, keys, "left_anti").join(answers, keys)
+    return many.unionByName(few)
+
+
 def knn_classify(
     test: DataFrame, train: DataFrame, features: list[str], k: int = 5,
-    grid: list[str] | None = None,
+    grid: list[str] | None = None, hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Share of positives among the ``k`` nearest training rows and the majority
-    vote. Equal test vectors are looked up once; handing the answer back to all
-    their rows is a plain equi-join whose hot keys AQE splits."""
+    vote. Equal test vectors are looked up once."""
     votes = nearest(test, train, features, k, grid).select(
         *features,
         (F.aggregate("neighbours", F.lit(0.0), lambda acc, n: acc + n["y"]) / F.size("neighbours"))
         .alias("score"),
     )
-    return test.join(votes, features).withColumn("pred", (F.col("score") > 0.5).cast("int"))
+    return hand_back(test, votes, features, hot_rows).withColumn(
+        "pred", (F.col("score") > 0.5).cast("int")
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from bedside.functions.hashing import hash_text, hash_uniform
 from bedside.operators.evaluation import classification_metrics, confusion_matrix
-from bedside.operators.neighbours import nearest, radius_anti_join, radius_flag
+from bedside.operators.neighbours import hand_back, nearest, radius_anti_join, radius_flag
 from bedside.operators.ranking import take_quota
 from bedside.operators.tabular import one_row
 from bedside.session import cut
@@ -136,9 +136,7 @@ def smote(
     flagged = take_quota(sized, "y", order, quota, "_one_more")
     copies = F.floor(F.col("_need") / F.col("_c.few")) + F.col("_one_more").cast("int")
     spread = (
-        flagged.withColumn("_copies", copies)
-        .filter("_copies > 0")
-        .join(near, features)
+        hand_back(flagged.withColumn("_copies", copies).filter("_copies > 0"), near, features)
         .withColumn("_near", F.slice(F.filter("neighbours", lambda n: n["id"] != F.col("id")), 1, k))
         .filter(F.size("_near") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))

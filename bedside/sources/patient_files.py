@@ -171,3 +171,9 @@ def read_union(lines: DataFrame) -> DataFrame:
 def positive_files(lines: DataFrame, label: str = "SepsisLabel") -> DataFrame:
     """Files with any label text ``1``; files without the label column have none."""
     return data_lines(lines).filter(_named(label) == "1").select("file").distinct()
+
+
+def lines_of(lines: DataFrame, files: DataFrame) -> DataFrame:
+    """All lines of the listed files, matched per split."""
+    wanted = _splits(lines).join(files, "file", "left_semi").select(*PLACE)
+    return lines.join(wanted, PLACE, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bedside.operators.blocks import BLOCK, block_of
-from bedside.sources.patient_files import positive_files
+from bedside.sources.patient_files import lines_of, positive_files
 
 
 def write_patient_files(
@@ -43,7 +43,7 @@ def extract_positive_cohort(
     written by different tasks."""
     ids = positive_files(lines, label)
     (
-        lines.join(ids, "file", "left_semi")
+        lines_of(lines, ids)
         .repartition("file", "chunk", "split")
         .sortWithinPartitions("file", "chunk", "split", "pos")
         .write.mode("overwrite").parquet(path)
