@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from bedside.functions import cells
 from bedside.operators import frequency as fq
+from bedside.operators import tabular as tb
 from bedside.plans import inputs, sql
 from bedside.plans.registry import q6, query, r6
 from bedside.plans.sql import with_items, with_stay
@@ -92,9 +93,7 @@ def label_is_one(spark, sf_dir):
 SELECT pid, t, CAST(trunc(v) AS INTEGER) AS target
 FROM (SELECT pid, t, try_cast(label_text AS DOUBLE) v FROM raw) WHERE v IS NOT NULL AND NOT isnan(v)"""))
 def clean_target(spark, sf_dir):
-    from bedside.operators.tabular import clean_target as clean
-
-    return clean(raw_cells(spark, sf_dir), "label_text", "target").select("pid", "t", "target")
+    return tb.clean_target(raw_cells(spark, sf_dir), "label_text", "target").select("pid", "t", "target")
 
 
 @query("split_line", with_stay(f"""{RAW}, lines AS (

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bedside.functions import mixture as mx
 from bedside.operators import sequence as sq
 from bedside.operators import tabular as tb
+from bedside.operators.blocks import with_last_observed
 from bedside.plans import inputs, sql
 from bedside.plans.registry import q6, query, r6
 from bedside.plans.sql import uniform, with_items, with_stay
@@ -146,8 +148,6 @@ ITEM_GAPS = ["disc", "tax", "qf"]
     for f in ITEM_GAPS)} FROM items"""))
 def locf_items(spark, sf_dir):
     """Last value and gap of three sparse columns over all line items."""
-    from bedside.operators.blocks import with_last_observed
-
     walked = with_last_observed(inputs.items(spark, sf_dir), ITEM_GAPS)
     return walked.select(
         "pid", "t",
@@ -204,11 +204,9 @@ def label_channel(spark, sf_dir):
 @query("decay_factor", with_stay(f"""SELECT pid, t, {", ".join(
     f"{q6(f'exp(-greatest({float(g)}, 0.0) * (t % 24))')} AS {f}" for f, g in GAMMAS.items())} FROM stay"""))
 def decay_factor(spark, sf_dir):
-    from bedside.functions.mixture import decay_factor as fade
-
     delta = (F.col("t") % 24).cast("double")
     return inputs.stay(spark, sf_dir).select(
-        "pid", "t", *[r6(fade(F.lit(float(g)), delta), f) for f, g in GAMMAS.items()]
+        "pid", "t", *[r6(mx.decay_factor(F.lit(float(g)), delta), f) for f, g in GAMMAS.items()]
     )
 
 
