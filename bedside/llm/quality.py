@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,15 @@ BYTE_CLASS[:128] = 6
 BYTE_CLASS[97:123], BYTE_CLASS[65:91], BYTE_CLASS[48:58] = 0, 1, 2
 BYTE_CLASS[[32, 9]], BYTE_CLASS[[10, 13]] = 3, 4
 BYTE_CLASS[[ord(c) for c in ".,;:?!'\"-()"]] = 5
-SIZE = 256 + CLASSES * CLASSES + 4
+SIZE = 256 + CLASSES * CLASSES + 7
 SLICE = 1 << 20  # bytes counted at once
 
 
 def features(text: str | None) -> bytes:
     """Shares of bytes and of pairs of byte classes (square roots), length, line
-    and word shape of the whole text, one byte each."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    and word shape and repetition in the whole text, one byte each."""
+    whole = (text or "").encode("utf-8", "surrogatepass")
+    raw = np.frombuffer(whole, np.uint8)
     single, pairs = np.zeros(256), np.zeros(CLASSES * CLASSES)
     for at in range(0, len(raw), SLICE):
         part = raw[at : at + SLICE + 1]
@@ -41,7 +43,12 @@ def features(text: str | None) -> bytes:
         pairs += np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=CLASSES * CLASSES)
     n = max(len(raw), 1)
     lines, blanks = single[10] + 1, single[9] + single[10] + single[13] + single[32] + 1
-    shape = [min(np.log2(n) / 32, 1), min(np.log2(n / lines) / 16, 1), min(n / blanks / 64, 1), len(raw) == 0]
+    words, rows = whole.split(), whole.split(b"\n")
+    stutter = sum(map(eq, words, words[1:])) / max(len(words) - 1, 1)
+    shape = [
+        min(np.log2(n) / 32, 1), min(np.log2(n / lines) / 16, 1), min(n / blanks / 64, 1), len(raw) == 0,
+        np.sqrt(stutter), np.sqrt(len(set(words)) / max(len(words), 1)), 1 - len(set(rows)) / len(rows),
+    ]
     values = np.concatenate([np.sqrt(single / n), np.sqrt(pairs / n), shape])
     return np.rint(values * 255).astype(np.uint8).tobytes()
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from bedside.llm import bpe, exact_dedup, mixing, quality, sharding, simhash
+from bedside.llm import (
+    bpe, chat, exact_dedup, language, mixing, quality, sharding, simhash, token_files, topk,
+)
 from bedside.llm.common import WORD, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +49,30 @@ def bpe_encode_decode(spark, sf_dir):
     )
 
 
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
+@query("op3_exact_top_k", TOP_K_SQL)
+def exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op4_chat_formatting")
+def chat_formatting(spark, sf_dir):
+    return chat.repair_and_render(table(spark, sf_dir, "conversations"))
+
+
 DEDUP_SQL = """
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents
@@ -63,6 +89,17 @@ def exact_copies(spark, sf_dir):
     return found.withColumnRenamed("digest", "text_sha256")
 
 
+@query("op6_token_files")
+def token_id_files(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_files.round_trip(table(spark, sf_dir, "documents"), path, end_id=2)
+
+
+@query("op7_language_id")
+def language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 @query("op8_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
