@@ -262,7 +262,7 @@ def repair_and_render(
     bounds = moves.groupBy("conv").agg(F.min("place").alias("first"), F.max(F.struct("place", "role_out")).alias("last"))
     bounds = bounds.select("conv", "first", F.col("last.place").alias("last"), F.col("last.role_out").alias("last_role"))
     done = rows.join(moves, ["conv", "place"]).join(bounds, "conv")
-    shown = F.regexp_replace("text", r"<\|im_", r"<\\\\|im_")
+    shown = F.regexp_replace("text", r"<\|im_", r"<\\|im_")
     closing = F.lit(None).cast("array<string>")
     for r in range(1, 4):
         path = [F.lit(ROLES[x]) for x in INSERT_PATH[r, FINAL]]

@@ -86,10 +86,6 @@ def exact_dedup(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they are."""
-    stay = exact_dedup(docs, id_col, text_col).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest")
-    )
-    same = F.col(id_col).eqNullSafe(F.col("_kept_id")) & (
-        sha256(normal_text(F.col(text_col))) == F.col("_kept_digest")
-    )
+    stay = exact_dedup(docs, id_col, text_col).filter("kept").select("doc_id", "digest")
+    same = docs[id_col].eqNullSafe(stay["doc_id"]) & (sha256(normal_text(docs[text_col])) == stay["digest"])
     return docs.join(stay, same, "left_semi")

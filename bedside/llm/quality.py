@@ -92,7 +92,7 @@ class Model:
     risks: list[float]
 
 
-def fit(rows: DataFrame, prior: float, steps: int = 40, rate: float = 0.25, decay: float = 1e-3) -> Model:
+def fit(rows: DataFrame, prior: float, steps: int = 50, rate: float = 0.1, decay: float = 1e-3) -> Model:
     """Minimise the risk over ``rows`` (positive, x) by full passes with moments.
 
     When the negative part of the risk falls below 0, the step undoes that part
@@ -187,9 +187,9 @@ def classify_quality(
     return rows.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows that the classifier accepts, with their columns as they are."""
-    scored = classify_quality(docs, labels, **settings)
-    rejected = scored.filter("predicted = 0").select(F.col("doc_id").alias("_rejected"))
-    id_col = settings.get("id_col", "doc_id")
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("_rejected")), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows that the classifier accepts, with their columns as they are; rows
+    that share the id of a rejected row go with it."""
+    scored = classify_quality(docs, labels, id_col=id_col, **settings)
+    rejected = scored.filter("predicted = 0").select("doc_id")
+    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["doc_id"]), "left_anti")

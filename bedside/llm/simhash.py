@@ -248,6 +248,6 @@ def near_duplicates(
 
 def drop_near_copies(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id names their class, with their columns as they are."""
-    stay = near_duplicates(docs, words, bits, id_col, text_col)
-    stay = stay.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    found = near_duplicates(docs, words, bits, id_col, text_col)
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["doc_id"]), "left_semi")
