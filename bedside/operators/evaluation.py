@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.functions.mixture import logit_variance, mixture_nll
 from bedside.operators.ranking import ranked_counts
@@ -36,16 +36,18 @@ def classification_metrics(preds: DataFrame, by: list[str], label: str = "y", pr
     )
 
 
-def confusion_matrix(preds: DataFrame, label: str = "y", pred: str = "pred") -> DataFrame:
-    """One row per true class, predicted classes as columns. A class without
-    rows is listed with zeros."""
+def confusion_matrix(preds: DataFrame, label: str = "y", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
+    """One row per true class (of each group), predicted classes as columns. A
+    class without rows is listed with zeros."""
     y, p = F.col(label), F.col(pred)
-    counts = preds.agg(*[_count((y == i) & (p == j)).alias(f"c{i}{j}") for i in (0, 1) for j in (0, 1)])
+    counts = preds.groupBy(*(by or [])).agg(
+        *[_count((y == i) & (p == j)).alias(f"c{i}{j}") for i in (0, 1) for j in (0, 1)]
+    )
     rows = [
         F.struct(F.lit(i).alias("label"), F.col(f"c{i}0").alias("pred_0"), F.col(f"c{i}1").alias("pred_1"))
         for i in (0, 1)
     ]
-    return counts.select(F.inline(F.array(*rows)))
+    return counts.select(*(by or []), F.inline(F.array(*rows)))
 
 
 def roc_auc(preds: DataFrame, by: list[str], label: str = "y", score: str = "score") -> DataFrame:
@@ -69,8 +71,8 @@ def leaderboard(preds: DataFrame, best_order: str = "model_ord") -> DataFrame:
     order keeps a tie. One row per model from the first aggregation on."""
     by = [best_order, "model"]
     table = classification_metrics(preds, by).join(F.broadcast(roc_auc(preds, by)), by)
-    best = table.agg(F.max_by(best_order, F.struct("auc", -F.col(best_order))))
-    return table.withColumn("is_best", F.col(best_order) == best.scalar())
+    best = F.max_by(best_order, F.struct("auc", -F.col(best_order))).over(Window.partitionBy())
+    return table.withColumn("is_best", F.col(best_order) == best)
 
 
 # --- mixture predictions -----------------------------------------------------

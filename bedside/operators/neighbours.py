@@ -226,7 +226,7 @@ def nearest(
     ]
     if not spans[0]["n"] or not spans[1]["n"]:
         return open_.withColumn("neighbours", F.expr(
-            f"cast(null as array<struct<d2:double,id:bigint,{payload}:int,v:array<double>>>)"))
+            f"cast(null as array<struct<d2:double,id:{usable.schema['id'].dataType.simpleString()},{payload}:int,v:array<double>>>)"))
     widths = [
         max(s[f"hi_{f}"] for s in spans) - min(s[f"lo_{f}"] for s in spans) for f in features
     ]

@@ -10,7 +10,6 @@ from bedside.functions.hashing import hash_text, hash_uniform
 from bedside.operators.evaluation import classification_metrics, confusion_matrix
 from bedside.operators.neighbours import hand_back, nearest, radius_anti_join, radius_flag
 from bedside.operators.ranking import take_quota
-from bedside.operators.tabular import one_row
 from bedside.session import cut
 
 
@@ -90,11 +89,11 @@ def nsa_detectors(
 
 
 def augment_union(train: DataFrame, detectors: DataFrame, features: list[str]) -> DataFrame:
-    """Training rows plus the detectors as rows of class 1, with negative ids."""
+    """Training rows plus the detectors as rows of class 1, keyed ``detector:<n>``."""
     extra = detectors.select(
-        (-F.col("det_id") - 1).alias("id"), F.lit(1).alias("y"), *features
+        F.concat(F.lit("detector:"), F.col("det_id").cast("string")).alias("id"), F.lit(1).alias("y"), *features
     )
-    return train.select("id", "y", *features).unionByName(extra)
+    return train.select(F.col("id").cast("string").alias("id"), "y", *features).unionByName(extra)
 
 
 def nsa_classify(
@@ -112,33 +111,30 @@ def smote(
     train: DataFrame, features: list[str], k: int = 5, seed: str = "42",
     grid: list[str] | None = None,
 ) -> DataFrame:
-    """Synthetic class-1 rows until both classes are equal.
+    """Synthetic rows of the smaller class until both classes are equal.
 
     Every minority row gets the same number of copies, and the first rows in
     hash order one more, so the total is exact. A copy lies at a random place
     between its row and one of the row's ``k`` nearest minority rows. Rows are
-    (parent, copy, neighbour, features).
+    (parent, copy, neighbour, y, features). A smaller class of fewer than two rows has
+    no neighbours to go to and is refused.
     """
-    minority = train.filter("y = 1").select("id", "y", *features)
+    sizes = train.agg(
+        F.count(F.when(F.col("y") == 1, 1)).alias("ones"), F.count(F.when(F.col("y") == 0, 1)).alias("zeros")
+    ).first()
+    few, many = sorted((sizes["ones"], sizes["zeros"]))
+    label = int(sizes["ones"] <= sizes["zeros"])
+    if few < 2 and many > few:
+        raise ValueError(f"class {label} has {few} rows: none has a neighbour to make rows from")
+    need = many - few
+    minority = train.filter(F.col("y") == label).select("id", "y", *features)
     near = nearest(minority, minority, features, k + 1, grid)
-    counts = one_row(
-        train.agg(
-            F.count(F.when(F.col("y") == 1, 1)).alias("few"),
-            F.count(F.when(F.col("y") == 0, 1)).alias("many"),
-        )
-    )
-    need = F.greatest(F.col("_c.many") - F.col("_c.few"), F.lit(0))
     order = hash_text(seed, F.col("id"), F.lit("copy"))
-    sized = minority.withColumn("_c", counts).withColumn("_need", need)
-    # The quota is the remainder; ``total`` is the number of minority rows.
-    remainder = one_row(train.agg((F.count("*") - 2 * F.sum("y")).alias("need")))["need"]
-    quota = F.greatest(remainder, F.lit(0)) % F.col("total")
-    flagged = take_quota(sized, "y", order, quota, "_one_more")
-    copies = F.floor(F.col("_need") / F.col("_c.few")) + F.col("_one_more").cast("int")
+    flagged = take_quota(minority, "y", order, F.lit(need % max(few, 1)), "_one_more")
+    copies = F.lit(need // max(few, 1)) + F.col("_one_more").cast("int")
     spread = (
         hand_back(flagged.withColumn("_copies", copies).filter("_copies > 0"), near, features)
         .withColumn("_near", F.slice(F.filter("neighbours", lambda n: n["id"] != F.col("id")), 1, k))
-        .filter(F.size("_near") > 0)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
     )
     pick = F.floor(hash_uniform(seed, F.col("id"), F.col("copy"), F.lit("pick")) * F.size("_near"))
@@ -148,6 +144,7 @@ def smote(
         F.col("id").alias("parent"),
         "copy",
         F.col("_other.id").alias("neighbour"),
+        F.lit(label).alias("y"),
         *[(F.col(f) + share * (F.col("_other.v")[i] - F.col(f))).alias(f)
           for i, f in enumerate(features)],
     )
@@ -155,8 +152,8 @@ def smote(
 
 def balanced(train: DataFrame, features: list[str], **options) -> DataFrame:
     """Training rows and their synthetic rows: (id, y, features). Synthetic rows
-    get negative ids from the hash of parent and copy."""
+    are keyed ``made:<parent>:<copy>``."""
     made = smote(train, features, **options)
-    number = F.conv(F.substring(hash_text("made", F.col("parent"), F.col("copy")), 1, 15), 16, 10)
-    extra = made.select((-number.cast("long")).alias("id"), F.lit(1).alias("y"), *features)
-    return train.select("id", "y", *features).unionByName(extra)
+    key = F.concat_ws(":", F.lit("made"), F.col("parent").cast("string"), F.col("copy").cast("string"))
+    extra = made.select(key.alias("id"), "y", *features)
+    return train.select(F.col("id").cast("string").alias("id"), "y", *features).unionByName(extra)

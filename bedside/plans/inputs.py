@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bedside.operators.blocks import block_window, in_blocks, number_rows, own_rows
 from bedside.operators.tabular import mean_impute, standard_scale, stratified_split
@@ -73,21 +73,33 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixture outputs: three fixed weights, logits from the first three dimensions."""
+    """Mixture outputs: three fixed weights; the logits are means over the thirds of
+    the vector, so that every dimension counts."""
+    vector = F.col("embedding").cast("array<double>")
+
+    def third(i: int) -> Column:
+        part = F.slice(vector, 21 * i + 1, 21 if i < 2 else 22)
+        return F.aggregate(part, F.lit(0.0), lambda a, x: a + x) * 4.0
+
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("long").alias("vec_id"),
         F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)).alias("pis"),
-        F.array(*[F.col("embedding")[i].cast("double") * 10.0 for i in range(3)]).alias("mus"),
+        F.array(*[third(i) for i in range(3)]).alias("mus"),
         F.when(F.col("label") >= 5, 1).otherwise(0).alias("y"),
     )
 
 
+def row_key() -> Column:
+    """One text per row of a chart, whatever the length of a patient."""
+    return F.concat_ws(":", F.col("pid").cast("string"), F.col("t").cast("string"))
+
+
 def build_points(chart: DataFrame) -> DataFrame:
     """Scaled vectors: imputed on all rows, split by class, scaled on the training
     rows. Rounded, so that equal distances are equal in any engine."""
-    ids = (F.col("pid") * 1000000 + F.col("t")).alias("id")
+    ids = row_key().alias("id")
     filled = mean_impute(chart.select(ids, "pid", "t", "y", *POINT_FEATURES), POINT_FEATURES)
-    split = stratified_split(filled, "y", [F.col("pid"), F.col("t")])
+    split = cut(stratified_split(filled, "y", [F.col("pid"), F.col("t")]), "split")
     scaled = standard_scale(split, POINT_FEATURES, split.filter("NOT is_test"))
     return scaled.select(
         "id", "y", "is_test", *[F.round(f, 6).alias(f) for f in POINT_FEATURES]

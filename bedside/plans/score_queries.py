@@ -100,8 +100,19 @@ VAR_SQL = (
 BCE_SQL = "greatest(mus[{0}], 0.0) - mus[{0}] * y + ln(1.0 + exp(-abs(mus[{0}])))"
 NLL_SQL = "-ln(" + " + ".join(f"exp(ln(pis[{k}] + 1e-8) - ({BCE_SQL.format(k)}))" for k in (1, 2, 3)) + ")"
 
-over_preds("sigmoid", lambda: mx.sigmoid(F.col("mus")[0]), SIG.format("mus[1]"))
-over_preds("bce_with_logits", lambda: mx.bce_with_logits(F.col("mus")[0], F.col("y")), BCE_SQL.format(1))
+
+def over_logits(key: str, spark_column, sql_expr: str):
+    """The same for an expression of one logit, applied to all three."""
+    values = ", ".join(f"{q6(sql_expr.format(k))} AS value{k}" for k in (1, 2, 3))
+
+    @query(key, with_preds(f"SELECT vec_id, {values} FROM preds"))
+    def run(spark, sf_dir):
+        found = [r6(spark_column(F.col("mus")[k - 1]), f"value{k}") for k in (1, 2, 3)]
+        return inputs.preds(spark, sf_dir).select("vec_id", *found)
+
+
+over_logits("sigmoid", mx.sigmoid, SIG.replace("{}", "mus[{0}]"))
+over_logits("bce_with_logits", lambda mu: mx.bce_with_logits(mu, F.col("y")), BCE_SQL)
 over_preds("log_sum_exp", lambda: mx.log_sum_exp(F.col("mus")), "ln(exp(mus[1]) + exp(mus[2]) + exp(mus[3]))")
 over_preds("mixture_probability", lambda: mx.mixture_probability(F.col("pis"), F.col("mus")), P_SQL)
 over_preds(
@@ -132,12 +143,13 @@ def euclidean_distance(spark, sf_dir):
     )
 
 
-@query("content_key", with_stay("""n AS (SELECT pid % 10 AS grp, 'p' || pid || '.psv' AS name FROM stay)
-SELECT grp, md5(array_to_string(list_sort(list(DISTINCT name)), ',')) AS key FROM n GROUP BY grp"""))
+@query("content_key", with_stay("""n AS (SELECT pid % 10 AS grp, 'p' || pid || '.psv' AS name FROM stay),
+p AS (SELECT grp, md5(array_to_string(list_sort(list(name)), ',')) AS digest FROM (SELECT DISTINCT grp, name FROM n) GROUP BY grp, left(md5(name), 4))
+SELECT grp, md5(array_to_string(list_sort(list(digest)), ',')) AS key FROM p GROUP BY grp"""))
 def content_key(spark, sf_dir):
     name = F.concat(F.lit("p"), F.col("pid").cast("string"), F.lit(".psv"))
     names = inputs.stay(spark, sf_dir).select((F.col("pid") % 10).alias("grp"), name.alias("name"))
-    return names.groupBy("grp").agg(hashing.content_key(F.collect_set("name")).alias("key"))
+    return hashing.content_keys(names, ["grp"], "name")
 
 
 # --- metrics -----------------------------------------------------------------
@@ -198,10 +210,10 @@ def classification_metrics(spark, sf_dir):
 
 
 @query("confusion_matrix", with_stay(f"""{MODELS}
-SELECT CAST(y AS INTEGER) AS label, CAST(count(*) FILTER (pred = 0) AS BIGINT) AS pred_0, CAST(count(*) FILTER (pred = 1) AS BIGINT) AS pred_1
-FROM ok WHERE model = 'anyv' GROUP BY y"""))
+SELECT model, CAST(y AS INTEGER) AS label, CAST(count(*) FILTER (pred = 0) AS BIGINT) AS pred_0, CAST(count(*) FILTER (pred = 1) AS BIGINT) AS pred_1
+FROM ok GROUP BY model, y"""))
 def confusion_matrix(spark, sf_dir):
-    return ev.confusion_matrix(scored(spark, sf_dir).filter("model = 'anyv'"))
+    return ev.confusion_matrix(scored(spark, sf_dir), by=["model"])
 
 
 @query("roc_auc", with_stay(f"{MODELS}, {AUC_SQL} SELECT model, {q6('auc')} AS auc FROM au"))
@@ -252,17 +264,17 @@ def transition_weighted_loss(spark, sf_dir):
     return ev.transition_weighted_loss(one_score(spark, sf_dir), 3.0).select(r6("added"), r6("scaled"))
 
 
-@query("masked_reconstruction_error", with_stay("""m AS (SELECT avg(anyv) AS ma, avg(engage) AS me FROM stay)
-SELECT """ + q6("sum(CASE WHEN anyv IS NOT NULL THEN pow(ma - anyv, 2) ELSE 0 END + CASE WHEN engage IS NOT NULL THEN pow(me - engage, 2) ELSE 0 END)"
-       " / (count(anyv) + count(engage))") + " AS error FROM stay, m"))
+@query("masked_reconstruction_error", with_stay("""m AS (SELECT """ + ", ".join(f"avg({f}) AS m_{f}" for f in sql.FEATURES) + """ FROM stay)
+SELECT """ + q6("sum(" + " + ".join(f"coalesce(pow(m_{f} - {f}, 2), 0)" for f in sql.FEATURES) + ") / ("
+       + " + ".join(f"count({f})" for f in sql.FEATURES) + ")") + " AS error FROM stay, m"))
 def masked_reconstruction_error(spark, sf_dir):
-    """Error of mean imputation over the observed cells of two features."""
+    """Error of mean imputation over all observed cells."""
     chart = inputs.stay(spark, sf_dir)
-    means = tb.one_row(tb.column_means(chart, ["anyv", "engage"]))
+    means = tb.one_row(tb.column_means(chart, sql.FEATURES))
     rows = chart.withColumn("_m", means)
     triples = [
-        (F.col(f"_m.{f}"), F.coalesce(f, F.lit(0.0)), F.col(f).isNotNull().cast("int"))
-        for f in ("anyv", "engage")
+        (F.coalesce(f"_m.{f}", F.lit(0.0)), F.coalesce(f, F.lit(0.0)), F.col(f).isNotNull().cast("int"))
+        for f in sql.FEATURES
     ]
     return ev.masked_reconstruction_error(rows, triples).select(r6("error"))
 

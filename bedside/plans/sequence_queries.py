@@ -194,11 +194,11 @@ def sequence_features(spark, sf_dir):
 
 
 @query("label_channel", with_stay(f"""{NORMED}
-SELECT pid, t, {q6('coalesce(anyv, 0.0)')} AS x_anyv, CAST(y AS DOUBLE) AS x_label, 1 AS m_label,
+SELECT pid, t, {", ".join(f"{q6(f'coalesce({f}, 0.0)')} AS x_{f}" for f in FEATURES)}, CAST(y AS DOUBLE) AS x_label, 1 AS m_label,
        CAST(0 AS DOUBLE) AS d_label, CAST(y AS DOUBLE) AS l_label FROM z"""))
 def label_channel(spark, sf_dir):
     found = sequences(spark, sf_dir, 1, label_channel=True)
-    return found.select("pid", "t", r6("x_anyv"), "x_label", "m_label", "d_label", "l_label")
+    return found.select("pid", "t", *[r6(f"x_{f}") for f in FEATURES], "x_label", "m_label", "d_label", "l_label")
 
 
 @query("decay_factor", with_stay(f"""SELECT pid, t, {", ".join(

@@ -29,8 +29,8 @@ ITEMS = """items AS MATERIALIZED (
 PREDS = """preds AS (
   SELECT CAST(vec_id AS BIGINT) vec_id,
          [CAST(0.5 AS DOUBLE), CAST(0.3 AS DOUBLE), CAST(0.2 AS DOUBLE)] pis,
-         [CAST(embedding[1] AS DOUBLE) * 10, CAST(embedding[2] AS DOUBLE) * 10,
-          CAST(embedding[3] AS DOUBLE) * 10] mus,
+         [list_sum(CAST(embedding[1:21] AS DOUBLE[])) * 4, list_sum(CAST(embedding[22:42] AS DOUBLE[])) * 4,
+          list_sum(CAST(embedding[43:64] AS DOUBLE[])) * 4] mus,
          CAST(CASE WHEN label >= 5 THEN 1 ELSE 0 END AS INTEGER) y
   FROM embeddings)"""
 
@@ -52,7 +52,7 @@ POINTS = f"""{SPLIT},
 scale AS (SELECT {", ".join(f"avg({f}) AS m_{f}, coalesce(nullif(stddev_pop({f}), 0), 1.0) AS s_{f}" for f in POINT_FEATURES)}
   FROM split WHERE NOT is_test),
 points AS MATERIALIZED (
-  SELECT pid * 1000000 + t AS id, y, is_test,
+  SELECT pid || ':' || t AS id, y, is_test,
          {", ".join(f"round(({f} - m_{f}) / s_{f}, 6) + 0 AS {f}" for f in POINT_FEATURES)}
   FROM split, scale),
 train AS MATERIALIZED (SELECT * FROM points WHERE NOT is_test),

@@ -138,7 +138,7 @@ def nsa_classify(spark, sf_dir):
 
 
 @query("augment_union", with_stay(f"""{POINTS}, {DETECTOR_SQL}
-SELECT id, y, {listed()} FROM train UNION ALL SELECT -det_id - 1, 1, {listed()} FROM dets"""))
+SELECT id, y, {listed()} FROM train UNION ALL SELECT 'detector:' || det_id, 1, {listed()} FROM dets"""))
 def augment_union(spark, sf_dir):
     train, _ = inputs.train_test(spark, sf_dir)
     return rb.augment_union(train, detectors_of(spark, sf_dir), FEATURES)
@@ -156,8 +156,9 @@ def knn_classify(spark, sf_dir):
     return nb.knn_classify(test, train, FEATURES).select("id", r6("score"), "pred")
 
 
-SMOTE_SQL = f"""mi AS MATERIALIZED (SELECT * FROM train WHERE y = 1),
-need AS (SELECT greatest(sum(1 - y) - sum(y), 0) AS need, sum(y) AS few FROM train),
+SMOTE_SQL = f"""small AS (SELECT CASE WHEN sum(y) <= sum(1 - y) THEN 1 ELSE 0 END AS label FROM train),
+mi AS MATERIALIZED (SELECT train.* FROM train, small WHERE y = label),
+need AS (SELECT abs(sum(1 - y) - sum(y)) AS need, least(sum(y), sum(1 - y)) AS few FROM train),
 nn AS MATERIALIZED (SELECT q.id, min({{'d': {d2('q', 's')}, 'id': s.id}}, 6) AS near FROM mi q, mi s GROUP BY q.id),
 lists AS (SELECT id, list_filter(near, lambda z: z.id <> id)[1:5] AS near FROM nn),
 base AS (SELECT mi.*, need // few + CASE WHEN row_number() OVER (ORDER BY md5(id || '|copy|42')) <= need % few THEN 1 ELSE 0 END AS copies
@@ -169,11 +170,23 @@ made AS (SELECT p.id AS parent, CAST(p.copy AS INTEGER) AS copy, neighbour, {",
          FROM pick p JOIN mi o ON o.id = p.neighbour)"""
 
 
-@query("smote", with_stay(f"{POINTS}, {SMOTE_SQL} SELECT parent, copy, neighbour, {listed()} FROM made"))
+def smote_of(train):
+    return rb.smote(train, FEATURES, grid=GRID).select("parent", "copy", "neighbour", "y", *[r6(f) for f in FEATURES])
+
+
+@query("smote", with_stay(f"{POINTS}, {SMOTE_SQL} SELECT parent, copy, neighbour, label AS y, {listed()} FROM made, small"))
 def smote(spark, sf_dir):
+    return smote_of(inputs.train_test(spark, sf_dir)[0])
+
+
+# The same with the classes exchanged, so that class 1 is the larger one.
+TURNED = POINTS.replace("SELECT * FROM points WHERE NOT is_test", "SELECT * REPLACE (1 - y AS y) FROM points WHERE NOT is_test")
+
+
+@query("smote_larger_positive", with_stay(f"{TURNED}, {SMOTE_SQL} SELECT parent, copy, neighbour, label AS y, {listed()} FROM made, small"))
+def smote_larger_positive(spark, sf_dir):
     train, _ = inputs.train_test(spark, sf_dir)
-    made = rb.smote(train, FEATURES)
-    return made.select("parent", "copy", "neighbour", *[r6(f) for f in FEATURES])
+    return smote_of(train.withColumn("y", 1 - F.col("y")))
 
 
 @query("smote_balance", with_stay(f"""{POINTS}, n AS (SELECT count(*) FILTER (y = 0) AS many, count(*) FILTER (y = 1) AS few FROM train)
@@ -182,7 +195,7 @@ SELECT CAST(many AS BIGINT) AS negatives, CAST(many AS BIGINT) AS positives, CAS
 def smote_balance(spark, sf_dir):
     """Invariants: equal class counts, every made row between its parents."""
     train, _ = inputs.train_test(spark, sf_dir)
-    made = rb.smote(train, FEATURES)
+    made = rb.smote(train, FEATURES, grid=GRID)
     ends = train.filter("y = 1")
     a = ends.select(F.col("id").alias("parent"), *[F.col(f).alias(f"a_{f}") for f in FEATURES])
     b = ends.select(F.col("id").alias("neighbour"), *[F.col(f).alias(f"b_{f}") for f in FEATURES])
@@ -226,9 +239,7 @@ for _name in md.CLASSIFIERS:
 @query("boosting_with_missing")
 def boosting_with_missing(spark, sf_dir):
     chart = inputs.stay(spark, sf_dir)
-    rows = tb.stratified_split(chart, "y", [F.col("pid"), F.col("t")]).withColumn(
-        "id", F.col("pid") * 1000000 + F.col("t")
-    )
+    rows = tb.stratified_split(chart, "y", [F.col("pid"), F.col("t")]).withColumn("id", inputs.row_key())
     train, test = rows.filter("NOT is_test"), rows.filter("is_test")
     return md.boosting_with_missing(train, test, inputs.STAY_FEATURES)
 

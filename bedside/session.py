@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -38,10 +39,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.applicationId not in _LOCAL_DIRS:
-        if not sc.master.startswith("local"):
+        if not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        sc.setCheckpointDir(path)
         _LOCAL_DIRS[sc.applicationId] = path
     return _LOCAL_DIRS[sc.applicationId]
 

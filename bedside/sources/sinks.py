@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from bedside.functions.hashing import content_keys
 from bedside.operators.blocks import BLOCK, block_of
 from bedside.sources.patient_files import lines_of, positive_files
 
@@ -90,18 +91,9 @@ def write_reports(reports: dict[str, DataFrame], path: str) -> DataFrame:
 
 
 def content_digest(df: DataFrame, column: str) -> str:
-    """One md5 over the distinct strings of a column, whatever their order.
-
-    Strings are sorted inside 65536 even hash parts; the digest of all is taken
-    over the parts' digests, so no task gathers all strings.
-    """
-    names = df.select(column).distinct().withColumn("_part", F.substring(F.md5(column), 1, 4))
-    parts = names.groupBy("_part").agg(
-        F.md5(F.concat_ws(",", F.sort_array(F.collect_list(column)))).alias("digest")
-    )
-    return parts.agg(
-        F.md5(F.concat_ws(",", F.sort_array(F.collect_list("digest")))).alias("key")
-    ).first()["key"]
+    """One md5 over the distinct strings of a column, whatever their order."""
+    keys = content_keys(df.select(F.lit(0).alias("_all"), column), ["_all"], column).first()
+    return keys["key"] if keys else ""
 
 
 def keyed_table(
