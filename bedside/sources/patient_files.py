@@ -10,6 +10,8 @@ by :func:`bedside.sources.sinks.write_patient_files`.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bedside.functions.cells import cell_present, label_is_one, split_line, to_number, trimmed
@@ -19,25 +21,45 @@ from bedside.session import cut
 PLACE = ["file", "chunk", "split"]
 
 
-def ingest_lines(spark: SparkSession, path: str, pattern: str = r"^p.*\.psv$") -> DataFrame:
+#: A file of a folder, or a part of a patient as this package writes it.
+PLAIN, PARTS = r"^([^/=]+\.(?:psv|csv))$", r"^file=([^/]+)/chunk=(\d+)/[^/]+$"
+
+
+def ingest_lines(spark: SparkSession, path: str | list[str], pattern: str = r"^p.*\.psv$") -> DataFrame:
     """The placed lines, written once so that all later steps see the same splits."""
     return cut(placed_lines(spark, path, pattern), "lines")
 
 
-def placed_lines(spark: SparkSession, path: str, pattern: str = r"^p.*\.psv$") -> DataFrame:
+def placed_lines(spark: SparkSession, path: str | list[str], pattern: str = r"^p.*\.psv$") -> DataFrame:
     """(file, chunk, split, pos, value) of the files whose name matches.
 
+    Only files of the folder itself are read, besides the ``file=``/``chunk=``
+    folders of our own writer, so a name is met once and is the key ``file``. Of
+    several folders the key is ``<folder>/<name>``: equal names stay apart.
     Rows of one split come from one task in file order, so
     ``monotonically_increasing_id`` orders them there; it is compared within a
     split only.
     """
-    where = F.col("_metadata.file_path")
+    if isinstance(path, str):
+        return _folder_lines(spark, path, pattern)
+    each = [
+        _folder_lines(spark, p, pattern).withColumn("file", F.concat(F.lit(p.rstrip("/") + "/"), F.col("file")))
+        for p in path
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
+def _folder_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    root = system.makeQualified(folder).toUri().getRawPath().rstrip("/") + "/"
+    full = F.regexp_extract(F.col("_metadata.file_path"), r"^[^:/]+:(?://[^/]*)?(/.*)$", 1)
+    inside = F.when(full.startswith(root), F.substring(full, len(root) + 1, 1 << 20)).otherwise("")
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    plain, part = F.regexp_extract(inside, PLAIN, 1), F.regexp_extract(inside, PARTS, 1)
     lines = raw.select(
-        F.regexp_extract(where, r"([^/=]+\.(?:psv|csv))(?:/|$)", 1).alias("file"),
-        F.coalesce(
-            F.regexp_extract(where, r"/chunk=(\d+)/", 1).try_cast("int"), F.lit(0)
-        ).alias("chunk"),
+        F.when(plain != "", plain).otherwise(part).alias("file"),
+        F.coalesce(F.regexp_extract(inside, PARTS, 2).try_cast("long"), F.lit(0)).alias("chunk"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("pos"),
         "value",
@@ -45,8 +67,13 @@ def placed_lines(spark: SparkSession, path: str, pattern: str = r"^p.*\.psv$") -
     return lines.filter(F.col("file").rlike(pattern))
 
 
+def bare_name(file: str = "file") -> Column:
+    """The name of a file without its folder."""
+    return F.regexp_extract(file, r"([^/]+)$", 1)
+
+
 def scan_patient_files(lines: DataFrame, limit: int | None = None) -> DataFrame:
-    """Files sorted by name with their line counts, the first ``limit`` if given
+    """Files sorted by key with their line counts, the first ``limit`` if given
     (0 and None mean all)."""
     files = lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"))
     return files.orderBy("file").limit(limit) if limit else files
@@ -151,7 +178,7 @@ def read_text_by_name(lines: DataFrame, wanted: list[str]) -> DataFrame:
     )
 
 
-def presence_chart(text: DataFrame, features: list[str], label: str = "SepsisLabel") -> DataFrame:
+def presence_chart(text: DataFrame, features: list[str], label: str) -> DataFrame:
     """A chart of text rows for the frequency analyses: 1 where a cell counts as
     present, ``y`` by the label's text, NULL on rows too short to have one."""
     seen = {f: F.when(cell_present(F.col(f)), 1.0) for f in features}
@@ -168,7 +195,7 @@ def read_union(lines: DataFrame) -> DataFrame:
     return read_by_name(lines, names)
 
 
-def positive_files(lines: DataFrame, label: str = "SepsisLabel") -> DataFrame:
+def positive_files(lines: DataFrame, label: str) -> DataFrame:
     """Files with any label text ``1``; files without the label column have none."""
     return data_lines(lines).filter(_named(label) == "1").select("file").distinct()
 

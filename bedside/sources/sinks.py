@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bedside.functions.hashing import content_keys
 from bedside.operators.blocks import BLOCK, block_of
-from bedside.sources.patient_files import lines_of, positive_files
+from bedside.session import cut
+from bedside.sources.patient_files import bare_name, lines_of, positive_files
 
 
 def write_patient_files(
@@ -37,17 +39,23 @@ def write_patient_files(
 
 
 def extract_positive_cohort(
-    lines: DataFrame, path: str, expected: int | None = None, label: str = "SepsisLabel"
+    lines: DataFrame, path: str, label: str, expected: int | None = None
 ) -> DataFrame:
-    """Copy out the lines of positive patients, replacing earlier output, and
-    return one row (found, expected, as_expected). Chunks of a long patient are
-    written by different tasks."""
-    ids = positive_files(lines, label)
+    """Copy out positive patients as patient files that the readers read again,
+    replacing earlier output, and return one row (found, expected, as_expected).
+
+    Splits of a long patient are written by different tasks; a part is numbered
+    by its chunk and its place in the file, which keeps their order.
+    """
+    ids = cut(positive_files(lines, label), "positive")
+    part = F.col("chunk") * F.lit(1 << 40) + F.col("split")
     (
         lines_of(lines, ids)
-        .repartition("file", "chunk", "split")
-        .sortWithinPartitions("file", "chunk", "split", "pos")
-        .write.mode("overwrite").parquet(path)
+        .withColumn("chunk", part)
+        .repartition("file", "chunk")
+        .sortWithinPartitions("file", "chunk", "pos")
+        .select(bare_name().alias("file"), "chunk", "value")
+        .write.mode("overwrite").partitionBy("file", "chunk").text(path)
     )
     return ids.agg(F.count(F.lit(1)).alias("found")).withColumns(
         {
@@ -73,21 +81,11 @@ def load_stats(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("feature", "mean", "std")
 
 
-def write_reports(reports: dict[str, DataFrame], path: str) -> DataFrame:
-    """Write each analysis under one folder; return (report, rows)."""
+def write_reports(reports: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Write each analysis under one folder; return them as read back."""
     for name, report in reports.items():
         report.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(reports.values())).sparkSession
-    counts = [
-        spark.read.parquet(f"{path}/{name}")
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(name).alias("report"), "rows")
-        for name in reports
-    ]
-    result = counts[0]
-    for more in counts[1:]:
-        result = result.unionByName(more)
-    return result
+    return {name: report.sparkSession.read.parquet(f"{path}/{name}") for name, report in reports.items()}
 
 
 def content_digest(df: DataFrame, column: str) -> str:
@@ -97,12 +95,18 @@ def content_digest(df: DataFrame, column: str) -> str:
 
 
 def keyed_table(
-    spark: SparkSession, folder: str, key: str, build: Callable[[], DataFrame]
+    spark: SparkSession, folder: str, key: str, metadata: dict[str, str], build: Callable[[], DataFrame]
 ) -> tuple[DataFrame, bool]:
-    """The table stored under ``key`` and whether it was reused; built if absent."""
-    path = f"{folder}/key={key}"
+    """The table stored under ``key`` and whether it was reused, by this application
+    or an earlier one. It is built if absent, or if its metadata, written after
+    the table and so last, is absent or differs."""
+    table, about = f"{folder}/key={key}/table", f"{folder}/key={key}/about"
+    wanted = json.dumps(metadata, sort_keys=True)
     try:
-        return spark.read.parquet(path), True
+        if [r["value"] for r in spark.read.text(about).collect()] == [wanted]:
+            return spark.read.parquet(table), True
     except AnalysisException:
-        build().write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path), False
+        pass
+    build().write.mode("overwrite").parquet(table)
+    spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(about)
+    return spark.read.parquet(table), False
