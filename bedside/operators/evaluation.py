@@ -53,8 +53,8 @@ def confusion_matrix(preds: DataFrame, label: str = "y", pred: str = "pred", by:
 def roc_auc(preds: DataFrame, by: list[str], label: str = "y", score: str = "score") -> DataFrame:
     """Exact area under the ROC curve, ties averaged; 0 if a class is absent.
 
-    Rows with equal scores are collapsed first and ranked cell by cell of the
-    score range, so no window holds all scores.
+    Rows with equal scores are collapsed first and ranked range by range, so no
+    window holds all scores.
     """
     counts = preds.groupBy(*by, score).agg(
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.operators.frequency import guard_status, unpivot
 from bedside.operators.ranking import exact_quantiles
+from bedside.session import cut
 
 
 def value_counts(chart: DataFrame, features: list[str]) -> DataFrame:
@@ -63,7 +64,7 @@ def with_bin(df: DataFrame, edges: DataFrame) -> DataFrame:
 
 def quantile_bin(chart: DataFrame, features: list[str], bins: int = 5) -> DataFrame:
     """(pid, t, feature, value, bin) over present cells."""
-    edges = quantile_edges(value_counts(chart, features), bins)
+    edges = quantile_edges(cut(value_counts(chart, features), "values"), bins)
     long = unpivot(chart, ["pid", "t"], features).filter(F.col("value").isNotNull())
     return with_bin(long, edges)
 
@@ -71,7 +72,7 @@ def quantile_bin(chart: DataFrame, features: list[str], bins: int = 5) -> DataFr
 def mutual_information(chart: DataFrame, features: list[str], bins: int = 5) -> DataFrame:
     """(feature, mi, status), in nats. 0 for a feature with one value, NULL if it
     has fewer than ``2 * bins`` present rows or one class."""
-    counts = value_counts(chart, features)
+    counts = cut(value_counts(chart, features), "values")
     table = (
         with_bin(counts, quantile_edges(counts, bins))
         .groupBy("feature", "bin", "y")

@@ -8,6 +8,7 @@ dimension. No step compares all points with all points.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -36,26 +37,53 @@ def in_touched_cells(df: DataFrame, grid: list[str], radius: float, side: float)
     return df
 
 
+def cells_of_points(points: DataFrame, features: list[str], radius: float, grid: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(boxes, points) for :func:`radius_anti_join`: distinct points by cells half a
+    radius wide and the bounds of each occupied cell, both written once."""
+    grid = grid or features[:2]
+    placed = cut(in_cell(points.select(*features).distinct(), grid, radius / 2), "cells")
+    boxes = placed.groupBy(*_names(grid)).agg(
+        *[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]
+    )
+    return cut(boxes, "boxes"), placed
+
+
+def _gaps(features: list[str]) -> tuple[Column, Column]:
+    """Squared distance of the nearest and of the farthest corner of a box."""
+    inner, outer = F.lit(0.0), F.lit(0.0)
+    for f in features:
+        below, above = F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}")
+        gap, far = F.greatest(below, above, F.lit(0.0)), F.greatest(F.abs(below), F.abs(above))
+        inner, outer = inner + gap * gap, outer + far * far
+    return inner, outer
+
+
 def radius_anti_join(
-    candidates: DataFrame, points: DataFrame, features: list[str], radius: float,
+    candidates: DataFrame, points: DataFrame | tuple[DataFrame, DataFrame], features: list[str], radius: float,
     grid: list[str] | None = None,
 ) -> DataFrame:
-    """Candidates (``det_id``, features) farther than ``radius`` from every point.
+    """Candidates (``det_id``, ``features``) farther than ``radius`` from every point.
 
-    The candidates are the side that is copied to cells. A round of them is small
-    enough for Spark to broadcast by its own size check, and then the points are
-    scanned without a shuffle; hits are reduced to distinct candidate ids
-    before they move.
+    Candidates meet boxes of points before points. A box whose farthest corner
+    lies inside the radius rejects its candidate, one whose nearest corner lies
+    outside is passed over, and only border boxes of candidates still open are
+    looked into. ``points`` may be the result of :func:`cells_of_points`, so that
+    several calls read the rows once.
     """
     grid = grid or features[:2]
-    side = 2 * radius
-    reached = in_touched_cells(candidates, grid, radius, side).select(
+    boxes, placed = points if isinstance(points, tuple) else cells_of_points(points, features, radius, grid)
+    limit = radius * radius
+    touched = in_touched_cells(candidates, grid, radius, radius / 2)
+    inner, outer = _gaps(features)
+    met = touched.join(boxes, _names(grid)).withColumns({"_inner": inner, "_outer": outer})
+    met = cut(met.filter(F.col("_inner") <= limit).select("det_id", *features, *_names(grid), "_outer"), "met")
+    sure = met.filter(F.col("_outer") <= limit).select("det_id").distinct()
+    border = met.join(sure, "det_id", "left_anti").select(
         "det_id", *_names(grid), *[F.col(f).alias(f"c_{f}") for f in features]
     )
-    near = squared_distance([(F.col(f), F.col(f"c_{f}")) for f in features]) <= radius * radius
-    cells = in_cell(points.select(*features), grid, side)
-    hits = cells.join(reached, _names(grid)).filter(near).select("det_id").distinct()
-    return candidates.join(hits, "det_id", "left_anti")
+    near = squared_distance([(F.col(f), F.col(f"c_{f}")) for f in features]) <= limit
+    hits = placed.join(border, _names(grid)).filter(near).select("det_id").distinct()
+    return candidates.join(sure.unionByName(hits), "det_id", "left_anti")
 
 
 def radius_flag(
@@ -64,45 +92,44 @@ def radius_flag(
 ) -> DataFrame:
     """1 if any detector is within ``radius`` (inclusive), else 0.
 
-    Detectors number at most what their generator was asked for. They are
-    grouped by touched cell, so each row meets at most one joined row and is
-    neither copied nor grouped afterwards.
+    Distinct row vectors are asked once, against boxes of detectors as in
+    :func:`radius_anti_join`; the answer goes back to all rows of a vector.
     """
     grid = grid or features[:2]
-    side = 2 * radius
-    vector = F.array(*features)
-    by_cell = (
-        in_touched_cells(detectors, grid, radius, side)
-        .groupBy(*_names(grid))
-        .agg(F.collect_list(vector).alias("_near"))
+    asked = cut(
+        df.select(*features).distinct().withColumn("det_id", F.monotonically_increasing_id()), "asked"
     )
+    far = radius_anti_join(asked, detectors, features, radius, grid).select(*features).withColumn("_far", F.lit(1))
+    return hand_back(df, asked.drop("det_id").join(far, features, "left"), features).withColumn(
+        out, F.when(F.col("_far").isNull(), 1).otherwise(0)
+    ).drop("_far")
 
-    def close(v: Column) -> Column:
-        return squared_distance([(F.col(f), v[i]) for i, f in enumerate(features)]) <= radius * radius
 
-    hit = F.coalesce(F.exists("_near", close), F.lit(False))
-    return (
-        in_cell(df, grid, side)
-        .join(by_cell, _names(grid), "left")
-        .withColumn(out, hit.cast("int"))
-        .drop("_near", *_names(grid))
-    )
+def start_radius(points: DataFrame, grid: list[str], diameter: float, k: int) -> float:
+    """Largest of some radii whose cells hold few points as seen from a point.
+
+    Points are counted once in the finest cells; a level's cells hold sixteen of
+    the level below, a shift of their numbers, so the rest works on counts."""
+    levels = 7
+    finest = diameter / 4.0**11
+    names = _names(grid)
+    counts = cut(in_cell(points, grid, 2 * finest).groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "finest")
+    good = finest
+    for level in range(levels):
+        shift = 3 * level
+        radius = finest * 2.0**shift
+        sizes = counts.groupBy(*[F.shiftright(n, shift).alias(n) for n in names]).agg(F.sum("n").alias("n"))
+        seen = sizes.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("seen")).first()["seen"]
+        if seen > 4 * k:
+            break
+        good = radius
+    return good
 
 
-def start_radius(points: DataFrame, grid: list[str], diameter: float, k: int) -> float:
-    """Largest of some radii whose cells hold few points as seen from a point:
-    one count of points per cell for all radii together, one row per radius."""
-    radii = [diameter / 4.0**j for j in range(1, 12)]
-    levels = F.explode(F.array(*[F.lit(r) for r in radii])).alias("_r")
-    placed = points.select(levels, *grid)
-    sizes = placed.groupBy(
-        "_r", *[F.floor(F.col(f) / (2 * F.col("_r"))).alias(n) for f, n in zip(grid, _names(grid))]
-    ).agg(F.count(F.lit(1)).alias("n"))
-    seen = sizes.groupBy("_r").agg(
-        (F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("seen")
-    )
-    fine = [r["_r"] for r in seen.collect() if r["seen"] <= 4 * k]
-    return max(fine, default=radii[-1])
+def spread_features(points: DataFrame, features: list[str], most: int = 2) -> list[str]:
+    """The features a grid tells points apart by best: those of most distinct values."""
+    found = points.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
+    return sorted(features, key=lambda f: (-(found[f] or 0), features.index(f)))[:most]
 
 
 def _boxes(points: DataFrame, features: list[str], grid: list[str], side: float) -> DataFrame:
@@ -126,13 +153,7 @@ def _bounded(pairs: DataFrame, features: list[str], radius: float, k: int) -> Da
     from the farthest corners of the nearest boxes. Rounding is monotone, so
     the bounds hold for the distances as computed.
     """
-    zero = F.lit(0.0)
-    inner, outer = zero, zero
-    for f in features:
-        below, above = F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}")
-        gap = F.greatest(below, above, zero)
-        far = F.greatest(F.abs(below), F.abs(above))
-        inner, outer = inner + gap * gap, outer + far * far
+    inner, outer = _gaps(features)
     query = Window.partitionBy(*features)
     certain = F.sum(F.least("n", F.lit(k))).over(
         query.orderBy("_outer").rowsBetween(Window.unboundedPreceding, 0)
@@ -172,8 +193,11 @@ def near_cells(
         return joined.withColumns({f: F.col(f"_q_{f}") for f in features}).select(*columns)
 
     pairs = cut(_bounded(paired(touched, cells, 0), features, radius, k), "cells")
-    while not pairs.filter(F.col("n") > heavy).isEmpty() and len(sides) < 16:
-        deep = pairs.filter(F.col("n") > heavy)
+    # A box that is a single point in all features cannot be split; equal points are
+    # cut to the first few before, so such a box is small.
+    wide = reduce(or_, [F.col(f"lo_{f}") < F.col(f"hi_{f}") for f in grid])
+    while not pairs.filter((F.col("n") > heavy) & wide).isEmpty():
+        deep = pairs.filter((F.col("n") > heavy) & wide)
         inside = in_cell(points, grid, sides[-1]).join(
             deep.select(*names).distinct(), names, "left_semi"
         )
@@ -183,7 +207,7 @@ def near_cells(
             *[F.col(f).alias(f"_q_{f}") for f in features],
             *[F.col(name).alias(f"_p{i}") for i, name in enumerate(names)],
         )
-        both = pairs.filter(F.col("n") <= heavy).select(*columns).unionByName(
+        both = pairs.filter(~((F.col("n") > heavy) & wide)).select(*columns).unionByName(
             paired(opened, children, len(sides) - 1)
         )
         pairs = cut(_bounded(both, features, radius, k), "cells")
@@ -197,16 +221,15 @@ def nearest(
     """(features, ``neighbours``) per distinct query vector: its ``k`` nearest
     points as sorted structs (d2, id, payload, v), ties by id. Exact.
 
-    Query vectors are looked up with a small radius first. A vector with ``k``
-    points inside the radius is settled, since every point that close lies in a
-    touched cell; the others go on with a larger radius. Dense regions are thus
-    settled with small cells. Later rounds look at boxes before points (see
-    :func:`near_cells`), so sparse queries do not meet whole dense regions. Of
+    The grid spans two features (by default those of most distinct values), so
+    copies do not grow with the number of features, while boxes bound all of
+    them. Query vectors are looked up with a small radius first. A vector with
+    ``k`` points inside the radius is settled, since every point that close lies
+    in a touched cell; the others go on with a larger radius. Every round looks at
+    boxes before points (see :func:`near_cells`), so no query meets a whole dense region. Of
     equal points only the first ``k`` ids are kept. Each round is written to the
     shared folder, so a lost executor repeats part of one round.
     """
-    grid = grid or features
-    names = _names(grid)
     first = Window.partitionBy(*features).orderBy("id")
     usable = cut(
         points.select("id", payload, *features)
@@ -231,6 +254,8 @@ def nearest(
         max(s[f"hi_{f}"] for s in spans) - min(s[f"lo_{f}"] for s in spans) for f in features
     ]
     diameter = sum(w * w for w in widths) ** 0.5 + 1e-6
+    grid = grid or spread_features(usable, features)
+    names = _names(grid)
     radius = start_radius(usable, grid, diameter, k)
     copies = usable.select(
         "id", payload, F.array(*features).alias("v"), *[F.col(f).alias(f"p_{f}") for f in features]
@@ -241,20 +266,14 @@ def nearest(
     settled = []
     while True:
         last = radius >= diameter
-        if not settled:
-            side = 2 * radius
-            pairs = in_touched_cells(open_, grid, radius, side).join(
-                in_cell(copies, point_grid, side), names
-            ).withColumn("limit", F.lit(radius * radius))
-        else:
-            cells, sides = near_cells(open_, usable, features, grid, radius, k, heavy)
-            by_level = [
-                cells.filter(F.col("level") == level)
-                .select(*features, *names, "limit")
-                .join(in_cell(copies, point_grid, side), names)
-                for level, side in enumerate(sides)
-            ]
-            pairs = reduce(DataFrame.unionByName, by_level)
+        cells, sides = near_cells(open_, usable, features, grid, radius, k, heavy)
+        by_level = [
+            cells.filter(F.col("level") == level)
+            .select(*features, *names, "limit")
+            .join(in_cell(copies, point_grid, side), names)
+            for level, side in enumerate(sides)
+        ]
+        pairs = reduce(DataFrame.unionByName, by_level)
         found = cut(
             pairs.withColumn("d2", d2)
             .filter(F.col("d2") <= F.col("limit"))
@@ -280,13 +299,16 @@ def hand_back(
 ) -> DataFrame:
     """Join answers, one per key, to all rows of their key.
 
-    A key of more than ``hot_rows`` rows is answered by broadcast and its rows are
-    not shuffled; there are at most ``rows / hot_rows`` such keys. The rest is
-    a plain join whose keys are all small.
+    Keys of more than ``hot_rows`` rows are joined apart: the rows are not shuffled
+    as long as Spark's own size check lets it broadcast the answers of those
+    keys, and beyond it skewed partitions are split. The rest is a plain join
+    whose keys are all small.
     """
     counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = F.broadcast(counted.filter(F.col("_n") > hot_rows).select(*keys))
-    many = rows.join(F.broadcast(answers.join(hot, keys, "left_semi")), keys)
+    hot = cut(counted.filter(F.col("_n") > hot_rows).select(*keys), "hot")
+    if hot.isEmpty():
+        return rows.join(answers, keys)
+    many = rows.join(cut(answers.join(hot, keys, "left_semi"), "hot"), keys)
     few = rows.join(hot, keys, "left_anti").join(answers, keys)
     return many.unionByName(few)
 

@@ -5,69 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.operators.blocks import prefix_sums
+from bedside.session import cut
+
 
 def one_row(df: DataFrame) -> Column:
     """A one-row result as a struct column: a scalar subquery, not a join."""
     return df.select(F.struct(*df.columns).alias("row")).scalar()
 
 
-# Cells a value range is cut into.
-CELLS = 65536.0
+# Values one range holds, about, and how many ranges there are at most.
+RANGE_ROWS, RANGES = 4096, 20000
 
 
-def place_in_cells(counts: DataFrame, key: list[str], value: str) -> DataFrame:
-    """Add ``_cell``, which never decreases with the value.
+def in_ranges(counts: DataFrame, key: list[str], value: str) -> DataFrame:
+    """Add ``_part``, the number of a range of (key, value) in order.
 
-    Cells are finest around a middle value and widen with the fourth root of
-    the distance from it, so a far outlier does not squeeze all other values
-    into one cell. Only correctly rounded, hence monotone, arithmetic is used,
-    and the middle is an integer average, the same in any order of summing.
-    Keys are few (features, models or classes), so their ranges are broadcast; an
-    empty key ranks all values together.
+    ``counts`` has one row per (key, value). It is written once, and Spark's
+    range shuffle takes the borders from the values themselves, so any
+    distribution gives even ranges; the result is written, so the ranges stay as
+    they are.
     """
-    root = F.signum(value) * F.least(F.sqrt(F.sqrt(F.abs(F.col(value)))), F.lit(1e4))
-    middle = F.sum(F.round(root * 1000).cast("long")) / F.count(F.lit(1)) / 1000.0
-    ranges = counts.groupBy(*key).agg(
-        middle.alias("_root"), (F.max(value) - F.min(value)).alias("_width")
+    counts = cut(counts, "counts")
+    ranges = min(max(1, -(-counts.count() // RANGE_ROWS)), RANGES)
+    dealt = counts.repartitionByRange(ranges, *key, value)
+    return cut(dealt.withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def ranked_ranges(placed: DataFrame, key: list[str], value: str, weights: list[str]) -> DataFrame:
+    """Add ``before_<w>`` to rows from :func:`in_ranges`: sums per range, then the
+    place inside a range."""
+    sums = placed.groupBy(*key, "_part").agg(*[F.sum(w).alias(w) for w in weights])
+    starts = prefix_sums(sums, key, ["_part"], weights).select(
+        *key, "_part", *[F.col(f"before_{w}").alias(f"_start_{w}") for w in weights]
     )
-    squared = F.col("_root") * F.col("_root")
-    away = F.col(value) - F.signum("_root") * squared * squared
-    # The middle may lie outside the values; clamp instead of growing cells.
-    spread = F.least(F.sqrt(F.sqrt(F.abs(away) / F.col("_width"))), F.lit(1.0))
-    cell = F.when(F.col("_width") > 0, F.floor(F.signum(away) * spread * (CELLS / 2))).otherwise(0)
-    if key:
-        ranged = counts.join(F.broadcast(ranges), key)
-    else:
-        ranged = counts.withColumn("_range", one_row(ranges)).withColumns(
-            {"_root": F.col("_range._root"), "_width": F.col("_range._width")}
-        ).drop("_range")
-    return ranged.withColumn("_cell", cell.cast("int")).drop("_root", "_width")
-
-
-def cell_starts(placed: DataFrame, key: list[str], weights: list[str]) -> DataFrame:
-    """(key, _cell, <w>, before_<w>): at most 65536 rows per key."""
-    sums = placed.groupBy(*key, "_cell").agg(
-        *[F.sum(w).alias(w) for w in weights], F.count(F.lit(1)).alias("_values")
+    inside = prefix_sums(placed, [*key, "_part"], [value], weights)
+    return (
+        inside.join(starts, [*key, "_part"])
+        .withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"_start_{w}") for w in weights})
+        .drop("_part", *[f"_start_{w}" for w in weights])
     )
-    return prefix_sums(sums, key, ["_cell"], weights)
 
 
 def ranked_counts(counts: DataFrame, key: list[str], value: str, weights: list[str]) -> DataFrame:
     """Add ``before_<w>``: the sum of each weight over smaller values of the key.
 
     ``counts`` has one row per (key, value), so repeated values are already
-    collapsed; only the values of one cell are sorted together.
+    collapsed; only the values of one range are sorted together.
     """
-    placed = place_in_cells(counts, key, value)
-    starts = cell_starts(placed, key, weights).select(
-        *key, "_cell", *[F.col(f"before_{w}").alias(f"_start_{w}") for w in weights]
-    )
-    inside = prefix_sums(placed, [*key, "_cell"], [value], weights)
-    return (
-        inside.join(starts, [*key, "_cell"])
-        .withColumns({f"before_{w}": F.col(f"before_{w}") + F.col(f"_start_{w}") for w in weights})
-        .drop("_cell", *[f"_start_{w}" for w in weights])
-    )
+    return ranked_ranges(in_ranges(counts, key, value), key, value, weights)
 
 
 def exact_quantiles(
@@ -76,25 +61,20 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key as an array, one entry per element
     of ``probs``; these may use the key's ``total`` and ``distinct`` counts.
 
-    ``counts`` holds each (key, value) once with its row count ``n``. Ranks are
-    located among the cells first; only values of cells that hold a wanted rank
-    are sorted. That cell list (two per probability and key) is broadcast.
+    ``counts`` holds each (key, value) once with its row count ``n``. Keys are few
+    (features, or none), so their totals are broadcast.
     """
-    placed = place_in_cells(counts, key, value)
-    whole = Window.partitionBy(*key)
-    starts = cell_starts(placed, key, ["n"]).withColumns(
-        {"total": F.sum("n").over(whole), "distinct": F.sum("_values").over(whole)}
-    )
+    placed = in_ranges(counts, key, value)
+    totals = placed.groupBy(*key).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"))
+    ranked = ranked_ranges(placed, key, value, ["n"])
+    if key:
+        near = ranked.join(F.broadcast(totals), key)
+    else:
+        near = ranked.withColumn("_t", one_row(totals)).withColumns(
+            {c: F.col(f"_t.{c}") for c in ("total", "distinct")}
+        ).drop("_t")
     wanted = [p * (F.col("total") - 1) for p in probs]
-    ranks = F.array(*[side(w) for w in wanted for side in (F.floor, F.ceil)])
-    end = F.col("before_n") + F.col("n")
-    hit = starts.filter(
-        F.exists(ranks, lambda r: (r >= F.col("before_n")) & (r < end))
-    ).select(*key, "_cell", F.col("before_n").alias("_start"), "total", "distinct")
-    near = prefix_sums(
-        placed.join(F.broadcast(hit), [*key, "_cell"]), [*key, "_cell"], [value], ["n"]
-    )
-    first = F.col("before_n") + F.col("_start")
+    first = F.col("before_n")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= first) & (rank < first + F.col("n")), F.col(value)))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from bedside.functions.hashing import hash_text, hash_uniform
 from bedside.operators.evaluation import classification_metrics, confusion_matrix
-from bedside.operators.neighbours import hand_back, nearest, radius_anti_join, radius_flag
+from bedside.operators.neighbours import (
+    cells_of_points, hand_back, nearest, radius_anti_join, radius_flag,
+)
 from bedside.operators.ranking import take_quota
 from bedside.session import cut
 
@@ -63,9 +65,9 @@ def nsa_detectors(
     grid: list[str] | None = None,
 ) -> DataFrame:
     """Points inside the training bounds farther than ``radius`` from every
-    label-0 row: (det_id, features). Candidates are drawn and tested a round at
-    a time until enough are accepted or a run of ``max_trials`` fails; without
-    label-0 rows there are none.
+    label-0 row: (det_id, features). The label-0 rows are put in boxes once.
+    Candidates are drawn and tested a round at a time until enough are accepted
+    or a run of ``max_trials`` fails; without label-0 rows there are none.
     """
     spark = train.sparkSession
     bounds = [(r["feature"], r["lo"], r["hi"]) for r in feature_bounds(train, features).collect()]
@@ -75,17 +77,21 @@ def nsa_detectors(
             F.col("id").alias("det_id"), *[F.lit(0.0).alias(f) for f in features]
         )
     bounds.sort(key=lambda b: features.index(b[0]))
-    rounds, start = [], 0
+    placed = cells_of_points(normal, features, radius, grid)
+    rounds, start, size = [], 0, round_size
     while True:
-        drawn = candidates(bounds, spark, start, round_size, seed)
-        rounds.append(cut(radius_anti_join(drawn, normal, features, radius, grid), "detectors"))
-        start += round_size
+        drawn = candidates(bounds, spark, start, size, seed)
+        rounds.append(cut(radius_anti_join(drawn, placed, features, radius, grid), "detectors"))
+        start += size
         kept = reduce(DataFrame.unionByName, rounds)
-        found = accepted_in_order(kept, num_detectors, max_trials)
+        found = cut(accepted_in_order(kept, num_detectors, max_trials), "accepted")
         seen = found.agg(F.count(F.lit(1)).alias("n"), F.max("det_id").alias("last")).first()
         last = -1 if seen["last"] is None else seen["last"]
         if seen["n"] >= num_detectors or start - 1 - last >= max_trials:
             return found
+        # As many as the share accepted so far lets expect, within bounds.
+        wanted = (num_detectors - seen["n"]) * start // max(seen["n"], 1)
+        size = min(max(round_size, wanted + wanted // 8), 64 * round_size)
 
 
 def augment_union(train: DataFrame, detectors: DataFrame, features: list[str]) -> DataFrame:

@@ -214,7 +214,7 @@ def pack_sequences(
     falling length. A matrix longer than ``part_rows`` is stored as several
     parts, so no cell holds a whole long patient; parts that would hold nothing
     but padding are not stored, ``padded`` tells their extent. Patients are
-    numbered through cells of the id range, not by one global sort.
+    numbered through ranges of ids, not in one sort.
     """
     lengths = sequences.groupBy("pid").agg(F.count(F.lit(1)).alias("length")).withColumn(
         "n", F.lit(1)

@@ -16,7 +16,7 @@ from bedside.session import cut
 
 FEATURES = inputs.POINT_FEATURES
 RADIUS = 1.0
-DETECTORS = 200
+DETECTORS = 10000
 # The grid dimensions of radius joins: the two features with most distinct values.
 GRID = ["anyv", "engage"]
 
@@ -79,8 +79,10 @@ kept AS MATERIALIZED (SELECT * FROM cand c WHERE NOT EXISTS (
   SELECT 1 FROM train s WHERE s.y = 0 AND {d2('c', 's')} <= {RADIUS * RADIUS}))"""
 
 
-ROUND = 1024
-DETECTOR_SQL = f"""{candidates_sql(8 * ROUND)},
+# The operator draws until it has enough; the text draws four times as many as it
+# asks for, and would count too few if that were not enough.
+ROUND = 16384
+DETECTOR_SQL = f"""{candidates_sql(4 * DETECTORS)},
 numbered AS (SELECT *, row_number() OVER (ORDER BY det_id) AS n,
                     det_id - coalesce(lag(det_id) OVER (ORDER BY det_id), -1) AS gap FROM kept),
 ruled AS (SELECT *, max(gap) OVER (ORDER BY det_id ROWS UNBOUNDED PRECEDING) AS worst FROM numbered),
@@ -171,7 +173,7 @@ made AS (SELECT p.id AS parent, CAST(p.copy AS INTEGER) AS copy, neighbour, {",
 
 
 def smote_of(train):
-    return rb.smote(train, FEATURES, grid=GRID).select("parent", "copy", "neighbour", "y", *[r6(f) for f in FEATURES])
+    return rb.smote(train, FEATURES).select("parent", "copy", "neighbour", "y", *[r6(f) for f in FEATURES])
 
 
 @query("smote", with_stay(f"{POINTS}, {SMOTE_SQL} SELECT parent, copy, neighbour, label AS y, {listed()} FROM made, small"))
@@ -195,7 +197,7 @@ SELECT CAST(many AS BIGINT) AS negatives, CAST(many AS BIGINT) AS positives, CAS
 def smote_balance(spark, sf_dir):
     """Invariants: equal class counts, every made row between its parents."""
     train, _ = inputs.train_test(spark, sf_dir)
-    made = rb.smote(train, FEATURES, grid=GRID)
+    made = rb.smote(train, FEATURES)
     ends = train.filter("y = 1")
     a = ends.select(F.col("id").alias("parent"), *[F.col(f).alias(f"a_{f}") for f in FEATURES])
     b = ends.select(F.col("id").alias("neighbour"), *[F.col(f).alias(f"b_{f}") for f in FEATURES])
