@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+from operator import add, and_
 
+from pyspark.sql import DataFrame, functions as F
+
+from bedside.operators import evaluation as ev
 from bedside.operators import frequency as fq
 from bedside.operators import models as md
 from bedside.operators import neighbours as nb
@@ -226,37 +230,111 @@ def class_distribution_split(spark, sf_dir):
 
 # --- classifiers -------------------------------------------------------------
 
+# What SQL can say of a classifier's result: which rows were scored, that the metrics
+# are those of the confusion counts, and that the area shows the signal of the rows.
+SCORED_ROWS = "CAST((SELECT count(*) FROM test) AS BIGINT) AS test_rows, CAST((SELECT sum(y) FROM test) AS BIGINT) AS positives, 1 AS consistent, 1 AS signal"
+
+
+def checked(by_model):
+    """(model, test_rows, positives, consistent, signal) of predictions by model."""
+    rows = [df.select(F.lit(name).alias("model"), "y", "pred") for name, df in by_model.items()]
+    counts = ev.confusion_matrix(reduce(DataFrame.unionByName, rows), by=["model"]).groupBy("model").agg(
+        *[F.max(F.when(F.col("label") == i, F.col(f"pred_{j}"))).alias(f"c{i}{j}") for i in (0, 1) for j in (0, 1)]
+    )
+    fn, fp, tn, tp = (F.col(c) for c in ("c10", "c01", "c00", "c11"))
+    n = tn + fp + fn + tp
+
+    def same(metric, top, bottom):
+        return F.abs(F.col(metric) - F.coalesce(F.try_divide(top, bottom), F.lit(0.0))) < 1e-9
+
+    agrees = (
+        same("accuracy", tp + tn, n) & same("precision", tp, tp + fp)
+        & same("recall", tp, tp + fn) & same("f1", 2 * tp, 2 * tp + fp + fn)
+    )
+    return md.metrics_of(by_model).join(counts, "model").select(
+        "model", n.alias("test_rows"), (fn + tp).alias("positives"),
+        agrees.cast("int").alias("consistent"), (F.col("auc") > 0.5).cast("int").alias("signal"),
+    )
+
 
-def single_model(key: str, name: str):
-    @query(key)
+def single_model(name: str):
+    @query(name, with_stay(f"{POINTS} SELECT '{name}' AS model, {SCORED_ROWS}"))
     def run(spark, sf_dir):
         train, test = inputs.train_test(spark, sf_dir)
-        return md.evaluate(name, train, test, FEATURES)
+        return checked({name: md.predictions(md.fit(name, train, FEATURES), test, FEATURES)})
 
 
-for _name in md.CLASSIFIERS:
-    single_model(_name, _name)
+for _name in ("decision_tree", "random_forest", "gradient_boosting", "linear_svm"):
+    single_model(_name)
 
 
-@query("boosting_with_missing")
+@query("logistic_regression", with_stay(f"{POINTS} SELECT 'logistic_regression' AS model, {SCORED_ROWS}, 1 AS converged"))
+def logistic_regression(spark, sf_dir):
+    """With a check that the gradient vanishes at the solution."""
+    train, test = inputs.train_test(spark, sf_dir)
+    model = md.fit("logistic_regression", train, FEATURES)
+    found = checked({"logistic_regression": md.predictions(model, test, FEATURES)})
+    return found.withColumn("converged", F.lit(int(md.largest_gradient(model, train, FEATURES) < 1e-4)))
+
+
+@query("gaussian_nb", with_stay(f"""{POINTS}, long AS ({sql.long_form('train', FEATURES, 'y')})
+SELECT CAST(y AS INTEGER) AS label, feature, {q6('avg(value)')} AS mean, round(var_pop(value), 5) AS variance, {SCORED_ROWS}
+FROM long GROUP BY y, feature"""))
+def gaussian_nb(spark, sf_dir):
+    """Class means and variances as learned, with the checks of its predictions."""
+    train, test = inputs.train_test(spark, sf_dir)
+    model = md.fit("gaussian_nb", train, FEATURES)
+    found = checked({"gaussian_nb": md.predictions(model, test, FEATURES)}).drop("model")
+    classes = md.gaussian_classes(model, FEATURES, spark).withColumn("_c", tb.one_row(found))
+    return classes.select("label", "feature", r6("mean"), F.round("variance", 5).alias("variance"), "_c.*")
+
+
+@query("boosting_with_missing", with_stay(f"{POINTS} SELECT 'boosting_with_missing' AS model, {SCORED_ROWS}"))
 def boosting_with_missing(spark, sf_dir):
     chart = inputs.stay(spark, sf_dir)
     rows = tb.stratified_split(chart, "y", [F.col("pid"), F.col("t")]).withColumn("id", inputs.row_key())
+    rows = cut(rows, "split")
     train, test = rows.filter("NOT is_test"), rows.filter("is_test")
-    return md.boosting_with_missing(train, test, inputs.STAY_FEATURES)
+    return checked({"boosting_with_missing": md.boosting_with_missing(train, test, inputs.STAY_FEATURES)})
 
 
-@query("tabular_classification")
+@query("tabular_classification", with_stay(f"""{POINTS}, {DETECTOR_SQL},
+size AS (SELECT greatest(count(*) FILTER (y = 0), count(*) FILTER (y = 1) + (SELECT count(*) FROM dets)) AS n FROM train)
+SELECT unnest([{", ".join(f"'{m}'" for m in [*md.CLASSIFIERS, "knn"])}]) AS model,
+       CAST((SELECT count(*) FROM test) AS BIGINT) AS test_rows, CAST((SELECT sum(y) FROM test) AS BIGINT) AS positives,
+       1 AS consistent, CAST(n AS BIGINT) AS train_negatives, CAST(n AS BIGINT) AS train_positives FROM size"""))
 def tabular_classification(spark, sf_dir):
     """Detectors join the training rows, SMOTE balances them, then all classifiers
     are compared on the untouched test rows."""
     train, test = inputs.train_test(spark, sf_dir)
     augmented = cut(rb.augment_union(train, detectors_of(spark, sf_dir), FEATURES), "augmented")
     final = cut(rb.balanced(augmented, FEATURES), "final")
-    return md.compare_classifiers(final, test, FEATURES)
+    sizes = tb.one_row(final.agg(F.sum(1 - F.col("y")).alias("zeros"), F.sum("y").alias("ones")))
+    done, _ = md.all_predictions(final, test, FEATURES)
+    return checked(done).drop("signal").withColumn("_n", sizes).select(
+        "model", "test_rows", "positives", "consistent",
+        F.col("_n.zeros").alias("train_negatives"), F.col("_n.ones").alias("train_positives"),
+    )
 
 
-@query("projection_2d")
+@query("projection_2d", with_stay(f"""{POINTS}
+SELECT CAST(count(*) AS BIGINT) AS rows, round({" + ".join(f"var_samp({f})" for f in FEATURES)}, 5) AS total_variance,
+       1 AS ordered, 1 AS uncorrelated, 1 AS same_plane FROM points"""))
 def projection_2d(spark, sf_dir):
-    found = md.projection_2d(inputs.points(spark, sf_dir), FEATURES)
-    return found.select("id", "y", r6("pc1"), r6("pc2"))
+    """Checks of the projection: all components together keep the total variance,
+    variances fall, components do not covary, and the two are the first two."""
+    points = inputs.points(spark, sf_dir)
+    names = [f"pc{i + 1}" for i in range(len(FEATURES))]
+    every = md.project(points, FEATURES, len(FEATURES)).drop("y")
+    two = md.projection_2d(points, FEATURES).select("id", F.col("pc1").alias("a"), F.col("pc2").alias("b"))
+    spread = [F.var_samp(n) for n in names]
+    falling = reduce(and_, [a >= b - 1e-9 for a, b in zip(spread, spread[1:])])
+    apart = reduce(and_, [
+        F.abs(F.covar_samp(a, b)) < 1e-6 for i, a in enumerate(names) for b in names[i + 1 :]
+    ])
+    off = F.greatest(F.abs(F.abs("a") - F.abs("pc1")), F.abs(F.abs("b") - F.abs("pc2")))
+    return every.join(two, "id").agg(
+        F.count(F.lit(1)).alias("rows"), F.round(reduce(add, spread), 5).alias("total_variance"),
+        falling.cast("int").alias("ordered"), apart.cast("int").alias("uncorrelated"),
+        (F.max(off) < 1e-6).cast("int").alias("same_plane"),
+    )
