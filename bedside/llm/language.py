@@ -9,6 +9,7 @@ for the whole text wins. The trees are frozen after learning.
 from __future__ import annotations
 
 import uuid
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -169,28 +170,21 @@ class Scorer:
         return out
 
     def _add(self, held: list[tuple[int, list[bytes]]], out: np.ndarray) -> None:
+        """Add the costs of the words; words beyond ``KEEP`` are coded each time."""
         fresh = sorted(set().union(*[words for _, words in held]) - self.place.keys())
-        room = KEEP - len(self.place)
-        extra = {}
-        costs = self.costs
+        place, costs = self.place, self.costs
         if fresh:
             found = self.trees.code_lengths(fresh)
-            at = len(self.place)
-            kept = fresh[:room]
-            self.costs[at : at + len(kept)] = found[: len(kept)]
-            self.place.update(zip(kept, range(at, at + len(kept))))
-            extra = dict(zip(fresh[room:], range(KEEP, KEEP + len(fresh) - len(kept)))) if room < len(fresh) else {}
-            if extra:
-                costs = np.vstack([self.costs, found[len(kept) :]])
+            at, room = len(place), KEEP - len(place)
+            costs[at : at + len(fresh[:room])] = found[:room]
+            place.update(zip(fresh[:room], range(at, at + room)))
+            if fresh[room:]:
+                costs = np.vstack([costs, found[room:]])
+                extra = dict(zip(fresh[room:], range(KEEP, len(costs))))
+                place = ChainMap(extra, place)
         for i, words in held:
-            if not words:
-                continue
-            if extra:
-                rows = [self.place.get(w, -1) for w in words]
-                rows = [extra[w] if r < 0 else r for r, w in zip(rows, words)]
-            else:
-                rows = list(map(self.place.__getitem__, words))
-            out[i] += costs[rows].sum(axis=0, dtype=np.float64)
+            if words:
+                out[i] += costs[list(map(place.__getitem__, words))].sum(axis=0, dtype=np.float64)
 
 
 def identify(
