@@ -90,7 +90,9 @@ def hilbert_shards(
     total = one_row(at.agg(F.count(F.lit(1)).alias("n")))["n"]
     rest = [c for c in rows.columns if c not in (id_col,)]
     inside = Window.partitionBy(*cell).orderBy("_h", id_col, *rest)
-    ranked = at.join(starts, cell).withColumn("rank", F.col("_start") + F.row_number().over(inside) - 1)
+    # Starts are as many as occupied parts of cells: small files, large once unpacked,
+    # so they are merged with the rows that the window has sorted the same way.
+    ranked = at.join(starts.hint("merge"), cell).withColumn("rank", F.col("_start") + F.row_number().over(inside) - 1)
     ranked = ranked.withColumn("shard", F.expr(f"int((rank * {shards}) div {max(total, 1)})"))
     first = F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
     return ranked.withColumn("slot", F.col("rank") - first).drop("_h", "_sub", "_start")
