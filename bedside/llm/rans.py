@@ -22,6 +22,7 @@ LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 HEAD = struct.Struct("<4sHHIIII")  # magic, version, bits, ids, blocks, lanes, bytes of the table
 BLOCK = LANES * STEPS
+DENSE = 1 << 22  # ids below this are counted and looked up by table, others by sorting
 
 
 class Damaged(ValueError):
@@ -30,7 +31,12 @@ class Damaged(ValueError):
 
 def frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, shares of 2**BITS), each share 1 at least."""
-    symbols, counts = np.unique(ids, return_counts=True)
+    if len(ids) and ids.max() < DENSE:
+        counts = np.bincount(ids)
+        symbols = np.flatnonzero(counts)
+        counts = counts[symbols]
+    else:
+        symbols, counts = np.unique(ids, return_counts=True)
     if len(symbols) > 1 << BITS:
         raise ValueError("more different ids than shares")
     share = np.maximum(counts * (1 << BITS) // counts.sum(), 1)
@@ -65,20 +71,30 @@ def encode(ids: np.ndarray) -> bytes:
     """One segment; ``ids`` are unsigned and there is one at least."""
     symbols, share = frequencies(ids)
     start = np.concatenate([[0], np.cumsum(share)[:-1]]).astype(np.uint64)
-    place, real, steps = _padded(np.searchsorted(symbols, ids).astype(np.int64))
+    if symbols[-1] < DENSE:
+        place_of = np.zeros(symbols[-1] + 1, np.int64)
+        place_of[symbols] = np.arange(len(symbols))
+        places = place_of[ids]
+    else:
+        places = np.searchsorted(symbols, ids).astype(np.int64)
+    place, real, steps = _padded(places)
     freq, first = share.astype(np.uint64)[place], start[place]
     blocks = len(place)
     state = np.full((blocks, LANES), LOW, np.uint64)
     most = (LOW >> np.uint64(BITS)) << WORD
+    whole_steps = (len(ids) - (blocks - 1) * BLOCK) // LANES  # steps all lanes take part in
     words, owners = [], []
     for step in range(steps - 1, -1, -1):
         f, on = freq[:, step], real[:, step]
-        spill = on & (state >= most * f)
+        spill = state >= most * f
+        if step >= whole_steps:
+            spill &= on
         words.append((state[spill] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         owners.append(np.nonzero(spill)[0])
-        state = np.where(spill, state >> WORD, state)
+        state[spill] >>= WORD
         whole = state // f
-        state = np.where(on, (whole << np.uint64(BITS)) + (state - whole * f) + first[:, step], state)
+        next_ = (whole << np.uint64(BITS)) + (state - whole * f) + first[:, step]
+        state = next_ if step < whole_steps else np.where(on, next_, state)
     words, owners = np.concatenate(words[::-1]), np.concatenate(owners[::-1])
     words = words[np.argsort(owners, kind="stable")]
     sizes = np.bincount(owners, minlength=blocks).astype("<u4")
@@ -120,24 +136,30 @@ def decode(body: bytes, only: range | None = None) -> np.ndarray:
 
 
 def _run(symbols, share, states, pointers, words, lengths) -> np.ndarray:
-    slot_of = np.repeat(np.arange(len(share), dtype=np.int32), share)
-    start = np.concatenate([[0], np.cumsum(share)[:-1]]).astype(np.uint64)
-    freq, mask = share.astype(np.uint64), np.uint64((1 << BITS) - 1)
-    state, pointers = states.astype(np.uint64), pointers.copy()
+    start = np.concatenate([[0], np.cumsum(share)[:-1]])
+    # Per slot of the state: its symbol, and its share with its place inside the share.
+    symbol_of = np.repeat(symbols, share)
+    inside = np.arange(1 << BITS) - np.repeat(start, share)
+    step_of = (np.repeat(share, share).astype(np.uint64) << WORD) | inside.astype(np.uint64)
+    state, pointers = states.astype(np.uint64).ravel(), pointers.copy()
     words = np.append(words, np.uint32(0)).astype(np.uint64)
-    steps = -(-int(lengths.max(initial=0)) // LANES)
-    out = np.empty((len(state), steps, LANES), np.int32)
-    lane = np.arange(LANES)
+    mask, low_word, bits = np.uint64((1 << BITS) - 1), np.uint64(0xFFFFFFFF), np.uint64(BITS)
+    blocks = len(states)
+    steps, full = -(-int(lengths.max(initial=0)) // LANES), int(lengths.min(initial=0)) // LANES
+    out = np.empty((steps, blocks * LANES), np.uint64)
+    lane, row = np.tile(np.arange(LANES), blocks), np.repeat(np.arange(blocks), LANES)
+    last = np.repeat(lengths, LANES)
     for step in range(steps):
         slot = state & mask
-        index = slot_of[slot]
-        out[:, step] = index
-        next_ = freq[index] * (state >> np.uint64(BITS)) + slot - start[index]
-        on = step * LANES + lane < lengths[:, None]
-        state = np.where(on, next_, state)
-        need = on & (state < LOW)
-        place = pointers[:, None] + np.cumsum(need, axis=1) - 1
-        word = words[np.clip(place, 0, len(words) - 1)]
-        state = np.where(need, (state << WORD) | word, state)
-        pointers += need.sum(axis=1)
-    return symbols[out.reshape(len(state), -1)]
+        out[step] = slot
+        packed = step_of[slot]
+        next_ = (packed >> WORD) * (state >> bits) + (packed & low_word)
+        state = next_ if step < full else np.where(step * LANES + lane < last, next_, state)
+        need = np.flatnonzero(state < LOW) if step < full else np.flatnonzero((state < LOW) & (step * LANES + lane < last))
+        if len(need):
+            of = row[need]
+            taken = np.bincount(of, minlength=blocks)
+            place = np.arange(len(need)) + np.repeat(pointers - np.cumsum(taken) + taken, taken)
+            state[need] = (state[need] << WORD) | words[np.minimum(place, len(words) - 1)]
+            pointers += taken
+    return symbol_of[out].reshape(steps, blocks, LANES).transpose(1, 0, 2).reshape(blocks, -1)

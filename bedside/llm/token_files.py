@@ -17,7 +17,7 @@ from bedside.llm.bpe import byte_alphabet
 from bedside.session import new_path
 
 SEGMENT = 1 << 20  # ids after which a segment is closed
-KEEP = 1 << 18  # words a worker keeps the ids of
+KEEP, PARTS = 3 << 18, 1 << 20  # words and their parts a worker keeps the ids of
 SLICE = 1 << 20  # bytes split into words at once
 #: Words the vocabulary's splitter cuts into letters and one run of marks, whose
 #: lower case and composed form are plain.
@@ -46,7 +46,7 @@ class Encoder:
         if found is None:
             mapped = "".join([self.character[b] for b in part.encode()])
             found = np.array([t.id for t in self.library.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.parts) < 3 * KEEP:
+            if len(self.parts) < PARTS:
                 self.parts[part] = found
         return found
 
