@@ -131,8 +131,13 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_l
     pairs the ``max_nodes`` most frequent are kept."""
     usable = docs.select(docs[id_col].alias("i"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     usable = usable.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("i"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i")
-    chosen = usable.select("i", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang)
+    # By hash, first by a border that lets about twice as many pass, so that no task
+    # sorts more than those of a language.
+    ids = usable.select("i", "lang", F.pmod(F.xxhash64("i"), F.lit(1 << 30)).alias("h"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    passed = ids.join(sizes, "lang").filter(F.col("h") < F.lit(float(2 * docs_per_lang << 30)) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("h", "i")
+    chosen = passed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang)
     chosen = cut(chosen.select("i").distinct(), "sample")
     sample = usable.join(chosen, "i", "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
