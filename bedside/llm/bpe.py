@@ -33,6 +33,7 @@ STRETCH = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 RUNS = {kind: regex.compile(f"{kind}*") for kind in (r"\p{L}", r"\p{N}", r"\p{White_Space}", r"[^\p{White_Space}\p{L}\p{N}]")}
 CONTRACTION = 3  # characters the longest of 's 't 're 've 'm 'll 'd takes
 CHUNK = 1 << 16  # characters fed at once
+RESULT = 1 << 21  # characters of results a task holds before it hands them on
 LONG = 1 << 12  # an open piece longer than this is encoded before it ends
 BLOCK = 1 << 10  # bytes encoded at once inside such a piece
 SMALL = 48  # bytes up to which a linear scan beats a heap
@@ -50,7 +51,7 @@ def byte_alphabet() -> dict[str, int]:
 class Merges:
     """A vocabulary file of the byte-level kind; ``lookahead`` is computed from it."""
 
-    def __init__(self, content: bytes, keep: int = 3 << 17):
+    def __init__(self, content: bytes, keep: int = 1 << 18):
         spec = json.loads(content)
         model, alphabet = spec["model"], byte_alphabet()
         vocab = model["vocab"]
@@ -289,24 +290,31 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     Returns one row per input row: ``doc_id``, ``ids`` (array of int) and
     ``decoded``. A null text counts as empty and has no ids. Null or repeated
     ids are passed on as they are; other columns are never read. An empty table
-    gives an empty result. No shuffle; a task holds one batch of rows.
+    gives an empty result. No shuffle; a task holds a batch of texts and few results.
     """
     content = docs.sparkSession.sparkContext.broadcast(zlib.compress(Path(path).read_bytes()))
 
+    def packed(ids: list, encoded: list[np.ndarray], texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
+        offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype("i4")
+        lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(encoded), pa.int32()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, kind), lists, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"]
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merges = loaded(content.value)
         for batch in batches:
-            encoded, texts = [], []
-            for text in batch.column(1):
+            kind, rows, size = batch.column(0).type, ([], [], []), 0
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
                 ids = encode(merges, text.as_py() or "")
-                encoded.append(ids)
-                texts.append(decode(merges, ids))
-            offsets = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]).astype("i4")
-            flat = np.concatenate(encoded) if encoded else np.empty(0, "i4")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())), pa.array(texts, pa.string())],
-                names=["doc_id", "ids", "decoded"],
-            )
+                for column, value in zip(rows, (doc_id.as_py(), ids, decode(merges, ids))):
+                    column.append(value)
+                size += len(rows[2][-1])
+                if size >= RESULT:
+                    yield packed(*rows, kind)
+                    rows, size = ([], [], []), 0
+            if rows[0]:
+                yield packed(*rows, kind)
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
