@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -80,30 +81,43 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     )
 
 
+class Sparse:
+    """Values by key and language, sorted by key; what is not there has the value ``absent``."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, value: np.ndarray, wide: int, absent: float):
+        self.keys, starts = np.unique(key, return_index=True)
+        self.starts = np.append(starts, len(key))
+        self.lang, self.value = lang.astype(np.int32), value.astype(np.float32)
+        self.wide, self.absent = wide, absent
+
+    def rows(self, wanted: np.ndarray) -> np.ndarray:
+        """A row per wanted key, a column per language."""
+        out = np.full((len(wanted), self.wide), self.absent, np.float32)
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == wanted)
+        first = self.starts[at[hit]]
+        size = self.starts[at[hit] + 1] - first
+        entry = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+        out[np.repeat(hit, size), self.lang[entry]] = self.value[entry]
+        return out
+
+
 class Trees:
-    """Costs in bits of each (context, byte) and each escape, one column per language."""
+    """Costs in bits of each (context, byte) and each escape, by language."""
 
     def __init__(self, langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray):
-        self.langs, wide = langs, len(langs)
-        self.keys, which = np.unique(key, return_inverse=True)
-        count = np.zeros((len(self.keys), wide))
-        count[which, lang] = n
-        self.contexts, of = np.unique(self.keys >> 8, return_inverse=True)
-        total, kinds = np.zeros((2, len(self.contexts), wide))
-        np.add.at(total, of, count)
-        np.add.at(kinds, of, count > 0)
-        room = np.maximum(total + kinds, 1)
-        with np.errstate(divide="ignore"):
-            self.cost = np.where(count > 0, -np.log2(count / room[of]), np.inf).astype(np.float32)
-            self.escape = np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / room), 0).astype(np.float32)
-        # A slot more for what is not in the trees: no cost known, escape free.
-        self.cost = np.vstack([self.cost, np.full((1, wide), np.inf, np.float32)])
-        self.escape = np.vstack([self.escape, np.zeros((1, wide), np.float32)])
-
-    @staticmethod
-    def _find(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(table, wanted), max(len(table) - 1, 0))
-        return np.where(table[at] == wanted, at, len(table)) if len(table) else np.zeros(len(wanted), np.int64)
+        self.langs = langs
+        order = np.lexsort((lang, key))
+        lang, key, n = lang[order], key[order], n[order]
+        pairs, of = np.unique((key >> 8) * max(len(langs), 1) + lang, return_inverse=True)
+        total, kinds = np.bincount(of, n, len(pairs)), np.bincount(of, minlength=len(pairs))
+        room = total + kinds
+        # In a language that does not know a context the byte has no cost and the escape is free.
+        self.cost = Sparse(key, lang, -np.log2(n / room[of]), len(langs), np.inf)
+        context, own = np.divmod(pairs, max(len(langs), 1))
+        self.escape = Sparse(context, own, -np.log2(kinds / room), len(langs), 0)
 
     def code_lengths(self, words: list[bytes]) -> np.ndarray:
         """Bits of each word, a row per word and a column per language."""
@@ -113,8 +127,8 @@ class Trees:
         for key in reversed(keys):
             distinct, back = np.unique(key, return_inverse=True)
             real = (distinct > 0)[:, None]
-            cost = self.cost[self._find(self.keys, distinct)]
-            escape = np.where(real, self.escape[self._find(self.contexts, distinct >> 8)], 0)
+            cost = self.cost.rows(distinct)
+            escape = np.where(real, self.escape.rows(distinct >> 8), 0)
             known = np.isfinite(cost) & real
             step = np.where(known, cost, escape)
             bits += np.where(missing, step[back], 0)
@@ -125,10 +139,10 @@ class Trees:
         return np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0)
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int, max_nodes: int) -> Trees:
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_lang: int) -> Trees:
     """Trees of up to ``docs_per_lang`` whole documents a language, chosen by a hash
-    of the id among those outside the held-out fold; of the (context, byte)
-    pairs the ``max_nodes`` most frequent are kept."""
+    of the id among those outside the held-out fold; every (context, byte) pair
+    of them is kept."""
     usable = docs.select(docs[id_col].alias("i"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     usable = usable.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("i"))
     # By hash, first by a border that lets about twice as many pass, so that no task
@@ -141,10 +155,10 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_l
     chosen = cut(chosen.select("i").distinct(), "sample")
     sample = usable.join(chosen, "i", "left_semi").select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    rows = counts.orderBy(F.col("n").desc(), "lang", "key").limit(max_nodes).toPandas()
-    langs = sorted(rows["lang"].unique())
-    lang = np.searchsorted(np.array(langs, object), rows["lang"].to_numpy(object)) if langs else np.empty(0, int)
-    return Trees(langs, lang, rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.float64))
+    rows = counts.toArrow()
+    langs = sorted(rows["lang"].unique().to_pylist())
+    lang = pc.index_in(rows["lang"], pa.array(langs, pa.string())).to_numpy()
+    return Trees(langs, lang, rows["key"].to_numpy(), rows["n"].to_numpy().astype(np.float64))
 
 
 _KEPT: dict[str, tuple[dict[bytes, int], np.ndarray]] = {}
@@ -194,21 +208,22 @@ class Scorer:
 
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    docs_per_lang: int = 2000, max_nodes: int = 1_000_000,
+    docs_per_lang: int = 2000,
 ) -> DataFrame:
     """Language of every row: ``doc_id``, ``held_out``, ``lang_pred``, ``score``.
 
     The trees are learned from whole texts with a language, outside the fold
-    ``crc32(id) mod 5 = 0``, at most ``docs_per_lang`` a language; no other column
-    is used. ``score`` is the share of the winner's probability, 2 to the minus
+    ``crc32(id) mod 5 = 0``, at most ``docs_per_lang`` a language, and keep all that
+    these hold; every language with a word in them can be the answer. No other
+    column is used. ``score`` is the share of the winner's probability, 2 to the minus
     code length, among all languages; equal code lengths go to the first name.
     A null text, a text without a letter and any text when nothing could be
     learned is ``und`` with score 0. Null ids are held out; repeated rows are
     answered alike; an empty table gives an empty result.
     """
-    trees = learn(docs, id_col, text_col, lang_col, docs_per_lang, max_nodes)
+    trees = learn(docs, id_col, text_col, lang_col, docs_per_lang)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(trees)  # bounded by max_nodes
+    shared = spark.sparkContext.broadcast(trees)  # bounded by the learning texts
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
