@@ -91,6 +91,10 @@ class Model:
     prior: float
     risks: list[float]
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        f = np.clip(x @ self.weights + self.bias, -60, 60) if len(x) else np.empty(0)
+        return 1 / (1 + np.exp(-f.astype(np.float64)))
+
 
 def fit(rows: DataFrame, prior: float, steps: int = 50, rate: float = 0.1, decay: float = 1e-3) -> Model:
     """Minimise the risk over ``rows`` (positive, x) by full passes with moments.
@@ -160,6 +164,23 @@ def classify_quality(
     is held out, repeated rows are scored alike, other columns are never read.
     Without positives all scores are the prior; an empty table gives no rows.
     """
+    rows, model = _learned(docs, labels, max_positives, id_col, text_col, label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.scores(_matrix(batch.column(2)))
+            columns = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def _learned(
+    docs: DataFrame, labels: DataFrame, max_positives: int = 1_000_000,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+) -> tuple[DataFrame, Model]:
+    """Features of every row (``doc_id``, ``held_out``, ``positive``, ``x``) and the model."""
     known = labels.select(F.col(label_col).alias("q"), F.col(id_col).alias("doc_id"))
     known = known.filter(F.col("q").isNotNull() & ~held_out("doc_id")).groupBy("doc_id")
     known = cut(known.agg(F.min("q").cast("int").alias("positive")), "labels")
@@ -173,23 +194,20 @@ def classify_quality(
         .select("doc_id", held_out("doc_id").alias("held_out"), F.coalesce("positive", F.lit(False)).alias("positive"), "x"),
         "features",
     )
-    model = fit(rows.filter("not held_out"), prior)
-    weights, bias = model.weights, model.bias
+    return rows, fit(rows.filter("not held_out"), prior)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = np.clip(_matrix(batch.column(2)) @ weights + bias, -60, 60) if batch.num_rows else np.empty(0)
-            score = 1 / (1 + np.exp(-f.astype(np.float64)))
-            columns = [batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.select("doc_id", "held_out", "x").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = 0.3, text_col: str = "text", **settings
+) -> DataFrame:
+    """The rows that the classifier accepts, with their columns as they are. Each
+    row is scored where it is, so null and repeated ids decide nothing."""
+    _, model = _learned(docs, labels, id_col=id_col, text_col=text_col, **settings)
+    place = docs.columns.index(text_col)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array([features(t.as_py()) for t in batch.column(place)], pa.binary())
+            yield batch.filter(pa.array(model.scores(_matrix(x)) >= threshold))
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """The rows that the classifier accepts, with their columns as they are; rows
-    that share the id of a rejected row go with it."""
-    scored = classify_quality(docs, labels, id_col=id_col, **settings)
-    rejected = scored.filter("predicted = 0").select("doc_id")
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["doc_id"]), "left_anti")
+    return docs.mapInArrow(run, docs.schema)
