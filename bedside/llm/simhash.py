@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from bedside.llm.components import components
 from bedside.session import cut
@@ -237,17 +238,48 @@ def near_duplicates(
     once. Rows repeated stay repeated; other columns are never read; an empty
     table gives an empty result.
     """
+    found, named = _classes(docs, words, bits, id_col, text_col)
+    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def _classes(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row and (fp, label, component_id) of every fingerprint."""
     found = cut(fingerprints(docs, words, id_col, text_col), "prints")
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = components(near_links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     named = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     names = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = cut(named.select("fp", "label").join(names, "label").select("fp", "component_id"), "named")
-    return found.join(named, "fp").select("doc_id", "fp", "component_id")
+    return found, cut(named.select("fp", "label").join(names, "label").select("fp", "label", "component_id"), "named")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows whose id names their class, with their columns as they are."""
-    found = near_duplicates(docs, words, bits, id_col, text_col)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["doc_id"]), "left_semi")
+    """One row of each class, with its columns as they are: that of the smallest
+    id (null last), then of the smallest fingerprint, then by a hash of the row."""
+    found, named = _classes(docs, words, bits, id_col, text_col)
+    namers = found.join(named, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    # An id that names a class tells its row unless the id is met again, in any class.
+    repeated = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    repeated = cut(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs.join(namers, docs[id_col].eqNullSafe(namers["doc_id"]), "left_semi")
+    apart = namers.join(repeated, namers["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti")
+    alone = docs.join(apart, docs[id_col].eqNullSafe(apart["doc_id"]), "left_semi")
+    shared = docs.join(repeated, docs[id_col].eqNullSafe(repeated["doc_id"]), "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    shared = _with_print(shared.select(row), words, text_col).join(named, "fp")
+    shared = shared.filter(F.col("row")[id_col].eqNullSafe(F.col("component_id")))
+    # Copies are reduced in each task before they are shuffled.
+    first = shared.groupBy("label").agg(F.min_by("row", F.struct("fp", F.xxhash64("row"))).alias("row"))
+    return alone.unionByName(first.select("row.*"))
+
+
+def _with_print(rows: DataFrame, words: int, text_col: str) -> DataFrame:
+    """Rows (``row``) with the fingerprint ``fp`` of their text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t, words) for t in batch.column(1).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["row", "fp"])
+
+    schema = StructType([rows.schema["row"], StructField("fp", LongType())])
+    return rows.select("row", F.col("row")[text_col].alias("text")).mapInArrow(run, schema)
