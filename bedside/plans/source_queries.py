@@ -69,6 +69,11 @@ def scan_patient_files(spark, sf_dir):
     return pf.scan_patient_files(lines(spark, sf_dir), 10)
 
 
+@query("scan_patient_files_all", with_stay("SELECT 'p' || pid || '.psv' AS file, CAST(count(*) + 1 AS BIGINT) AS lines FROM stay GROUP BY pid"))
+def scan_patient_files_all(spark, sf_dir):
+    return pf.scan_patient_files(lines(spark, sf_dir))
+
+
 @query("discover_headers", "SELECT * FROM (VALUES " + ", ".join(f"('{h}')" for h in HEADER) + ") v(name)")
 def discover_headers(spark, sf_dir):
     return pf.discover_headers(lines(spark, sf_dir))
