@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bedside.llm import (
-    bpe, chat, exact_dedup, language, mixing, quality, sharding, simhash, token_files, topk,
+    bpe, chat, exact_dedup, language, mixing, packing, phrases, quality, sharding, simhash, token_files, topk,
 )
 from bedside.llm.common import WORD, table
 
@@ -125,3 +129,61 @@ def curriculum_mixing(spark, sf_dir):
         (F.col("size") * F.size("positions")).alias("taken"),
         F.get("positions", F.lit(0)).alias("first_position"),
     )
+
+
+@query("op11_sequence_packing")
+def sequence_packing(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = packing.pack(table(spark, sf_dir, "documents"), path, end_id=0, capacity=1024)
+    return pieces.mapInArrow(_with_crc32, pieces.schema.simpleString()[7:-1].replace("ids:array<int>", "ids_crc32:bigint"))
+
+
+def _with_crc32(batches):
+    """Lists of ids become the checksum of their little-endian 32-bit numbers."""
+    for batch in batches:
+        lists = batch.column("ids")
+        values, ends = lists.flatten().to_numpy().astype("<u4"), np.cumsum(pc.list_value_length(lists).to_numpy())
+        crcs = [zlib.crc32(values[a:b]) for a, b in zip([0, *ends[:-1]], ends)]
+        place = batch.schema.get_field_index("ids")
+        columns = batch.columns[:place] + [pa.array(crcs, pa.int64())] + batch.columns[place + 1 :]
+        names = [n.replace("ids", "ids_crc32") if i == place else n for i, n in enumerate(batch.schema.names)]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+), places AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, w[i:i + k - 1] AS p, count(*) AS n FROM places GROUP BY ALL
+), total AS (
+  SELECT lang, sum(n)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang
+), c AS (
+  SELECT * FROM f WHERE n >= 30 AND len(p) > 1
+), inside AS (
+  SELECT c.lang, c.p[i:i + m - 1] AS p, max(c.n) AS longer
+  FROM c, (VALUES (2), (3)) AS a(m), (VALUES (1), (2), (3)) AS b(i) WHERE m < len(c.p) AND i + m - 1 <= len(c.p) GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.p, c.n AS a, s.k, l.n AS l, r.n AS r, ((2000000::HUGEINT * c.n) // (l.n + r.n))::BIGINT AS score
+  FROM c JOIN (VALUES (1), (2), (3)) AS s(k) ON s.k < len(c.p)
+  JOIN f l ON l.lang = c.lang AND l.p = c.p[1:s.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[s.k + 1:len(c.p)]
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), kept AS (
+  SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN inside USING (lang, p)
+  WHERE coalesce(100 * longer < 80 * a, true)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t USING (lang) WHERE r.rank <= 2000
+"""
+
+
+@query("op12_phrase_collocations", PHRASES_SQL)
+def phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=30, most=2000)
