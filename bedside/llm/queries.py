@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bedside.llm import (
-    bpe, chat, exact_dedup, language, mixing, packing, phrases, quality, sharding, simhash, token_files, topk,
+    bpe, chat, exact_dedup, language, mixing, packing, phrases, quality, sharding, simhash, token_files, topk, vector_codes,
 )
 from bedside.llm.common import WORD, table
 
@@ -156,26 +156,35 @@ WITH pieces AS (
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
   FROM documents
 ), words AS (
-  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+  SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+    SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM pieces
+  )
 ), places AS (
-  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k
-), f AS (
-  SELECT lang, w[i:i + k - 1] AS p, count(*) AS n FROM places GROUP BY ALL
+  SELECT lang, w, lead(w, 1) OVER o AS x, lead(w, 2) OVER o AS y, lead(w, 3) OVER o AS z FROM words WINDOW o AS (PARTITION BY id ORDER BY i)
+), f AS MATERIALIZED (
+  SELECT lang, w AS phrase, 1 AS k, count(*) AS n FROM places GROUP BY ALL
+  UNION ALL SELECT lang, w || ' ' || x, 2, count(*) FROM places WHERE x IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w || ' ' || x || ' ' || y, 3, count(*) FROM places WHERE y IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, w || ' ' || x || ' ' || y || ' ' || z, 4, count(*) FROM places WHERE z IS NOT NULL GROUP BY ALL
 ), total AS (
-  SELECT lang, sum(n)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY lang
-), c AS (
-  SELECT * FROM f WHERE n >= 30 AND len(p) > 1
+  SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS MATERIALIZED (
+  SELECT lang, phrase, n, string_split(phrase, ' ') AS p FROM f WHERE n >= 30 AND k > 1
 ), inside AS (
-  SELECT c.lang, c.p[i:i + m - 1] AS p, max(c.n) AS longer
-  FROM c, (VALUES (2), (3)) AS a(m), (VALUES (1), (2), (3)) AS b(i) WHERE m < len(c.p) AND i + m - 1 <= len(c.p) GROUP BY ALL
+  SELECT lang, phrase, max(n) AS longer FROM (
+    SELECT lang, n, array_to_string(p[i:i + m - 1], ' ') AS phrase
+    FROM c, (VALUES (2), (3)) AS a(m), (VALUES (1), (2), (3)) AS b(i) WHERE m < len(p) AND i + m - 1 <= len(p)
+  ) GROUP BY ALL
+), parts AS (
+  SELECT lang, phrase, n AS a, s.k, array_to_string(p[1:s.k], ' ') AS p1, array_to_string(p[s.k + 1:len(p)], ' ') AS p2
+  FROM c, (VALUES (1), (2), (3)) AS s(k) WHERE s.k < len(p)
 ), cuts AS (
-  SELECT c.lang, c.p, c.n AS a, s.k, l.n AS l, r.n AS r, ((2000000::HUGEINT * c.n) // (l.n + r.n))::BIGINT AS score
-  FROM c JOIN (VALUES (1), (2), (3)) AS s(k) ON s.k < len(c.p)
-  JOIN f l ON l.lang = c.lang AND l.p = c.p[1:s.k] JOIN f r ON r.lang = c.lang AND r.p = c.p[s.k + 1:len(c.p)]
+  SELECT parts.*, l.n AS l, r.n AS r, ((2000000::HUGEINT * a) // (l.n + r.n))::BIGINT AS score
+  FROM parts JOIN f l ON l.lang = parts.lang AND l.phrase = p1 JOIN f r ON r.lang = parts.lang AND r.phrase = p2
 ), best AS (
-  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
 ), kept AS (
-  SELECT b.*, array_to_string(b.p, ' ') AS phrase FROM best b LEFT JOIN inside USING (lang, p)
+  SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase)
   WHERE coalesce(100 * longer < 80 * a, true)
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
@@ -187,3 +196,44 @@ SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN
 @query("op12_phrase_collocations", PHRASES_SQL)
 def phrase_collocations(spark, sf_dir):
     return phrases.collocations(table(spark, sf_dir, "documents"), least=30, most=2000)
+
+
+CODES_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (
+  SELECT rid, p, e[p * len(e) // 16 + 1:(p + 1) * len(e) // 16] AS s FROM v, range(16) AS t(p)
+), b0 AS MATERIALIZED (
+  SELECT p, k, s AS c FROM x JOIN (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < 64) USING (rid)
+), {rounds}
+a AS (SELECT rid, p, arg_min(k, {{'d': d, 'k': k}}) AS k, min(d)::BIGINT AS d FROM (
+  SELECT rid, x.p, k, {distance} AS d FROM x JOIN b2 b ON b.p = x.p) GROUP BY ALL
+), coded AS (
+  SELECT rid, string_agg(lower(printf('%02x', k)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a GROUP BY rid
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x, ',' ORDER BY p, k)) FROM (SELECT p, k, array_to_string(list_transform(c, lambda y: y::BIGINT), ',') AS x FROM b2)) AS codebooks_sha256
+FROM coded JOIN v USING (rid)
+"""
+_DISTANCE = "list_inner_product(s, s) - 2 * list_inner_product(s, c) + list_inner_product(c, c)"
+_ROUND = """a{n} AS MATERIALIZED (SELECT rid, p, arg_min(k, {{'d': d, 'k': k}}) AS k FROM (
+  SELECT rid, x.p, k, {distance} AS d FROM x JOIN b{n} b ON b.p = x.p) GROUP BY ALL
+), m{n} AS (
+  SELECT p, k, list(c ORDER BY j) AS c FROM (
+    SELECT p, k, j, floor(sum(y) / count(*)) AS c FROM (
+      SELECT p, k, unnest(s) AS y, generate_subscripts(s, 1) AS j FROM x JOIN a{n} USING (rid, p)
+    ) GROUP BY p, k, j
+  ) GROUP BY p, k
+), b{m} AS MATERIALIZED (SELECT p, k, coalesce(m.c, b.c) AS c FROM b{n} b LEFT JOIN m{n} m USING (p, k)
+), """
+CODES_SQL = CODES_SQL.format(
+    rounds="".join(_ROUND.format(n=n, m=n + 1, distance=_DISTANCE) for n in range(2)), distance=_DISTANCE
+)
+
+
+@query("op13_vector_codes", CODES_SQL)
+def vector_code_compression(spark, sf_dir):
+    coded, entries = vector_codes.compress(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+    found = vector_codes.with_label_errors(coded)
+    return found.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(entries)).alias("codebooks_sha256"))
