@@ -19,17 +19,36 @@ from bedside.llm.bpe import STRETCH, byte_alphabet
 GROUP = 1 << 22  # ids after which a group of documents is packed
 DEALT = 1 << 25  # bytes of text a partition holds, about two groups
 SLICE = 1 << 21  # ids of pieces handed on at once
-KEEP = 1 << 19  # stretches of text, and parts of them, a worker keeps the ids of
-#: Stretches the vocabulary's splitter cuts into letters, with the blank before
-#: them, and one run of marks.
-SIMPLE = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:$%&#*()\-]*)\Z")
+KEEP = 1 << 19  # pieces of text a worker keeps the ids of
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+BLANKS = r" \t-\r"
+#: Texts of ASCII and Western letters only, for which ``re`` knows all classes.
+PLAIN = re.compile(rf"[{LETTERS}0-9{BLANKS}!-/:-@\[-`{{-~]*\Z")
+#: Fixed values of the file format: its splitter's pattern for such texts.
+PLAIN_PIECES = re.compile(
+    rf" ?[{LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^{BLANKS}{LETTERS}0-9]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+"
+)
+
+
+class _Kept(dict):
+    """Results of ``make`` for short keys, up to ``KEEP`` of them."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) < KEEP and len(key) <= 64:
+            self[key] = value
+        return value
 
 
 class Encoder:
-    """Ids as the library gives them for a whole text; equal stretches once.
+    """Ids as the library gives them for a whole text; equal pieces once.
 
-    For byte-level vocabularies whose splitter never joins text across the start
-    of a run of white space, so a text is its stretches one after the other.
+    For byte-level vocabularies. Plain texts are split by the vocabulary's own
+    pattern; others into stretches, since a piece never reaches across the start
+    of a run of white space.
     """
 
     def __init__(self, content: bytes):
@@ -40,38 +59,25 @@ class Encoder:
         self.library.no_padding()
         self.tokenize = self.library.model.tokenize
         self.character = {b: c for c, b in byte_alphabet().items()}
-        self.blank = self.character[ord(" ")]
+        self.ascii = {b: c for b, c in self.character.items() if b < 128}
         added = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.stretches: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            mapped = part.replace(" ", self.blank) if part.isascii() else "".join([self.character[b] for b in part.encode()])
-            found = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
-            if len(self.parts) < KEEP:
-                self.parts[part] = found
-        return found
-
-    def _stretch(self, stretch: str) -> bytes:
-        simple = SIMPLE.match(stretch) if len(stretch) <= 64 else None
-        if simple:
-            found = self._part(simple[1]) + (self._part(simple[2]) if simple[2] else b"")
-        else:
-            found = array("I", self.library.encode(stretch, add_special_tokens=False).ids).tobytes()
-        if len(self.stretches) < KEEP and len(stretch) <= 64:
-            self.stretches[stretch] = found
-        return found
+        self.pieces = _Kept(self._piece)
+        self.stretches = _Kept(lambda s: array("I", self.library.encode(s, add_special_tokens=False).ids).tobytes())
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece.translate(self.ascii) if piece.isascii() else "".join([self.character[b] for b in piece.encode()])
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
-        known, make, out = self.stretches.get, self._stretch, []
+        out = []
         for i, part in enumerate(self.added.split(text) if self.added else [text]):
             if i % 2:
-                out.append(np.array([self.library.token_to_id(part)], "<u4").tobytes())
+                out.append(array("I", [self.library.token_to_id(part)]).tobytes())
+            elif PLAIN.match(part):
+                out += map(self.pieces.__getitem__, PLAIN_PIECES.findall(part))
             else:
-                out += [known(s) or make(s) for s in STRETCH.findall(part)]
+                out += map(self.stretches.__getitem__, STRETCH.findall(part))
         return np.frombuffer(b"".join(out), "<u4")
 
 

@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from bedside.llm.common import prefix_sums
 from bedside.session import cut
 
-BLOCK = 1 << 22  # bytes of text worked on at once
+BLOCK = 1 << 23  # bytes of text worked on at once
+STRIP = 1 << 20  # bytes hashed at once
+HELD = 1 << 22  # extensions a task gathers before it counts them
 TRIE = 1 << 19  # phrases a broadcast trie holds, about
 SMALL = 16  # children up to which trie nodes are placed together
 #: Odd multipliers of the word hash; the next one is taken if two words meet.
@@ -42,25 +44,41 @@ class Words:
     """The words of a block of documents: hashes, places, and which ones follow
     another word of the same piece of the same document."""
 
-    def __init__(self, texts: list[bytes], powers: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, texts: list[bytes], base: int):
         self.raw = LOWER[np.frombuffer(b"\n".join(texts), np.uint8)]
         kinds = KINDS[self.raw]
         inside = np.concatenate([[False], kinds == WORD, [False]])
         border = np.flatnonzero(inside[1:] != inside[:-1])
         self.starts, self.ends = border[::2], border[1::2]
-        stops = np.cumsum(kinds == STOP)[self.starts] if len(self.starts) else np.zeros(0, np.int64)
+        stops = np.searchsorted(np.flatnonzero(kinds == STOP), self.starts)
         self.follows = np.concatenate([[False], stops[1:] == stops[:-1]])[: len(stops)]
         begins = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]])
         self.doc = np.searchsorted(begins, self.starts, "right") - 1
-        power, inverse = powers
-        # Sums run modulo 2**64; a word's part of them is moved to power 0.
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[: len(self.raw)])])
-        mixed = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
+        self.hash = np.empty(len(self.starts), np.int64)
+        cuts = np.searchsorted(self.starts, np.arange(0, len(self.raw), STRIP))
+        for first, last in zip(cuts, np.append(cuts[1:], len(self.starts))):
+            if first < last:
+                self._hash(first, last, base)
+
+    def _hash(self, first: int, last: int, base: int) -> None:
+        """Sums of bytes times powers modulo 2**64; a word's part of them is
+        moved to power 0."""
+        begin, end = self.starts[first], self.ends[last - 1]
+        power, inverse = _powers(base, end - begin)
+        sums = np.zeros(end - begin + 1, np.uint64)
+        np.cumsum((self.raw[begin:end].astype(np.uint64) + np.uint64(1)) * power[: end - begin], out=sums[1:])
+        at = self.starts[first:last] - begin
+        mixed = (sums[self.ends[first:last] - begin] - sums[at]) * inverse[at]
         mixed ^= mixed >> np.uint64(29)
-        self.hash = (mixed * np.uint64(BASES[0])).view(np.int64)
+        self.hash[first:last] = (mixed * np.uint64(BASES[0])).view(np.int64)
 
-    def text(self, word: int) -> bytes:
-        return self.raw[self.starts[word] : self.ends[word]].tobytes()
+    def text(self, chosen: np.ndarray) -> pa.Array:
+        """The chosen words as strings."""
+        sizes = self.ends[chosen] - self.starts[chosen]
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        place = np.repeat(self.starts[chosen] - offsets[:-1], sizes) + np.arange(offsets[-1])
+        buffers = [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.raw[place])]
+        return pa.LargeStringArray.from_buffers(len(chosen), buffers[1], buffers[2]).cast(pa.string())
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -83,7 +101,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[Word
     word as a place in the list of the block's languages, and that list."""
 
     def block():
-        found = Words(texts, _powers(base, max(sum(map(len, texts)) + len(texts), BLOCK)))
+        found = Words(texts, base)
         names = sorted(set(langs))
         code = {name: i for i, name in enumerate(names)}
         return found, np.array([code[x] for x in langs])[found.doc], names
@@ -101,18 +119,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], base: int) -> Iterator[tuple[Word
         yield block()
 
 
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[: len(values)])
+
+
 def _word_counts(base: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, lang, names in _blocks(batches, base):
-            order = np.lexsort((words.hash, lang))
-            h, at = words.hash[order], lang[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])])[: len(h)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()).take(pa.array(at[new])), pa.array(h[new]),
-                 pa.array([words.text(i) for i in order[new]], pa.binary()).cast(pa.string()),
-                 pa.array(np.diff(np.append(new, len(h))))],
-                names=["lang", "h", "word", "n"],
-            )
+            by_lang = np.argsort(lang, kind="stable")
+            begins = np.searchsorted(lang[by_lang], np.arange(len(names) + 1))
+            for name, first, last in zip(names, begins, begins[1:]):
+                order = by_lang[first:last]
+                order = order[np.argsort(words.hash[order])]
+                new = _runs(words.hash[order])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(new), pa.string()), pa.array(words.hash[order[new]]),
+                     words.text(order[new]), pa.array(np.diff(np.append(new, len(order))))],
+                    names=["lang", "h", "word", "n"],
+                )
 
     return run
 
@@ -212,21 +237,22 @@ class DoubleArray:
 
 
 def _scan(trie, base: int, k: int, whole: bool, extend: bool):
-    """Counts of the trie's phrases of ``k`` words and, handed in with the number
-    of times seen, their extensions by one word."""
+    """Counts of the trie's phrases of ``k`` words (id, no hash) and, handed in with
+    the number of times seen, their extensions (id, hash of the next word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree: DoubleArray = trie.value
-        flat, begin = tree.rows
         root = {name: i for i, name in enumerate(tree.langs.tolist())}
 
-        def handed(lang, values, length, n):
-            offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * length)
-            return pa.RecordBatch.from_arrays(
-                [lang, pa.ListArray.from_arrays(offsets, pa.array(values.ravel())), pa.array(n)], names=["lang", "p", "n"]
-            )
+        def handed(ids, hashes, n):
+            return pa.RecordBatch.from_arrays([pa.array(ids), hashes, pa.array(n)], names=["id", "h", "n"])
+
+        def extensions(keys: np.ndarray, following: np.ndarray):
+            key, n = np.unique(keys, return_counts=True)
+            return handed(key // len(following), pa.array(following[key % len(following)]), n)
 
         total = np.zeros(tree.size, np.int64)
+        held, waiting = [], 0
         for found, lang, names in _blocks(batches, base):
             size = len(found.hash)
             words = tree.words(found.hash)
@@ -234,7 +260,7 @@ def _scan(trie, base: int, k: int, whole: bool, extend: bool):
             alive = np.ones(size, bool)  # the next word belongs to the same piece
             for level in range(k):
                 if level:
-                    alive[: size - level] &= found.follows[level:]
+                    alive[: max(size - level, 0)] &= found.follows[level:]
                     alive[max(size - level, 0) :] = False
                 at = np.where(alive, tree.step(at, np.concatenate([words[level:], np.full(min(level, size), -1)])), -1)
             accepted = tree.accept[at]
@@ -243,34 +269,25 @@ def _scan(trie, base: int, k: int, whole: bool, extend: bool):
             if not extend or size <= k:
                 continue
             further = np.flatnonzero((accepted[:-k] >= 0) & found.follows[k:])
-            if whole:  # the last k words must be a candidate too
+            if whole:  # the last k words must be a candidate too, so the next word is known
                 further = further[accepted[further + 1] >= 0]
-            order = further[np.lexsort((found.hash[further + k], accepted[further]))]
-            phrase, last = accepted[order], found.hash[order + k]
-            new = np.flatnonzero(np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (last[1:] != last[:-1])])[: len(order)])
-            values = np.empty((len(new), k + 1), np.int64)
-            values[:, :k] = flat[begin[phrase[new]][:, None] + np.arange(k)]
-            values[:, k] = last[new]
-            yield handed(pa.array(names, pa.string()).take(pa.array(lang[order[new]])), values, k + 1, np.diff(np.append(new, len(order))))
-        hit = np.flatnonzero(total) if k > 1 else np.zeros(0, np.int64)  # words are counted before
-        names = pa.array(tree.langs[tree.lang_of[hit]].tolist(), pa.string())
-        yield handed(names, flat[begin[hit][:, None] + np.arange(k)], k, total[hit])
+                held.append(accepted[further] * len(tree.vocabulary) + words[further + k])
+                waiting += len(further)
+                if waiting >= HELD:
+                    yield extensions(np.concatenate(held), tree.vocabulary)
+                    held, waiting = [], 0
+            elif len(further):
+                following, place = np.unique(found.hash[further + k], return_inverse=True)
+                yield extensions(accepted[further] * len(following) + place, following)
+        if waiting:
+            yield extensions(np.concatenate(held), tree.vocabulary)
+        if k > 1:  # words are counted before
+            hit = np.flatnonzero(total)
+            yield handed(hit, pa.nulls(len(hit), pa.int64()), total[hit])
 
     return run
 
 
-def _trie(rows: pa.Table) -> DoubleArray:
-    """The trie of (lang, p) rows, with what a scan hands in."""
-    langs, lists = rows["lang"].to_pylist(), rows["p"].combine_chunks()
-    phrases = lists.to_pylist()
-    tree = DoubleArray(langs, phrases)
-    lengths = np.array([len(p) for p in phrases])
-    tree.rows = (np.concatenate([np.array(p, np.int64) for p in phrases]), np.cumsum(lengths) - lengths)
-    tree.lang_of = np.searchsorted(tree.langs, np.array(langs, object).astype(str))
-    del tree.state
-    return tree
-
-
 def _counted(texts: DataFrame, candidates: DataFrame, base: int, k: int, least: int, extend: bool, trie_size: int) -> DataFrame:
     """(lang, p, n) of candidates of ``k`` words, and of candidates of ``k + 1``."""
     spark = texts.sparkSession
@@ -281,10 +298,13 @@ def _counted(texts: DataFrame, candidates: DataFrame, base: int, k: int, least:
         rows = own.select("lang", "p").toArrow()
         if not rows.num_rows:
             continue
-        trie = spark.sparkContext.broadcast(_trie(rows))
-        found = texts.mapInArrow(_scan(trie, base, k, shards == 1, extend), "lang string, p array<long>, n long")
-        found = found.groupBy("lang", "p").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-        found = cut(found, f"phrases-{k}-{shard}")
+        trie = spark.sparkContext.broadcast(DoubleArray(rows["lang"].to_pylist(), rows["p"].to_pylist()))
+        found = texts.mapInArrow(_scan(trie, base, k, shards == 1, extend), "id long, h long, n long")
+        found = found.groupBy("id", "h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+        named = spark.createDataFrame(rows.append_column("id", pa.array(range(rows.num_rows), pa.int64())))
+        found = cut(found, f"found-{k}-{shard}").join(cut(named, f"candidates-{k}-{shard}"), "id")
+        longer = F.when(F.col("h").isNull(), F.col("p")).otherwise(F.concat("p", F.array("h")))
+        found = cut(found.select("lang", longer.alias("p"), "n"), f"phrases-{k}-{shard}")
         out = found if out is None else out.unionByName(found)
     return out
 
