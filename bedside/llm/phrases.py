@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from bedside.llm.common import prefix_sums
 from bedside.session import cut
 
-BLOCK = 1 << 23  # bytes of text worked on at once
+BLOCK = 1 << 22  # bytes of text worked on at once
 STRIP = 1 << 20  # bytes hashed at once
-HELD = 1 << 22  # extensions a task gathers before it counts them
+HELD = 1 << 21  # extensions a task gathers before it counts them
 TRIE = 1 << 19  # phrases a broadcast trie holds, about
 SMALL = 16  # children up to which trie nodes are placed together
 #: Odd multipliers of the word hash; the next one is taken if two words meet.
