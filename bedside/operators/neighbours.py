@@ -1,55 +1,103 @@
-"""Radius and nearest-neighbour joins over scaled points.
+"""Radius and nearest-neighbour joins over scaled points, by a tree of boxes.
 
-Points are put in grid cells and joined on equal cells; a cell is twice the
-radius wide, so the ball around a point touches at most two cells per grid
-dimension. No step compares all points with all points.
+A box holds points and the bounds of their values in all features. Boxes are split
+at quantiles of their widest feature until they are small, and joins go down the
+tree level by level: a box is dropped, taken whole or opened by the distance of its
+nearest and farthest corner. No step compares all points with all points.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.functions.mixture import squared_distance
 from bedside.session import cut
 
+LEAF = 8  # points up to which a box is not split
+FAN = 8  # parts a box is split into, about; a power of two
+SMALL = 4096  # boxes up to which a level is sent to every task
+ACCURACY = 256  # of the quantiles boxes are split at
 
-def _names(grid: list[str]) -> list[str]:
-    return [f"_g{i}" for i in range(len(grid))]
 
+@dataclass
+class BoxTree:
+    """``levels`` holds per level the boxes (``_box``, ``_parent``, ``_n``, ``_leaf``,
+    bounds) and their number; ``points`` has the points with the leaf they lie in."""
 
-def in_cell(df: DataFrame, grid: list[str], side: float) -> DataFrame:
-    return df.withColumns(
-        {name: F.floor(F.col(f) / side) for name, f in zip(_names(grid), grid)}
-    )
+    levels: list[tuple[DataFrame, int]]
+    points: DataFrame
 
 
-def in_touched_cells(df: DataFrame, grid: list[str], radius: float, side: float) -> DataFrame:
-    """A copy of each row per cell its ball touches. The ball is taken a hair
-    larger, so rounding cannot lose a border cell."""
-    reach = radius * (1 + 1e-9) + 1e-9
-    for name, f in zip(_names(grid), grid):
-        low = F.floor((F.col(f) - reach) / side)
-        high = F.floor((F.col(f) + reach) / side)
-        df = df.withColumn(name, F.explode(F.sequence(low, high)))
-    return df
-
-
-def cells_of_points(points: DataFrame, features: list[str], radius: float, grid: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(boxes, points) for :func:`radius_anti_join`: distinct points by cells half a
-    radius wide and the bounds of each occupied cell, both written once."""
-    grid = grid or features[:2]
-    placed = cut(in_cell(points.select(*features).distinct(), grid, radius / 2), "cells")
-    boxes = placed.groupBy(*_names(grid)).agg(
-        *[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features]
-    )
-    return cut(boxes, "boxes"), placed
+def _bounds(features: list[str]) -> list[str]:
+    return [f"{side}_{f}" for f in features for side in ("lo", "hi")]
+
+
+def _level(boxes: DataFrame, number: int) -> DataFrame:
+    """A level small enough by count is sent to every task, a larger one shuffled."""
+    return F.broadcast(boxes) if number <= SMALL else boxes
+
+
+def box_tree(points: DataFrame, features: list[str], leaf: int = LEAF, fan: int = FAN) -> BoxTree:
+    """Split ``points`` into boxes of at most ``leaf`` rows; a box of equal vectors
+    cannot be split, so equal points should be reduced before.
+
+    Every level is one aggregate over boxes, with partial sums and quantile sketches
+    per task, and one join that moves points to their parts, so neither the root nor
+    a clump is gathered. A split always leaves both sides occupied: where the
+    quantiles of the widest feature all equal its largest value the middle of the box
+    is the border.
+    """
+    steps = [i / fan for i in range(1, fan)]
+    placed = points.withColumns({"_box": F.lit("0"), "_open": F.lit(True)})
+    levels = []
+    while True:
+        found = placed.filter("_open").groupBy("_box").agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.min(f).alias(f"lo_{f}") for f in features], *[F.max(f).alias(f"hi_{f}") for f in features],
+            *[F.percentile_approx(f, steps, ACCURACY).alias(f"_q_{f}") for f in features],
+        )
+        widths = F.array(*[F.col(f"hi_{f}") - F.col(f"lo_{f}") for f in features])
+        widest = F.array_position(widths, F.array_max(widths)).cast("int")
+
+        def of_widest(columns: list[str]) -> Column:
+            return F.element_at(F.array(*columns), F.col("_w"))
+
+        low, high = of_widest([f"lo_{f}" for f in features]), of_widest([f"hi_{f}" for f in features])
+        middle = (low + high) / 2
+        # Nearly small enough boxes are split into fewer parts.
+        stride = F.lit(fan) / F.least(F.lit(fan), F.pow(2.0, F.ceil(F.log2(F.col("_n") / leaf))))
+        chosen = F.filter(of_widest([f"_q_{f}" for f in features]), lambda q, i: (i + 1) % stride.cast("int") == 0)
+        inside = F.array_distinct(F.filter(chosen, lambda q: q < high))
+        border = F.when(middle < high, middle).otherwise(low)
+        boxes = cut(
+            found.withColumn("_w", widest)
+            .withColumn("_cuts", F.when(F.size(inside) > 0, inside).otherwise(F.array(border)))
+            .withColumn("_leaf", (F.col("_n") <= leaf) | (low >= high))
+            .withColumn("_parent", F.regexp_replace("_box", r"\.?[^.]*$", ""))
+            .select("_box", "_parent", "_n", "_leaf", *_bounds(features), "_w", "_cuts"),
+            "boxes",
+        )
+        number = boxes.count()
+        levels.append((boxes.drop("_w", "_cuts"), number))
+        split = boxes.filter("NOT _leaf").select("_box", "_w", "_cuts")
+        if not number or split.isEmpty():
+            return BoxTree(levels, cut(placed.drop("_open"), "points"))
+        value = F.element_at(F.array(*features), F.col("_w"))
+        part = F.size(F.filter("_cuts", lambda c: value > c)).cast("string")
+        moved = placed.join(_level(split, number), "_box", "left")
+        placed = cut(
+            moved.withColumn("_open", F.col("_w").isNotNull())
+            .withColumn("_box", F.when(F.col("_open"), F.concat_ws(".", "_box", part)).otherwise(F.col("_box")))
+            .drop("_w", "_cuts"),
+            "placed",
+        )
 
 
-def _gaps(features: list[str]) -> tuple[Column, Column]:
-    """Squared distance of the nearest and of the farthest corner of a box."""
+def _corners(features: list[str]) -> tuple[Column, Column]:
+    """Squared distance of the nearest and of the farthest corner of a box. Rounding
+    is monotone, so they bound the distances to its points as computed."""
     inner, outer = F.lit(0.0), F.lit(0.0)
     for f in features:
         below, above = F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}")
@@ -58,240 +106,134 @@ def _gaps(features: list[str]) -> tuple[Column, Column]:
     return inner, outer
 
 
-def radius_anti_join(
-    candidates: DataFrame, points: DataFrame | tuple[DataFrame, DataFrame], features: list[str], radius: float,
-    grid: list[str] | None = None,
-) -> DataFrame:
-    """Candidates (``det_id``, ``features``) farther than ``radius`` from every point.
+def _met(open_: DataFrame, level: tuple[DataFrame, int], key: str, features: list[str]) -> DataFrame:
+    """Rows (``key``, features, box, its number of points, corners): the children of
+    the boxes each open row still has; leaves stay as they are."""
+    columns = [key, *features, "_box", "_n", "_leaf", "_inner", "_outer"]
+    inner, outer = _corners(features)
+    below = open_.filter("NOT _leaf").select(key, *features, F.col("_box").alias("_parent"))
+    children = below.join(_level(*level), "_parent").withColumns({"_inner": inner, "_outer": outer})
+    return children.select(*columns).unionByName(open_.filter("_leaf").select(*columns))
 
-    Candidates meet boxes of points before points. A box whose farthest corner
-    lies inside the radius rejects its candidate, one whose nearest corner lies
-    outside is passed over, and only border boxes of candidates still open are
-    looked into. ``points`` may be the result of :func:`cells_of_points`, so that
-    several calls read the rows once.
-    """
-    grid = grid or features[:2]
-    boxes, placed = points if isinstance(points, tuple) else cells_of_points(points, features, radius, grid)
-    limit = radius * radius
-    touched = in_touched_cells(candidates, grid, radius, radius / 2)
-    inner, outer = _gaps(features)
-    met = touched.join(boxes, _names(grid)).withColumns({"_inner": inner, "_outer": outer})
-    met = cut(met.filter(F.col("_inner") <= limit).select("det_id", *features, *_names(grid), "_outer"), "met")
-    sure = met.filter(F.col("_outer") <= limit).select("det_id").distinct()
-    border = met.join(sure, "det_id", "left_anti").select(
-        "det_id", *_names(grid), *[F.col(f).alias(f"c_{f}") for f in features]
-    )
-    near = squared_distance([(F.col(f), F.col(f"c_{f}")) for f in features]) <= limit
-    hits = placed.join(border, _names(grid)).filter(near).select("det_id").distinct()
-    return candidates.join(sure.unionByName(hits), "det_id", "left_anti")
 
+def _at_root(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
+    nothing = {"_box": F.lit(""), "_n": F.lit(0).cast("long"), "_leaf": F.lit(False), "_inner": F.lit(0.0), "_outer": F.lit(0.0)}
+    return rows.select(key, *features).withColumns(nothing)
 
-def radius_flag(
-    df: DataFrame, detectors: DataFrame, features: list[str], radius: float,
-    grid: list[str] | None = None, out: str = "flag",
-) -> DataFrame:
-    """1 if any detector is within ``radius`` (inclusive), else 0.
 
-    Distinct row vectors are asked once, against boxes of detectors as in
-    :func:`radius_anti_join`; the answer goes back to all rows of a vector.
-    """
-    grid = grid or features[:2]
-    asked = cut(
-        df.select(*features).distinct().withColumn("det_id", F.monotonically_increasing_id()), "asked"
-    )
-    far = radius_anti_join(asked, detectors, features, radius, grid).select(*features).withColumn("_far", F.lit(1))
-    return hand_back(df, asked.drop("det_id").join(far, features, "left"), features).withColumn(
-        out, F.when(F.col("_far").isNull(), 1).otherwise(0)
-    ).drop("_far")
+def radius_leaves(candidates: DataFrame, tree: BoxTree, features: list[str], radius: float) -> tuple[DataFrame, DataFrame]:
+    """(leaves, inside): the boxes in which points within ``radius`` of a candidate
+    (``det_id``) may lie, and the candidates that hold a whole box in their ball."""
+    limit = radius * radius
+    open_, inside = _at_root(candidates, "det_id", features), None
+    for level in tree.levels:
+        met = cut(_met(open_, level, "det_id", features).filter(F.col("_inner") <= limit), "met")
+        sure = met.filter(F.col("_outer") <= limit).select("det_id").distinct()
+        open_ = met.join(sure, "det_id", "left_anti")
+        inside = sure if inside is None else inside.unionByName(sure)
+    return open_, inside
 
 
-def start_radius(points: DataFrame, grid: list[str], diameter: float, k: int) -> float:
-    """Largest of some radii whose cells hold few points as seen from a point.
-
-    Points are counted once in the finest cells; a level's cells hold sixteen of
-    the level below, a shift of their numbers, so the rest works on counts."""
-    levels = 7
-    finest = diameter / 4.0**11
-    names = _names(grid)
-    counts = cut(in_cell(points, grid, 2 * finest).groupBy(*names).agg(F.count(F.lit(1)).alias("n")), "finest")
-    good = finest
-    for level in range(levels):
-        shift = 3 * level
-        radius = finest * 2.0**shift
-        sizes = counts.groupBy(*[F.shiftright(n, shift).alias(n) for n in names]).agg(F.sum("n").alias("n"))
-        seen = sizes.agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.sum("n")).alias("seen")).first()["seen"]
-        if seen > 4 * k:
-            break
-        good = radius
-    return good
-
-
-def spread_features(points: DataFrame, features: list[str], most: int = 2) -> list[str]:
-    """The features a grid tells points apart by best: those of most distinct values."""
-    found = points.agg(*[F.approx_count_distinct(f).alias(f) for f in features]).first()
-    return sorted(features, key=lambda f: (-(found[f] or 0), features.index(f)))[:most]
-
-
-def _boxes(points: DataFrame, features: list[str], grid: list[str], side: float) -> DataFrame:
-    """Occupied cells with their point count and the bounds of their points."""
-    return in_cell(points, grid, side).groupBy(*_names(grid)).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(f).alias(f"lo_{f}") for f in features],
-        *[F.max(f).alias(f"hi_{f}") for f in features],
-    )
+def radius_anti_join(candidates: DataFrame, points: DataFrame | BoxTree, features: list[str], radius: float) -> DataFrame:
+    """Candidates (``det_id``, ``features``) farther than ``radius`` from every point.
+
+    Candidates go down the tree; one whose ball holds a whole box is rejected there.
+    Of the leaves that are left, a candidate's nearest is looked into first, the
+    others only if that holds no point close enough. ``points`` may be a tree over
+    distinct vectors, so that several calls share it.
+    """
+    tree = points if isinstance(points, BoxTree) else box_tree(points.select(*features).distinct(), features)
+    leaves, inside = radius_leaves(candidates, tree, features, radius)
+    leaves = cut(leaves, "leaves")
+    nearest_leaf = leaves.groupBy("det_id").agg(F.min_by("_box", F.struct("_inner", "_outer", "_box")).alias("_box"))
+    asked = cut(nearest_leaf, "nearest-leaf")
+    limit = radius * radius
+    here = tree.points.select("_box", *[F.col(f).alias(f"p_{f}") for f in features])
+    near = squared_distance([(F.col(f), F.col(f"p_{f}")) for f in features]) <= limit
 
+    def hits(rows: DataFrame) -> DataFrame:
+        return cut(rows.join(here, "_box").filter(near).select("det_id").distinct(), "hits")
 
-def _parents(cells: DataFrame, grid: list[str]) -> DataFrame:
-    """Add the cell eight times as wide that holds each cell."""
-    return cells.withColumns({f"_p{i}": F.shiftright(name, 3) for i, name in enumerate(_names(grid))})
+    first = hits(leaves.join(asked, ["det_id", "_box"], "left_semi"))
+    rest = leaves.join(asked, ["det_id", "_box"], "left_anti").join(first, "det_id", "left_anti")
+    found = inside.unionByName(first).unionByName(hits(rest))
+    return candidates.join(found, "det_id", "left_anti")
 
 
-def _bounded(pairs: DataFrame, features: list[str], radius: float, k: int) -> DataFrame:
-    """Keep the cells of each query that can hold one of its ``k`` nearest points.
+def radius_flag(df: DataFrame, detectors: DataFrame, features: list[str], radius: float, out: str = "flag") -> DataFrame:
+    """1 if any detector is within ``radius`` (inclusive), else 0.
 
-    ``limit`` is the squared distance within which ``k`` points are certain,
-    from the farthest corners of the nearest boxes. Rounding is monotone, so
-    the bounds hold for the distances as computed.
+    Distinct row vectors are asked once, as in :func:`radius_anti_join`; the answer
+    goes back to all rows of a vector.
     """
-    inner, outer = _gaps(features)
-    query = Window.partitionBy(*features)
-    certain = F.sum(F.least("n", F.lit(k))).over(
-        query.orderBy("_outer").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    reach = F.min(F.when(F.col("_certain") >= k, F.col("_outer"))).over(query)
-    return (
-        pairs.withColumns({"_inner": inner, "_outer": outer})
-        .withColumn("_certain", certain)
-        .withColumn("limit", F.least(F.coalesce(reach, F.lit(radius * radius)), F.lit(radius * radius)))
-        .filter(F.col("_inner") <= F.col("limit"))
-        .drop("_inner", "_outer", "_certain")
-    )
-
+    asked = cut(df.select(*features).distinct().withColumn("det_id", F.monotonically_increasing_id()), "asked")
+    far = radius_anti_join(asked, detectors, features, radius).select(*features).withColumn("_far", F.lit(1))
+    return hand_back(df, asked.drop("det_id").join(far, features, "left"), features).withColumn(
+        out, F.when(F.col("_far").isNull(), 1).otherwise(0)
+    ).drop("_far")
 
-def near_cells(
-    open_: DataFrame, points: DataFrame, features: list[str], grid: list[str], radius: float,
-    k: int, heavy: int,
-) -> tuple[DataFrame, list[float]]:
-    """(features, cell, level, limit) of the cells worth opening per query, and the
-    cell side of each level.
 
-    Cells are an eighth of a touched cell wide. A cell kept with more than
-    ``heavy`` points is replaced by its own eighths and judged again, so a
-    sparse query next to a dense clump opens the near edge of the clump only.
-    """
-    names, sides = _names(grid), [radius / 4]
-    columns = [*features, *names, "n", *[f"{p}_{f}" for f in features for p in ("lo", "hi")], "level"]
-    cells = _parents(_boxes(points, features, grid, sides[0]), grid)
-    touched = in_touched_cells(open_, grid, radius, 2 * radius).select(
-        *[F.col(f).alias(f"_q_{f}") for f in features],
-        *[F.col(name).alias(f"_p{i}") for i, name in enumerate(names)],
-    )
-    parent = [f"_p{i}" for i in range(len(grid))]
-
-    def paired(queries: DataFrame, children: DataFrame, level: int) -> DataFrame:
-        joined = queries.join(children, parent).withColumn("level", F.lit(level))
-        return joined.withColumns({f: F.col(f"_q_{f}") for f in features}).select(*columns)
-
-    pairs = cut(_bounded(paired(touched, cells, 0), features, radius, k), "cells")
-    # A box that is a single point in all features cannot be split; equal points are
-    # cut to the first few before, so such a box is small.
-    wide = reduce(or_, [F.col(f"lo_{f}") < F.col(f"hi_{f}") for f in grid])
-    while not pairs.filter((F.col("n") > heavy) & wide).isEmpty():
-        deep = pairs.filter((F.col("n") > heavy) & wide)
-        inside = in_cell(points, grid, sides[-1]).join(
-            deep.select(*names).distinct(), names, "left_semi"
-        )
-        sides.append(sides[-1] / 8)
-        children = _parents(_boxes(inside, features, grid, sides[-1]), grid)
-        opened = deep.select(
-            *[F.col(f).alias(f"_q_{f}") for f in features],
-            *[F.col(name).alias(f"_p{i}") for i, name in enumerate(names)],
-        )
-        both = pairs.filter(~((F.col("n") > heavy) & wide)).select(*columns).unionByName(
-            paired(opened, children, len(sides) - 1)
-        )
-        pairs = cut(_bounded(both, features, radius, k), "cells")
-    return pairs, sides
+def nearest_leaves(queries: DataFrame, tree: BoxTree, features: list[str], k: int) -> DataFrame:
+    """The leaves that can hold one of the ``k`` nearest points of each query
+    (``_query``, features), with ``_limit``: the squared distance within which ``k``
+    points are certain, from the farthest corners of the boxes met so far."""
+    query = Window.partitionBy("_query")
+    sure = F.sum(F.least("_n", F.lit(k))).over(query.orderBy("_outer").rowsBetween(Window.unboundedPreceding, 0))
+    reach = F.min(F.when(F.col("_sure") >= k, F.col("_outer"))).over(query)
+    open_ = _at_root(queries, "_query", features)
+    for level in tree.levels:
+        met = _met(open_, level, "_query", features).withColumn("_sure", sure).withColumn("_limit", reach)
+        kept = met.filter(F.col("_limit").isNull() | (F.col("_inner") <= F.col("_limit")))
+        open_ = cut(kept.drop("_sure"), "met")
+    return open_
 
 
 def nearest(
-    queries: DataFrame, points: DataFrame, features: list[str], k: int,
-    grid: list[str] | None = None, payload: str = "y", growth: float = 16.0, heavy: int = 1024,
+    queries: DataFrame, points: DataFrame, features: list[str], k: int, payload: str = "y", leaf: int = LEAF,
 ) -> DataFrame:
     """(features, ``neighbours``) per distinct query vector: its ``k`` nearest
     points as sorted structs (d2, id, payload, v), ties by id. Exact.
 
-    The grid spans two features (by default those of most distinct values), so
-    copies do not grow with the number of features, while boxes bound all of
-    them. Query vectors are looked up with a small radius first. A vector with
-    ``k`` points inside the radius is settled, since every point that close lies
-    in a touched cell; the others go on with a larger radius. Every round looks at
-    boxes before points (see :func:`near_cells`), so no query meets a whole dense region. Of
-    equal points only the first ``k`` ids are kept. Each round is written to the
-    shared folder, so a lost executor repeats part of one round.
+    Queries go down a tree of boxes and drop boxes that cannot hold one of the ``k``
+    nearest. Then a query looks into its nearest leaf, which gives a closer bound in
+    most cases, and into the other leaves within that bound. Of equal points only the
+    first ``k`` ids are kept, equal queries are asked once. Each level is written to
+    the shared folder, so a lost executor repeats part of one level.
     """
     first = Window.partitionBy(*features).orderBy("id")
-    usable = cut(
+    usable = (
         points.select("id", payload, *features)
-        .withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= k)
-        .drop("_n"),
-        "points",
-    )
-    open_ = cut(queries.select(*features).distinct(), "queries")
-    spans = [
-        both.agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.min(f).alias(f"lo_{f}") for f in features],
-            *[F.max(f).alias(f"hi_{f}") for f in features],
-        ).first()
-        for both in (usable, open_)
-    ]
-    if not spans[0]["n"] or not spans[1]["n"]:
-        return open_.withColumn("neighbours", F.expr(
-            f"cast(null as array<struct<d2:double,id:{usable.schema['id'].dataType.simpleString()},{payload}:int,v:array<double>>>)"))
-    widths = [
-        max(s[f"hi_{f}"] for s in spans) - min(s[f"lo_{f}"] for s in spans) for f in features
-    ]
-    diameter = sum(w * w for w in widths) ** 0.5 + 1e-6
-    grid = grid or spread_features(usable, features)
-    names = _names(grid)
-    radius = start_radius(usable, grid, diameter, k)
-    copies = usable.select(
-        "id", payload, F.array(*features).alias("v"), *[F.col(f).alias(f"p_{f}") for f in features]
+        .withColumn("_copy", F.row_number().over(first))
+        .filter(F.col("_copy") <= k)
+        .drop("_copy")
     )
-    point_grid = [f"p_{f}" for f in grid]
+    tree = box_tree(cut(usable, "usable"), features, max(leaf, k))
+    asked = cut(queries.select(*features).distinct().withColumn("_query", F.monotonically_increasing_id()), "queries")
+    if not tree.levels[0][1]:
+        kind = points.schema["id"].dataType.simpleString()
+        return asked.drop("_query").withColumn("neighbours", F.expr(
+            f"cast(null as array<struct<d2:double,id:{kind},{payload}:int,v:array<double>>>)"))
+    leaves = nearest_leaves(asked, tree, features, k)
+    here = tree.points.select("_box", "id", payload, F.array(*features).alias("v"), *[F.col(f).alias(f"p_{f}") for f in features])
     d2 = squared_distance([(F.col(f), F.col(f"p_{f}")) for f in features])
-    closest = Window.partitionBy(*features).orderBy("d2", "id")
-    settled = []
-    while True:
-        last = radius >= diameter
-        cells, sides = near_cells(open_, usable, features, grid, radius, k, heavy)
-        by_level = [
-            cells.filter(F.col("level") == level)
-            .select(*features, *names, "limit")
-            .join(in_cell(copies, point_grid, side), names)
-            for level, side in enumerate(sides)
-        ]
-        pairs = reduce(DataFrame.unionByName, by_level)
-        found = cut(
-            pairs.withColumn("d2", d2)
-            .filter(F.col("d2") <= F.col("limit"))
-            .withColumn("_n", F.row_number().over(closest))
-            .filter(F.col("_n") <= k)
-            .groupBy(*features)
-            .agg(F.array_sort(F.collect_list(F.struct("d2", "id", payload, "v"))).alias("neighbours"))
-            .filter(F.lit(last) | (F.size("neighbours") >= k)),
-            "settled",
-        )
-        settled.append(found)
-        if last:
-            break
-        open_ = cut(open_.join(found, features, "left_anti"), "open")
-        if open_.isEmpty():
-            break
-        radius = min(radius * growth, diameter)
-    return reduce(DataFrame.unionByName, settled)
+    best = Window.partitionBy("_query").orderBy("d2", "id")
+
+    def closest(rows: DataFrame) -> DataFrame:
+        measured = rows.join(here, "_box").withColumn("d2", d2).select("_query", "_limit", "d2", "id", payload, "v")
+        inside = measured.filter(F.col("_limit").isNull() | (F.col("d2") <= F.col("_limit")))
+        return inside.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
+
+    home = cut(leaves.groupBy("_query").agg(F.min_by("_box", F.struct("_inner", "_outer", "_box")).alias("_box")), "home")
+    first = cut(closest(leaves.join(home, ["_query", "_box"], "left_semi")), "first")
+    kth = first.filter(F.col("_rank") == k).select("_query", F.col("d2").alias("_kth"))
+    others = leaves.join(home, ["_query", "_box"], "left_anti").join(kth, "_query", "left")
+    others = others.withColumn("_limit", F.least("_limit", "_kth")).filter(
+        F.col("_limit").isNull() | (F.col("_inner") <= F.col("_limit"))
+    )
+    both = first.unionByName(closest(others)).drop("_rank", "_limit")
+    ranked = both.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
+    found = ranked.groupBy("_query").agg(F.array_sort(F.collect_list(F.struct("d2", "id", payload, "v"))).alias("neighbours"))
+    return asked.join(cut(found, "found"), "_query").drop("_query")
 
 
 def hand_back(
@@ -314,12 +256,11 @@ def hand_back(
 
 
 def knn_classify(
-    test: DataFrame, train: DataFrame, features: list[str], k: int = 5,
-    grid: list[str] | None = None, hot_rows: int = 1_000_000,
+    test: DataFrame, train: DataFrame, features: list[str], k: int = 5, hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """Share of positives among the ``k`` nearest training rows and the majority
     vote. Equal test vectors are looked up once."""
-    votes = nearest(test, train, features, k, grid).select(
+    votes = nearest(test, train, features, k).select(
         *features,
         (F.aggregate("neighbours", F.lit(0.0), lambda acc, n: acc + n["y"]) / F.size("neighbours"))
         .alias("score"),

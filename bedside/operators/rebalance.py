@@ -8,9 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from bedside.functions.hashing import hash_text, hash_uniform
 from bedside.operators.evaluation import classification_metrics, confusion_matrix
-from bedside.operators.neighbours import (
-    cells_of_points, hand_back, nearest, radius_anti_join, radius_flag,
-)
+from bedside.operators.neighbours import box_tree, hand_back, nearest, radius_anti_join, radius_flag
 from bedside.operators.ranking import take_quota
 from bedside.session import cut
 
@@ -62,10 +60,9 @@ def nsa_detectors(
     max_trials: int = 1000,
     seed: str = "42",
     round_size: int = 16384,
-    grid: list[str] | None = None,
 ) -> DataFrame:
     """Points inside the training bounds farther than ``radius`` from every
-    label-0 row: (det_id, features). The label-0 rows are put in boxes once.
+    label-0 row: (det_id, features). The tree of label-0 rows is made once.
     Candidates are drawn and tested a round at a time until enough are accepted
     or a run of ``max_trials`` fails; without label-0 rows there are none.
     """
@@ -77,11 +74,11 @@ def nsa_detectors(
             F.col("id").alias("det_id"), *[F.lit(0.0).alias(f) for f in features]
         )
     bounds.sort(key=lambda b: features.index(b[0]))
-    placed = cells_of_points(normal, features, radius, grid)
+    tree = box_tree(normal.select(*features).distinct(), features)
     rounds, start, size = [], 0, round_size
     while True:
         drawn = candidates(bounds, spark, start, size, seed)
-        rounds.append(cut(radius_anti_join(drawn, placed, features, radius, grid), "detectors"))
+        rounds.append(cut(radius_anti_join(drawn, tree, features, radius), "detectors"))
         start += size
         kept = reduce(DataFrame.unionByName, rounds)
         found = cut(accepted_in_order(kept, num_detectors, max_trials), "accepted")
@@ -103,19 +100,17 @@ def augment_union(train: DataFrame, detectors: DataFrame, features: list[str]) -
 
 
 def nsa_classify(
-    train: DataFrame, test: DataFrame, features: list[str], radius: float = 1.0,
-    grid: list[str] | None = None, **options,
+    train: DataFrame, test: DataFrame, features: list[str], radius: float = 1.0, **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Metrics and confusion matrix of flagging test rows near a detector."""
-    detectors = nsa_detectors(train, features, radius, grid=grid, **options)
-    flagged = radius_flag(test, detectors, features, radius, grid, "pred")
+    detectors = nsa_detectors(train, features, radius, **options)
+    flagged = radius_flag(test, detectors, features, radius, "pred")
     named = flagged.withColumn("model", F.lit("negative selection"))
     return classification_metrics(named, ["model"]), confusion_matrix(named)
 
 
 def smote(
     train: DataFrame, features: list[str], k: int = 5, seed: str = "42",
-    grid: list[str] | None = None,
 ) -> DataFrame:
     """Synthetic rows of the smaller class until both classes are equal.
 
@@ -134,7 +129,7 @@ def smote(
         raise ValueError(f"class {label} has {few} rows: none has a neighbour to make rows from")
     need = many - few
     minority = train.filter(F.col("y") == label).select("id", "y", *features)
-    near = nearest(minority, minority, features, k + 1, grid)
+    near = nearest(minority, minority, features, k + 1)
     order = hash_text(seed, F.col("id"), F.lit("copy"))
     flagged = take_quota(minority, "y", order, F.lit(need % max(few, 1)), "_one_more")
     copies = F.lit(need // max(few, 1)) + F.col("_one_more").cast("int")

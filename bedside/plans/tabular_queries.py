@@ -21,8 +21,6 @@ from bedside.session import cut
 FEATURES = inputs.POINT_FEATURES
 RADIUS = 1.0
 DETECTORS = 10000
-# The grid dimensions of radius joins: the two features with most distinct values.
-GRID = ["anyv", "engage"]
 
 
 def listed(prefix: str = "", template: str = "{q} AS {f}") -> str:
@@ -96,7 +94,7 @@ dets AS MATERIALIZED (SELECT det_id, {", ".join(FEATURES)} FROM ruled WHERE wors
 def detectors_of(spark, sf_dir):
     train, _ = inputs.train_test(spark, sf_dir)
     return rb.nsa_detectors(
-        train, FEATURES, RADIUS, DETECTORS, round_size=ROUND, grid=GRID
+        train, FEATURES, RADIUS, DETECTORS, round_size=ROUND
     )
 
 
@@ -111,7 +109,7 @@ def radius_anti_join(spark, sf_dir):
     train, _ = inputs.train_test(spark, sf_dir)
     bounds = [(r["feature"], r["lo"], r["hi"]) for r in rb.feature_bounds(train, FEATURES).collect()]
     drawn = rb.candidates(bounds, spark, 0, ROUND, "42")
-    return nb.radius_anti_join(drawn, train.filter("y = 0"), FEATURES, RADIUS, GRID).select(
+    return nb.radius_anti_join(drawn, train.filter("y = 0"), FEATURES, RADIUS).select(
         "det_id", *FEATURES
     )
 
@@ -125,7 +123,7 @@ def nsa_detectors(spark, sf_dir):
 SELECT id, CAST(EXISTS (SELECT 1 FROM dets d WHERE {d2('test', 'd')} <= {RADIUS * RADIUS}) AS INTEGER) AS flag FROM test"""))
 def radius_semi_join(spark, sf_dir):
     _, test = inputs.train_test(spark, sf_dir)
-    return nb.radius_flag(test, detectors_of(spark, sf_dir), FEATURES, RADIUS, GRID).select("id", "flag")
+    return nb.radius_flag(test, detectors_of(spark, sf_dir), FEATURES, RADIUS).select("id", "flag")
 
 
 @query("nsa_classify", with_stay(f"""{POINTS}, {DETECTOR_SQL}, fl AS (
@@ -138,7 +136,7 @@ SELECT 'negative selection' AS model, {q6('(tp + tn) / (tp + fp + fn + tn)')} AS
 def nsa_classify(spark, sf_dir):
     train, test = inputs.train_test(spark, sf_dir)
     metrics, _ = rb.nsa_classify(
-        train, test, FEATURES, RADIUS, GRID, num_detectors=DETECTORS, round_size=ROUND
+        train, test, FEATURES, RADIUS, num_detectors=DETECTORS, round_size=ROUND
     )
     return metrics.select("model", *[r6(m) for m in ("accuracy", "precision", "recall", "f1")])
 
