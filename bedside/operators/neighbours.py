@@ -18,6 +18,7 @@ from bedside.session import cut
 LEAF = 8  # points up to which a box is not split
 FAN = 8  # parts a box is split into, about; a power of two
 SMALL = 4096  # boxes up to which a level is sent to every task
+STEPS = 2  # levels a join goes down before it is written
 ACCURACY = 256  # of the quantiles boxes are split at
 
 
@@ -45,12 +46,12 @@ def box_tree(points: DataFrame, features: list[str], leaf: int = LEAF, fan: int
 
     Every level is one aggregate over boxes, with partial sums and quantile sketches
     per task, and one join that moves points to their parts, so neither the root nor
-    a clump is gathered. A split always leaves both sides occupied: where the
-    quantiles of the widest feature all equal its largest value the middle of the box
-    is the border.
+    a clump is gathered. Parts lie between quantiles of the widest feature; a value
+    that is several quantiles, as imputation makes them, gets a part of its own. Any
+    split leaves two parts occupied.
     """
     steps = [i / fan for i in range(1, fan)]
-    placed = points.withColumns({"_box": F.lit("0"), "_open": F.lit(True)})
+    placed = cut(points.withColumns({"_box": F.lit("0"), "_open": F.lit(True)}), "placed")
     levels = []
     while True:
         found = placed.filter("_open").groupBy("_box").agg(
@@ -69,28 +70,29 @@ def box_tree(points: DataFrame, features: list[str], leaf: int = LEAF, fan: int
         # Nearly small enough boxes are split into fewer parts.
         stride = F.lit(fan) / F.least(F.lit(fan), F.pow(2.0, F.ceil(F.log2(F.col("_n") / leaf))))
         chosen = F.filter(of_widest([f"_q_{f}" for f in features]), lambda q, i: (i + 1) % stride.cast("int") == 0)
-        inside = F.array_distinct(F.filter(chosen, lambda q: q < high))
-        border = F.when(middle < high, middle).otherwise(low)
+        often = F.filter(F.col("_q"), lambda q: (q > low) & ((q == high) | (F.size(F.filter("_q", lambda o: o == q)) > 1)))
         boxes = cut(
             found.withColumn("_w", widest)
-            .withColumn("_cuts", F.when(F.size(inside) > 0, inside).otherwise(F.array(border)))
+            .withColumn("_q", chosen)
+            .withColumn("_above", F.array_distinct(F.filter("_q", lambda q: q < high)))
+            .withColumn("_from", F.array_distinct(often))
             .withColumn("_leaf", (F.col("_n") <= leaf) | (low >= high))
             .withColumn("_parent", F.regexp_replace("_box", r"\.?[^.]*$", ""))
-            .select("_box", "_parent", "_n", "_leaf", *_bounds(features), "_w", "_cuts"),
+            .select("_box", "_parent", "_n", "_leaf", *_bounds(features), "_w", "_above", "_from"),
             "boxes",
         )
-        number = boxes.count()
-        levels.append((boxes.drop("_w", "_cuts"), number))
-        split = boxes.filter("NOT _leaf").select("_box", "_w", "_cuts")
-        if not number or split.isEmpty():
-            return BoxTree(levels, cut(placed.drop("_open"), "points"))
+        number, whole = boxes.agg(F.count(F.lit(1)), F.count(F.when(~F.col("_leaf"), 1))).first()
+        levels.append((boxes.drop("_w", "_above", "_from"), number))
+        split = boxes.filter("NOT _leaf").select("_box", "_w", "_above", "_from")
+        if not whole:
+            return BoxTree(levels, placed.drop("_open"))
         value = F.element_at(F.array(*features), F.col("_w"))
-        part = F.size(F.filter("_cuts", lambda c: value > c)).cast("string")
+        part = F.size(F.filter("_above", lambda c: value > c)) + F.size(F.filter("_from", lambda c: value >= c))
         moved = placed.join(_level(split, number), "_box", "left")
         placed = cut(
             moved.withColumn("_open", F.col("_w").isNotNull())
-            .withColumn("_box", F.when(F.col("_open"), F.concat_ws(".", "_box", part)).otherwise(F.col("_box")))
-            .drop("_w", "_cuts"),
+            .withColumn("_box", F.when(F.col("_open"), F.concat_ws(".", "_box", part.cast("string"))).otherwise(F.col("_box")))
+            .drop("_w", "_above", "_from"),
             "placed",
         )
 
@@ -106,18 +108,28 @@ def _corners(features: list[str]) -> tuple[Column, Column]:
     return inner, outer
 
 
-def _met(open_: DataFrame, level: tuple[DataFrame, int], key: str, features: list[str]) -> DataFrame:
+def _met(open_: DataFrame, level: tuple[DataFrame, int], key: str, features: list[str], done: Column) -> DataFrame:
     """Rows (``key``, features, box, its number of points, corners): the children of
-    the boxes each open row still has; leaves stay as they are."""
-    columns = [key, *features, "_box", "_n", "_leaf", "_inner", "_outer"]
+    the boxes each open row still has; leaves and rows that are ``done`` stay."""
     inner, outer = _corners(features)
-    below = open_.filter("NOT _leaf").select(key, *features, F.col("_box").alias("_parent"))
-    children = below.join(_level(*level), "_parent").withColumns({"_inner": inner, "_outer": outer})
-    return children.select(*columns).unionByName(open_.filter("_leaf").select(*columns))
+    boxes, number = level
+    children = _level(boxes.select(
+        "_parent", F.col("_box").alias("_child"), F.col("_n").alias("_child_n"), F.col("_leaf").alias("_child_leaf"), *_bounds(features)
+    ), number)
+    asked = open_.withColumn("_parent", F.when(~(F.col("_leaf") | done), F.col("_box")))
+    met = asked.join(children, "_parent", "left")
+    opened = F.col("_child").isNotNull()
+    return met.select(
+        key, *features,
+        F.coalesce("_child", "_box").alias("_box"), F.coalesce("_child_n", "_n").alias("_n"),
+        F.coalesce("_child_leaf", "_leaf").alias("_leaf"),
+        F.when(opened, inner).otherwise(F.col("_inner")).alias("_inner"),
+        F.when(opened, outer).otherwise(F.col("_outer")).alias("_outer"),
+    )
 
 
 def _at_root(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
-    nothing = {"_box": F.lit(""), "_n": F.lit(0).cast("long"), "_leaf": F.lit(False), "_inner": F.lit(0.0), "_outer": F.lit(0.0)}
+    nothing = {"_box": F.lit(""), "_n": F.lit(0).cast("long"), "_leaf": F.lit(False), "_inner": F.lit(0.0), "_outer": F.lit(float("inf"))}
     return rows.select(key, *features).withColumns(nothing)
 
 
@@ -126,12 +138,15 @@ def radius_leaves(candidates: DataFrame, tree: BoxTree, features: list[str], rad
     (``det_id``) may lie, and the candidates that hold a whole box in their ball."""
     limit = radius * radius
     open_, inside = _at_root(candidates, "det_id", features), None
-    for level in tree.levels:
-        met = cut(_met(open_, level, "det_id", features).filter(F.col("_inner") <= limit), "met")
-        sure = met.filter(F.col("_outer") <= limit).select("det_id").distinct()
-        open_ = met.join(sure, "det_id", "left_anti")
-        inside = sure if inside is None else inside.unionByName(sure)
-    return open_, inside
+    for number, level in enumerate(tree.levels, 1):
+        open_ = _met(open_, level, "det_id", features, F.col("_outer") <= limit).filter(F.col("_inner") <= limit)
+        if number % STEPS == 0 or number == len(tree.levels):
+            met = cut(open_, "met")
+            sure = met.filter(F.col("_outer") <= limit).select("det_id").distinct()
+            open_ = met.join(sure, "det_id", "left_anti")
+            inside = sure if inside is None else inside.unionByName(sure)
+    # A tree without points has one level without boxes, and its root is no leaf.
+    return open_.filter("_leaf"), inside
 
 
 def radius_anti_join(candidates: DataFrame, points: DataFrame | BoxTree, features: list[str], radius: float) -> DataFrame:
@@ -181,10 +196,11 @@ def nearest_leaves(queries: DataFrame, tree: BoxTree, features: list[str], k: in
     sure = F.sum(F.least("_n", F.lit(k))).over(query.orderBy("_outer").rowsBetween(Window.unboundedPreceding, 0))
     reach = F.min(F.when(F.col("_sure") >= k, F.col("_outer"))).over(query)
     open_ = _at_root(queries, "_query", features)
-    for level in tree.levels:
-        met = _met(open_, level, "_query", features).withColumn("_sure", sure).withColumn("_limit", reach)
-        kept = met.filter(F.col("_limit").isNull() | (F.col("_inner") <= F.col("_limit")))
-        open_ = cut(kept.drop("_sure"), "met")
+    for number, level in enumerate(tree.levels, 1):
+        met = _met(open_, level, "_query", features, F.lit(False)).withColumn("_sure", sure).withColumn("_limit", reach)
+        open_ = met.filter(F.col("_limit").isNull() | (F.col("_inner") <= F.col("_limit"))).drop("_sure")
+        if number % STEPS == 0 or number == len(tree.levels):
+            open_ = cut(open_, "met")
     return open_
 
 
@@ -207,7 +223,7 @@ def nearest(
         .filter(F.col("_copy") <= k)
         .drop("_copy")
     )
-    tree = box_tree(cut(usable, "usable"), features, max(leaf, k))
+    tree = box_tree(usable, features, max(leaf, k))
     asked = cut(queries.select(*features).distinct().withColumn("_query", F.monotonically_increasing_id()), "queries")
     if not tree.levels[0][1]:
         kind = points.schema["id"].dataType.simpleString()
