@@ -228,13 +228,14 @@ def class_distribution_split(spark, sf_dir):
 
 # --- classifiers -------------------------------------------------------------
 
-# What SQL can say of a classifier's result: which rows were scored, that the metrics
-# are those of the confusion counts, and that the area shows the signal of the rows.
-SCORED_ROWS = "CAST((SELECT count(*) FROM test) AS BIGINT) AS test_rows, CAST((SELECT sum(y) FROM test) AS BIGINT) AS positives, 1 AS consistent, 1 AS signal"
+# What SQL can say of the result of a classifier it cannot fit: which rows were scored,
+# and that the metrics are those of the confusion counts. ``classifier_report`` has the
+# metrics themselves; that signal is found is tested on rows made with one.
+SCORED_ROWS = "CAST((SELECT count(*) FROM test) AS BIGINT) AS test_rows, CAST((SELECT sum(y) FROM test) AS BIGINT) AS positives, 1 AS consistent"
 
 
 def checked(by_model):
-    """(model, test_rows, positives, consistent, signal) of predictions by model."""
+    """(model, test_rows, positives, consistent) of predictions by model."""
     rows = [df.select(F.lit(name).alias("model"), "y", "pred") for name, df in by_model.items()]
     counts = ev.confusion_matrix(reduce(DataFrame.unionByName, rows), by=["model"]).groupBy("model").agg(
         *[F.max(F.when(F.col("label") == i, F.col(f"pred_{j}"))).alias(f"c{i}{j}") for i in (0, 1) for j in (0, 1)]
@@ -251,7 +252,7 @@ def checked(by_model):
     )
     return md.metrics_of(by_model).join(counts, "model").select(
         "model", n.alias("test_rows"), (fn + tp).alias("positives"),
-        agrees.cast("int").alias("consistent"), (F.col("auc") > 0.5).cast("int").alias("signal"),
+        agrees.cast("int").alias("consistent"),
     )
 
 
@@ -275,16 +276,51 @@ def logistic_regression(spark, sf_dir):
     return found.withColumn("converged", F.lit(int(md.largest_gradient(model, train, FEATURES) < 1e-4)))
 
 
-@query("gaussian_nb", with_stay(f"""{POINTS}, long AS ({sql.long_form('train', FEATURES, 'y')})
-SELECT CAST(y AS INTEGER) AS label, feature, {q6('avg(value)')} AS mean, round(var_pop(value), 5) AS variance, {SCORED_ROWS}
-FROM long GROUP BY y, feature"""))
+# Class means and variances, the log likelihoods and the probability they give, and the
+# metrics and area of it. The library adds a billionth of the largest variance.
+_GAUSS = " + ".join(f"ln(v_{f}) + (t.{f} - m_{f}) * (t.{f} - m_{f}) / v_{f}" for f in FEATURES)
+GAUSSIAN_SQL = f"""long AS ({sql.long_form('train', FEATURES, 'y')}),
+widest AS (SELECT 1e-9 * max(v) AS e FROM (SELECT var_pop(value) AS v FROM long GROUP BY feature)),
+classes AS (SELECT y AS label, ln(count(*) / (SELECT count(*) FROM train)) AS prior,
+  {", ".join(f"avg({f}) AS m_{f}, var_pop({f}) + max(e) AS v_{f}" for f in FEATURES)} FROM train, widest GROUP BY y),
+like_ AS (SELECT t.id, t.y, c.label, c.prior - 0.5 * ({_GAUSS}) AS l FROM test t, classes c),
+scored AS (SELECT id, y, round(1 / (1 + exp(max(l) FILTER (label = 0) - max(l) FILTER (label = 1))), 9) AS score FROM like_ GROUP BY id, y),
+c AS (SELECT count(*) FILTER (y = 1 AND score > 0.5) AS tp, count(*) FILTER (y = 0 AND score > 0.5) AS fp,
+             count(*) FILTER (y = 1 AND score <= 0.5) AS fn, count(*) FILTER (y = 0 AND score <= 0.5) AS tn FROM scored),
+ranks AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS r FROM scored),
+area AS (SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * sum(1 - y), 0) AS auc FROM ranks)
+SELECT CAST(y AS INTEGER) AS label, feature, {q6('avg(value)')} AS mean, round(var_pop(value), 5) AS variance, tn, fp, fn, tp,
+  {q6('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy, {q6('coalesce(tp / nullif(tp + fp, 0), 0.0)')} AS precision,
+  {q6('coalesce(tp / nullif(tp + fn, 0), 0.0)')} AS recall, {q6('coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0.0)')} AS f1,
+  round(coalesce(auc, 0.0), 5) AS auc
+FROM long, c, area GROUP BY ALL"""
+
+
+@query("gaussian_nb", with_stay(f"{POINTS}, {GAUSSIAN_SQL}"))
 def gaussian_nb(spark, sf_dir):
-    """Class means and variances as learned, with the checks of its predictions."""
+    """Class means and variances as learned, with confusion counts, metrics and
+    area of the predictions."""
     train, test = inputs.train_test(spark, sf_dir)
     model = md.fit("gaussian_nb", train, FEATURES)
-    found = checked({"gaussian_nb": md.predictions(model, test, FEATURES)}).drop("model")
-    classes = md.gaussian_classes(model, FEATURES, spark).withColumn("_c", tb.one_row(found))
-    return classes.select("label", "feature", r6("mean"), F.round("variance", 5).alias("variance"), "_c.*")
+    scored = md.predictions(model, test, FEATURES).withColumn("model", F.lit("gaussian_nb"))
+    counts = ev.confusion_matrix(scored).agg(*[
+        F.max(F.when(F.col("label") == i, F.col(f"pred_{j}"))).alias(name)
+        for name, i, j in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))
+    ])
+    metrics = md.metrics_of({"gaussian_nb": scored}).select(
+        *[r6(m) for m in ("accuracy", "precision", "recall", "f1")], F.round("auc", 5).alias("auc")
+    )
+    classes = md.gaussian_classes(model, FEATURES, spark)
+    classes = classes.withColumn("_c", tb.one_row(counts)).withColumn("_m", tb.one_row(metrics))
+    return classes.select("label", "feature", r6("mean"), F.round("variance", 5).alias("variance"), "_c.*", "_m.*")
+
+
+@query("classifier_report")
+def classifier_report(spark, sf_dir):
+    """Metrics of every classifier on the same rows; a row with its message for each
+    that failed."""
+    train, test = inputs.train_test(spark, sf_dir)
+    return md.compare_classifiers(train, test, FEATURES)
 
 
 @query("boosting_with_missing", with_stay(f"{POINTS} SELECT 'boosting_with_missing' AS model, {SCORED_ROWS}"))
@@ -300,7 +336,7 @@ def boosting_with_missing(spark, sf_dir):
 size AS (SELECT greatest(count(*) FILTER (y = 0), count(*) FILTER (y = 1) + (SELECT count(*) FROM dets)) AS n FROM train)
 SELECT unnest([{", ".join(f"'{m}'" for m in [*md.CLASSIFIERS, "knn"])}]) AS model,
        CAST((SELECT count(*) FROM test) AS BIGINT) AS test_rows, CAST((SELECT sum(y) FROM test) AS BIGINT) AS positives,
-       1 AS consistent, CAST(n AS BIGINT) AS train_negatives, CAST(n AS BIGINT) AS train_positives FROM size"""))
+       1 AS consistent, CAST(n AS BIGINT) AS train_negatives, CAST(n AS BIGINT) AS train_positives, CAST(NULL AS VARCHAR) AS error FROM size"""))
 def tabular_classification(spark, sf_dir):
     """Detectors join the training rows, SMOTE balances them, then all classifiers
     are compared on the untouched test rows."""
@@ -308,13 +344,19 @@ def tabular_classification(spark, sf_dir):
     augmented = cut(rb.augment_union(train, detectors_of(spark, sf_dir), FEATURES), "augmented")
     final = cut(rb.balanced(augmented, FEATURES), "final")
     sizes = tb.one_row(final.agg(F.sum(1 - F.col("y")).alias("zeros"), F.sum("y").alias("ones")))
-    done, _ = md.all_predictions(final, test, FEATURES)
-    return checked(done).drop("signal").withColumn("_n", sizes).select(
+    done, failed = md.all_predictions(final, test, FEATURES)
+    return with_errors(checked(done), failed).withColumn("_n", sizes).select(
         "model", "test_rows", "positives", "consistent",
-        F.col("_n.zeros").alias("train_negatives"), F.col("_n.ones").alias("train_positives"),
+        F.col("_n.zeros").alias("train_negatives"), F.col("_n.ones").alias("train_positives"), "error",
     )
 
 
+def with_errors(found: DataFrame, failed: dict[str, str]) -> DataFrame:
+    """A row with ``error`` for each classifier that failed."""
+    broken = found.sparkSession.createDataFrame(list(failed.items()), "model string, error string")
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(broken, allowMissingColumns=True)
+
+
 @query("projection_2d", with_stay(f"""{POINTS}
 SELECT CAST(count(*) AS BIGINT) AS rows, round({" + ".join(f"var_samp({f})" for f in FEATURES)}, 5) AS total_variance,
        1 AS ordered, 1 AS uncorrelated, 1 AS same_plane FROM points"""))
