@@ -176,10 +176,10 @@ def _turn_moves(batches):
             way = best_path([MOVE_COST[kind] for _, kind in turns], entry, leave)
             for (place, kind), before, role in zip(turns, [entry, *way], way):
                 name, path = MOVE_ACT[kind, before, role]
-                yield conv, place, name, ROLES[role], [ROLES[r] for r in path], int(MOVE_COST[kind, before, role])
+                yield conv, place, name, ROLES[role], [ROLES[r] for r in path], int(MOVE_COST[kind, before, role]), before == START
 
-    names = ["conv", "place", "action", "role_out", "inserted", "cost"]
-    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64()]
+    names = ["conv", "place", "action", "role_out", "inserted", "cost", "opens"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.bool_()]
     return _batched(rows(), names, types)
 
 
@@ -188,9 +188,10 @@ def _sorted_by(df: DataFrame, dealt: list[str], order: list[str]) -> DataFrame:
 
 
 def solve(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(conv, place, action, role_out, inserted, cost) of turns (conv, place, kind).
+    """(conv, place, action, role_out, inserted, cost, opens) of turns (conv, place, kind).
 
-    ``place`` numbers all turns of the table, conversations one after the other.
+    ``place`` numbers all turns of the table, conversations one after the other;
+    ``opens`` marks the first turn of a conversation.
     Costs are combined per ``block`` turns of a conversation, then per ``block``
     blocks, until one matrix per conversation is left; the choice of the roles
     goes back down the same way.
@@ -217,7 +218,7 @@ def solve(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         ends = cut(ends, "ends")
     rows = at.join(ends, ["conv", "block"]).select("conv", "block", "entry", "leave", "place", "kind")
     return _sorted_by(rows, ["conv", "block"], ["conv", "block", "place"]).mapInArrow(
-        _turn_moves, "conv string, place long, action string, role_out string, inserted array<string>, cost long"
+        _turn_moves, "conv string, place long, action string, role_out string, inserted array<string>, cost long, opens boolean"
     )
 
 
@@ -259,22 +260,23 @@ def repair_and_render(
     blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
     kinds = rows.select("conv", "place", (known * 2 + blank.cast("long")).cast("int").alias("kind"))
     moves = cut(solve(kinds, block), "moves")
-    bounds = moves.groupBy("conv").agg(F.min("place").alias("first"), F.max(F.struct("place", "role_out")).alias("last"))
-    bounds = bounds.select("conv", "first", F.col("last.place").alias("last"), F.col("last.role_out").alias("last_role"))
-    done = rows.join(moves, ["conv", "place"]).join(bounds, "conv")
+    # The last turn of a conversation is met by its place, so turns of one are never gathered.
+    lasts = moves.groupBy("conv").agg(F.max("place").alias("place")).select("place", F.lit(True).alias("closes"))
+    moves = moves.join(cut(lasts, "lasts"), "place", "left").withColumn("closes", F.coalesce("closes", F.lit(False)))
+    done = rows.join(moves, ["conv", "place"])
     shown = F.regexp_replace("text", r"<\|im_", r"<\\|im_")
     closing = F.lit(None).cast("array<string>")
     for r in range(1, 4):
         path = [F.lit(ROLES[x]) for x in INSERT_PATH[r, FINAL]]
-        closing = F.when(F.col("last_role") == ROLES[r], F.array(*path).cast("array<string>")).otherwise(closing)
-    closing = F.when(F.col("place") == F.col("last"), closing).otherwise(F.array().cast("array<string>"))
+        closing = F.when(F.col("role_out") == ROLES[r], F.array(*path).cast("array<string>")).otherwise(closing)
+    closing = F.when(F.col("closes"), closing).otherwise(F.array().cast("array<string>"))
     empties = lambda c: F.concat_ws("", F.transform(c, lambda r: F.concat(_turn(r, F.lit("")), F.lit(CLOSE))))
     merged = F.col("action").isin("merge", "merge_relabel")
     joined = F.when(blank, F.lit("")).otherwise(F.concat(F.lit("\n"), shown))
     opened = F.concat(
-        F.when(F.col("place") > F.col("first"), F.lit(CLOSE)).otherwise(""), empties(F.col("inserted")), _turn(F.col("role_out"), shown)
+        F.when(F.col("opens"), "").otherwise(CLOSE), empties(F.col("inserted")), _turn(F.col("role_out"), shown)
     )
-    end = F.when(F.col("place") == F.col("last"), F.concat(F.lit(CLOSE), empties(F.col("closing")))).otherwise("")
+    end = F.when(F.col("closes"), F.concat(F.lit(CLOSE), empties(F.col("closing")))).otherwise("")
     return done.withColumn("closing", closing).select(
         "conv_id", "turn", "place", "action", "role_out", "inserted", "closing",
         (F.col("cost") + F.size("closing") * INSERT).alias("cost"),

@@ -24,6 +24,8 @@ from bedside.session import cut
 ORDER = 4
 BLANK = 32
 KEEP = 3 << 18  # words a worker keeps the costs of
+COSTS = 1 << 26  # bytes of costs a worker keeps, whatever the number of languages
+SENT, PARTS = 4096, 64  # languages whose counts are sent to each task; parts of one beyond
 SLICE = 1 << 20  # characters split into words at once
 LETTER = regex.compile(r"\p{L}")
 #: ASCII that is neither letter nor other text becomes a blank.
@@ -146,10 +148,16 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_l
     usable = docs.select(docs[id_col].alias("i"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     usable = usable.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("i"))
     # By hash, first by a border that lets about twice as many pass, so that no task
-    # sorts more than those of a language.
+    # sorts more than those of a language. The border is found before any shuffle, or
+    # by parts of a language where there are too many languages to send to each task.
     ids = usable.select("i", "lang", F.pmod(F.xxhash64("i"), F.lit(1 << 30)).alias("h"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    passed = ids.join(sizes, "lang").filter(F.col("h") < F.lit(float(2 * docs_per_lang << 30)) / F.col("n"))
+    sizes = cut(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    if sizes.count() <= SENT:
+        sized = ids.join(F.broadcast(sizes), "lang")
+    else:
+        parts = sizes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+        sized = ids.withColumn("part", (F.col("h") % PARTS).cast("int")).join(parts, ["lang", "part"])
+    passed = sized.filter(F.col("h") < F.lit(float(2 * docs_per_lang << 30)) / F.col("n")).select("i", "lang", "h")
     order = Window.partitionBy("lang").orderBy("h", "i")
     chosen = passed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_lang)
     chosen = cut(chosen.select("i").distinct(), "sample")
@@ -171,7 +179,8 @@ class Scorer:
         self.trees = trees
         if name not in _KEPT:
             _KEPT.clear()
-            _KEPT[name] = ({}, np.zeros((KEEP, len(trees.langs)), np.float32))
+            rows = min(KEEP, COSTS // (4 * max(len(trees.langs), 1)))
+            _KEPT[name] = ({}, np.zeros((rows, len(trees.langs)), np.float32))
         self.place, self.costs = _KEPT[name]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -189,17 +198,17 @@ class Scorer:
         return out
 
     def _add(self, held: list[tuple[int, list[bytes]]], out: np.ndarray) -> None:
-        """Add the costs of the words; words beyond ``KEEP`` are coded each time."""
+        """Add the costs of the words; words beyond those kept are coded each time."""
         fresh = sorted(set().union(*[words for _, words in held]) - self.place.keys())
         place, costs = self.place, self.costs
         if fresh:
             found = self.trees.code_lengths(fresh)
-            at, room = len(place), KEEP - len(place)
+            at, room = len(place), len(costs) - len(place)
             costs[at : at + len(fresh[:room])] = found[:room]
             place.update(zip(fresh[:room], range(at, at + room)))
             if fresh[room:]:
                 costs = np.vstack([costs, found[room:]])
-                extra = dict(zip(fresh[room:], range(KEEP, len(costs))))
+                extra = dict(zip(fresh[room:], range(len(self.costs), len(costs))))
                 place = ChainMap(extra, place)
         for i, words in held:
             if words:

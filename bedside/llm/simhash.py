@@ -248,7 +248,9 @@ def _classes(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str)
     distinct = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     labels = components(near_links(distinct.select("fp"), bits)).withColumnRenamed("node", "fp")
     named = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    names = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    # Written first: then a component that holds most fingerprints is the side of the
+    # join that Spark can split.
+    names = cut(named.groupBy("label").agg(F.min("first").alias("component_id")), "names")
     return found, cut(named.select("fp", "label").join(names, "label").select("fp", "label", "component_id"), "named")
 
 
