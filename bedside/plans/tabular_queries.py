@@ -7,6 +7,7 @@ from operator import add, and_
 
 from pyspark.sql import DataFrame, functions as F
 
+from bedside.operators import boosting as bo
 from bedside.operators import evaluation as ev
 from bedside.operators import frequency as fq
 from bedside.operators import models as md
@@ -325,11 +326,52 @@ def classifier_report(spark, sf_dir):
 
 @query("boosting_with_missing", with_stay(f"{POINTS} SELECT 'boosting_with_missing' AS model, {SCORED_ROWS}"))
 def boosting_with_missing(spark, sf_dir):
+    train, test = missing_train_test(spark, sf_dir)
+    return checked({"boosting_with_missing": bo.predictions(bo.fit(train, inputs.STAY_FEATURES), test)})
+
+
+def missing_train_test(spark, sf_dir):
+    """Rows of the chart with their missing cells, split by class."""
     chart = inputs.stay(spark, sf_dir)
-    rows = tb.stratified_split(chart, "y", [F.col("pid"), F.col("t")]).withColumn("id", inputs.row_key())
-    rows = cut(rows, "split")
-    train, test = rows.filter("NOT is_test"), rows.filter("is_test")
-    return checked({"boosting_with_missing": md.boosting_with_missing(train, test, inputs.STAY_FEATURES)})
+    rows = cut(tb.stratified_split(chart, "y", [F.col("pid"), F.col("t")]).withColumn("id", inputs.row_key()), "split")
+    return rows.filter("NOT is_test"), rows.filter("is_test")
+
+
+_LONG_ORDER = " UNION ALL ".join(
+    f"SELECT y, {i} AS i, '{f}' AS feature, {f} AS value FROM tr" for i, f in enumerate(inputs.STAY_FEATURES)
+)
+FIRST_SPLIT_SQL = f"""tr AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(pid || '|' || t || '|42')) <= ceil(0.25 * count(*) OVER (PARTITION BY y)) AS is_test
+  FROM stay) WHERE NOT is_test),
+ratio AS (SELECT coalesce(sum(1 - y) / nullif(sum(y), 0), 1.0) AS w FROM tr),
+long AS ({_LONG_ORDER}),
+borders AS (SELECT feature, list_distinct(list_transform(quantile_cont(value, [{", ".join(str(i / 16) for i in range(1, 16))}]), lambda q: round(q, 6))) AS cuts
+  FROM long WHERE value IS NOT NULL GROUP BY feature),
+cells AS (SELECT feature, CASE WHEN value IS NULL THEN -1 ELSE len(list_filter(coalesce(cuts, []), lambda c: value > c)) END AS bin,
+  CASE WHEN y = 1 THEN w ELSE 1.0 END AS w, y FROM long LEFT JOIN borders USING (feature), ratio),
+sums AS (SELECT feature, bin, sum(w * (0.5 - y)) AS g, sum(w * 0.25) AS h FROM cells GROUP BY ALL),
+run AS (SELECT feature, bin,
+  sum(CASE WHEN bin >= 0 THEN g END) OVER up AS gu, sum(CASE WHEN bin >= 0 THEN h END) OVER up AS hu,
+  coalesce(sum(CASE WHEN bin < 0 THEN g END) OVER own, 0) AS g0, coalesce(sum(CASE WHEN bin < 0 THEN h END) OVER own, 0) AS h0,
+  sum(g) OVER own AS ga, sum(h) OVER own AS ha
+  FROM sums WINDOW own AS (PARTITION BY feature), up AS (PARTITION BY feature ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+sides AS (SELECT feature, bin, m AS missing_left, gu + m * g0 AS gl, hu + m * h0 AS hl, ga, ha FROM run, (VALUES (0), (1)) AS s(m) WHERE bin >= 0)
+SELECT feature, CAST(bin AS INTEGER) AS bin, CAST(missing_left AS INTEGER) AS missing_left,
+  {q6('gl * gl / (hl + 1) + (ga - gl) * (ga - gl) / (ha - hl + 1) - ga * ga / (ha + 1)')} AS gain
+FROM sides WHERE hl >= 1 AND ha - hl >= 1"""
+
+
+@query("missing_split_gains", with_stay(FIRST_SPLIT_SQL))
+def missing_split_gains(spark, sf_dir):
+    """Gain of every first split of the boosted trees, missing cells on either side."""
+    features = inputs.STAY_FEATURES
+    train, _ = missing_train_test(spark, sf_dir)
+    rows = bo.training_rows(train, features, bo.bin_borders(train, features, 16))
+    first = bo.with_gradients(rows, F.lit(0.0)).withColumn("node", F.lit(1))
+    names = F.array(*[F.lit(f) for f in features])
+    return bo.split_gains(bo.histograms(first, len(features))).select(
+        F.get(names, F.col("feature")).alias("feature"), "bin", F.col("missing_left").cast("int").alias("missing_left"), r6("gain")
+    )
 
 
 @query("tabular_classification", with_stay(f"""{POINTS}, {DETECTOR_SQL},
