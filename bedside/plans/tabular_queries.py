@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from bedside.operators import boosting as bo
 from bedside.operators import evaluation as ev
 from bedside.operators import frequency as fq
+from bedside.operators import lsh
 from bedside.operators import models as md
 from bedside.operators import neighbours as nb
 from bedside.operators import rebalance as rb
@@ -161,6 +162,16 @@ def knn_classify(spark, sf_dir):
     return nb.knn_classify(test, train, FEATURES).select("id", r6("score"), "pred")
 
 
+@query("neighbour_recall")
+def neighbour_recall(spark, sf_dir):
+    """Recall of the approximate search at 5 neighbours: the test rows of patients whose
+    number is divisible by 50 against all training rows."""
+    train, test = inputs.train_test(spark, sf_dir)
+    asked = cut(test.filter(F.substring_index("id", ":", 1).cast("long") % 50 == 0), "asked")
+    found = lsh.approximate_nearest(asked, train, FEATURES, 5)
+    return lsh.recall(found, nb.nearest(asked, train, FEATURES, 5), FEATURES)
+
+
 SMOTE_SQL = f"""small AS (SELECT CASE WHEN sum(y) <= sum(1 - y) THEN 1 ELSE 0 END AS label FROM train),
 mi AS MATERIALIZED (SELECT train.* FROM train, small WHERE y = label),
 need AS (SELECT abs(sum(1 - y) - sum(y)) AS need, least(sum(y), sum(1 - y)) AS few FROM train),
