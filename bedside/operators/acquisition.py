@@ -12,12 +12,15 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.functions.hashing import hash_text, hash_uniform
 from bedside.functions.mixture import logit_variance, predictive_entropy
 from bedside.operators.models import assemble
+from bedside.operators.neighbours import hand_back, nearest
 from bedside.operators.ranking import exact_quantiles
+from bedside.session import cut
 
 # What-if values: the mean and one deviation to either side, in normalised units.
 SAMPLES = (0.0, 1.0, -1.0)
@@ -143,12 +146,16 @@ def information_gain_from_donors(
 
     ``donors`` has (feature_name, tertile, values): features x 3 rows.
     """
-    joined = cells.join(F.broadcast(donors), ["feature_name", "tertile"])
+    return information_gain_from_values(cells.join(F.broadcast(donors), ["feature_name", "tertile"]), features, scorer)
+
+
+def information_gain_from_values(cells: DataFrame, features: list[str], scorer: Scorer) -> DataFrame:
+    """The same with what-if ``values`` of each cell's own."""
     after = F.transform(
         "values", lambda v: predictive_entropy(*scorer(what_if(features, v)))
     )
     mean = F.aggregate(after, F.lit(0.0), lambda a, e: a + e) / F.size("values")
-    return joined.withColumn("_after", mean).select(
+    return cells.withColumn("_after", mean).select(
         F.col("pid").alias("patient_id"), F.col("t").alias("timestep_idx_analyzed"),
         "feature_name", (F.col("baseline") - F.col("_after")).alias("information_gain"),
     )
@@ -209,3 +216,69 @@ def donor_samples(
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "value"))), lambda s: s["value"])
              .alias("values"))
     )
+
+
+# --- conditional donors ------------------------------------------------------
+
+Predictors = dict[str, dict[str, float]]
+
+
+def fit_predictors(sequences: DataFrame, features: list[str]) -> Predictors:
+    """Per feature, a linear model of its observed values on value, mask and time
+    since observed of the other features. Only coefficients reach the driver."""
+    found = {}
+    for f in features:
+        names = [n for g in features if g != f for n in row_columns([g])]
+        rows = sequences.filter(F.col(f"m_{f}") == 1).select(
+            *[F.col(n).cast("double").alias(n) for n in names], F.col(f"x_{f}").cast("double").alias("_value")
+        )
+        if rows.isEmpty():
+            found[f] = {"intercept": 0.0}
+            continue
+        model = LinearRegression(labelCol="_value", regParam=1e-6).fit(assemble(rows, names))
+        found[f] = dict(zip(names, map(float, model.coefficients))) | {"intercept": float(model.intercept)}
+    return found
+
+
+def predicted(model: dict[str, float]) -> Column:
+    """Predicted value from the columns of a row, to six digits."""
+    terms = [F.col(n) * F.lit(float(w)) for n, w in model.items() if n != "intercept"]
+    return F.round(reduce(lambda a, b: a + b, terms, F.lit(float(model["intercept"]))), 6)
+
+
+def conditional_donors(
+    cells: DataFrame, sequences: DataFrame, features: list[str], predictors: Predictors, k: int = 5,
+) -> DataFrame:
+    """Cells (from :func:`missing_cells`) with ``donors``: the ``k`` observed values of
+    the feature whose rows predict it most like the cell's row does, as structs
+    (d2, id, value), ties by row.
+
+    All features are matched in one neighbour search: a feature has a coordinate of
+    its own, so far apart that no other feature's rows come near. Cells of equal
+    prediction share a search. A feature with fewer than ``k`` observed values gives
+    what it has; one that was never observed gives no donors.
+    """
+    each = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.col(f"m_{f}").alias("m"), F.col(f"x_{f}").cast("double").alias("value"),
+                 predicted(predictors[f]).alias("p"))
+        for i, f in enumerate(features)
+    ])
+    seen = F.filter(each, lambda c: c["m"] == 1)
+    pool = cut(
+        sequences.select(F.concat_ws(":", F.col("pid").cast("string"), F.col("t").cast("string")).alias("id"), F.explode(seen).alias("c"))
+        .select("id", "c.i", "c.value", F.col("c.p").alias("_p")), "pool",
+    )
+    place = {f: F.lit(i) for i, f in enumerate(features)}
+    asked = cells.withColumns({
+        "_i": reduce(lambda a, f: F.when(F.col("feature_name") == f, place[f]).otherwise(a), features, F.lit(None)),
+        "_p": reduce(lambda a, f: F.when(F.col("feature_name") == f, predicted(predictors[f])).otherwise(a), features, F.lit(None)),
+    })
+    asked = cut(asked, "asked")
+    reach = [rows.agg(F.max(F.abs("_p"))).first()[0] or 0.0 for rows in (pool, asked)]
+    apart = 4.0 * (max(reach) + 1.0)
+    near = nearest(
+        asked.select((F.col("_i") * apart).alias("_g"), "_p"), pool.withColumn("_g", F.col("i") * apart), ["_g", "_p"], k, "value"
+    )
+    own = F.filter(F.coalesce("neighbours", F.array()), lambda n: n["v"][0] == F.col("_g"))
+    donors = near.select("_g", "_p", F.transform(own, lambda n: F.struct(n["d2"], n["id"], n["value"])).alias("donors"))
+    return hand_back(asked.withColumn("_g", F.col("_i") * apart), donors, ["_g", "_p"]).drop("_g", "_p", "_i")

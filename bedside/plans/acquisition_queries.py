@@ -191,3 +191,58 @@ def donor_gain(spark, sf_dir):
         aq.with_tertile(cells, edges), FEATURES, aq.linear_scorer(MODELS), donors
     )
     return gains.select("patient_id", "timestep_idx_analyzed", "feature_name", r6("information_gain"))
+
+
+# Fixed predictors of each feature from the others, so that both engines match alike.
+PREDICTORS = {
+    "click": {"intercept": 0.1, "x_anyv": 0.6, "m_engage": -0.2, "d_engage": 0.01},
+    "engage": {"intercept": -0.05, "x_anyv": 0.8, "x_click": -0.1, "m_signup": 0.15},
+    "signup": {"intercept": 0.0, "x_anyv": 0.4, "d_refund": -0.005, "m_click": 0.1},
+    "anyv": {"intercept": 0.02, "x_click": 0.3, "x_engage": 0.5},
+    "refund": {"intercept": -0.1, "x_anyv": 0.7, "m_signup": -0.3, "d_click": 0.002},
+}
+
+
+def predicted_sql(f: str) -> str:
+    model = PREDICTORS[f]
+    terms = "".join(f" + {n} * ({w})" for n, w in model.items() if n != "intercept")
+    return f"(round({model['intercept']}{terms}, 6) + 0)"
+
+
+POOL = " UNION ALL ".join(
+    f"SELECT pid || ':' || t AS id, '{f}' AS feature, CAST(x_{f} AS DOUBLE) AS value, {predicted_sql(f)} AS p FROM seq WHERE m_{f} = 1"
+    for f in FEATURES
+)
+MATCHED = f"""{CHOSEN}, pool AS MATERIALIZED ({POOL}),
+asked AS (SELECT *, CASE feature_name {" ".join(f"WHEN '{f}' THEN {predicted_sql(f)}" for f in FEATURES)} END AS p FROM cells),
+near AS (SELECT c.pid, c.t, c.feature_name, min({{'d': (c.p - d.p) * (c.p - d.p), 'id': d.id, 'value': d.value}}, 5) AS donors
+  FROM asked c JOIN pool d ON d.feature = c.feature_name GROUP BY ALL)"""
+
+
+def matched(spark, sf_dir):
+    table = stored(spark, f"sequence:{sf_dir}", lambda: sequences(spark, sf_dir, 1))
+    cells = aq.missing_cells(aq.choose_steps(scored(spark, sf_dir), top_k=TOP_K), FEATURES)
+    return aq.conditional_donors(cells, table, FEATURES, PREDICTORS, 5)
+
+
+@query("conditional_donors", with_stay(f"""{MATCHED}
+SELECT pid, t, feature_name, i - 1 AS donor, donors[i].id AS donor_id, {q6('donors[i].value')} AS value
+FROM (SELECT *, unnest(range(1, len(donors) + 1)) AS i FROM near)"""))
+def conditional_donors(spark, sf_dir):
+    """Observed values of the rows that predict a missing cell's feature most alike."""
+    found = matched(spark, sf_dir).select("pid", "t", "feature_name", F.posexplode("donors").alias("donor", "_d"))
+    return found.select(
+        "pid", "t", "feature_name", F.col("donor").cast("long").alias("donor"), F.col("_d.id").alias("donor_id"), r6("_d.value", "value")
+    )
+
+
+@query("conditional_gain", with_stay(f"""{MATCHED}, fan AS (
+  SELECT a.*, v.value AS given FROM asked a JOIN (SELECT pid, t, feature_name, unnest(donors) AS v FROM near) USING (pid, t, feature_name))
+SELECT pid AS patient_id, t AS timestep_idx_analyzed, feature_name,
+  {q6(f"max(baseline) - avg({entropy_sql(logits_sql('feature_name', 'given'))})")} AS information_gain
+FROM fan GROUP BY pid, t, feature_name"""))
+def conditional_gain(spark, sf_dir):
+    """Gains with each cell's own donors in place of the fixed what-if values."""
+    cells = matched(spark, sf_dir).withColumn("values", F.transform("donors", lambda d: d["value"])).filter(F.size("values") > 0)
+    gains = aq.information_gain_from_values(cells, FEATURES, aq.linear_scorer(MODELS))
+    return gains.select("patient_id", "timestep_idx_analyzed", "feature_name", r6("information_gain"))
