@@ -18,9 +18,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from bedside.llm.common import prefix_sums
 from bedside.session import cut
 
-BLOCK = 1 << 22  # bytes of text worked on at once
+BLOCK = 1 << 21  # bytes of text worked on at once
+ROWS = 1 << 16  # counts handed on at once
 STRIP = 1 << 20  # bytes hashed at once
-HELD = 1 << 21  # extensions a task gathers before it counts them
+HELD = 1 << 20  # extensions a task gathers before it counts them
 TRIE = 1 << 19  # phrases a broadcast trie holds, about
 SMALL = 16  # children up to which trie nodes are placed together
 #: Odd multipliers of the word hash; the next one is taken if two words meet.
@@ -244,12 +245,15 @@ def _scan(trie, base: int, k: int, whole: bool, extend: bool):
         tree: DoubleArray = trie.value
         root = {name: i for i, name in enumerate(tree.langs.tolist())}
 
-        def handed(ids, hashes, n):
-            return pa.RecordBatch.from_arrays([pa.array(ids), hashes, pa.array(n)], names=["id", "h", "n"])
+        def handed(ids: np.ndarray, hashes: np.ndarray | None, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(n), ROWS):
+                part = slice(at, at + ROWS)
+                h = pa.nulls(len(n[part]), pa.int64()) if hashes is None else pa.array(hashes[part])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), h, pa.array(n[part])], names=["id", "h", "n"])
 
-        def extensions(keys: np.ndarray, following: np.ndarray):
+        def extensions(keys: np.ndarray, following: np.ndarray) -> Iterator[pa.RecordBatch]:
             key, n = np.unique(keys, return_counts=True)
-            return handed(key // len(following), pa.array(following[key % len(following)]), n)
+            return handed(key // len(following), following[key % len(following)], n)
 
         total = np.zeros(tree.size, np.int64)
         held, waiting = [], 0
@@ -274,16 +278,16 @@ def _scan(trie, base: int, k: int, whole: bool, extend: bool):
                 held.append(accepted[further] * len(tree.vocabulary) + words[further + k])
                 waiting += len(further)
                 if waiting >= HELD:
-                    yield extensions(np.concatenate(held), tree.vocabulary)
+                    yield from extensions(np.concatenate(held), tree.vocabulary)
                     held, waiting = [], 0
             elif len(further):
                 following, place = np.unique(found.hash[further + k], return_inverse=True)
-                yield extensions(accepted[further] * len(following) + place, following)
+                yield from extensions(accepted[further] * len(following) + place, following)
         if waiting:
-            yield extensions(np.concatenate(held), tree.vocabulary)
+            yield from extensions(np.concatenate(held), tree.vocabulary)
         if k > 1:  # words are counted before
             hit = np.flatnonzero(total)
-            yield handed(hit, pa.nulls(len(hit), pa.int64()), total[hit])
+            yield from handed(hit, None, total[hit])
 
     return run
 
