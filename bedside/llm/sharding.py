@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from bedside.llm.common import one_row, prefix_sums
 from bedside.session import cut
@@ -112,3 +112,51 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         "lang",
     )
     return hilbert_shards(rows, "doc_id", "size", ["source", "lang"], shards)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, file_rows: int = 1 << 20) -> None:
+    """Write all documents with their columns under ``path/_shard=<n>`` in curve
+    order, and under ``path.bounds`` the least and greatest size, source and language
+    of each shard, so that :func:`read_shards` opens only shards a filter can meet.
+
+    A shard is written in runs of about ``file_rows`` rows, so no task holds a whole
+    shard. Bounds are taken from the files and written last. Columns of ``docs`` keep
+    their names; an empty table writes no shard.
+    """
+    rows = docs.select(
+        F.col("doc_id").alias("_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), "source", "lang",
+    )
+    placed = hilbert_shards(rows, "_id", "size", ["source", "lang"], shards)
+    run = F.floor(F.col("slot") / file_rows)
+    dealt = placed.select("_row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"), run.alias("_run"))
+    dealt = dealt.repartition("_shard", "_run").sortWithinPartitions("_shard", "_slot").drop("_slot", "_run")
+    dealt.write.partitionBy("_shard").parquet(path)
+    if placed.isEmpty():
+        return
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
+    bounds = docs.sparkSession.read.parquet(path).groupBy("_shard").agg(
+        F.count(F.lit(1)).alias("rows"), F.min(size).alias("lo_size"), F.max(size).alias("hi_size"),
+        *[f(c).alias(f"{side}_{c}") for c in ("source", "lang") for side, f in (("lo", F.min), ("hi", F.max))],
+    )
+    bounds.write.parquet(f"{path}.bounds")
+
+
+def read_shards(
+    spark: SparkSession, path: str, size: tuple[int, int] | None = None, source: str | None = None, lang: str | None = None
+) -> DataFrame:
+    """Documents of the given size (both ends included), source and language, read from
+    the shards whose bounds can hold such; the bounds have one row per shard."""
+    bounds = spark.read.parquet(f"{path}.bounds")
+    for column, low, high in (("size", *(size or (None, None))), ("source", source, source), ("lang", lang, lang)):
+        if low is not None:
+            bounds = bounds.filter((F.col(f"lo_{column}") <= F.lit(high)) & (F.col(f"hi_{column}") >= F.lit(low)))
+    chosen = sorted(r["_shard"] for r in bounds.select("_shard").collect())
+    paths = [f"{path}/_shard={n}" for n in chosen]
+    found = spark.read.option("basePath", path).parquet(*paths) if paths else spark.read.parquet(path).limit(0)
+    if size is not None:
+        found = found.filter((F.coalesce(F.octet_length("text"), F.lit(0)) + 16).between(*size))
+    for column, value in (("source", source), ("lang", lang)):
+        if value is not None:
+            found = found.filter(F.col(column) == value)
+    return found.drop("_shard")
