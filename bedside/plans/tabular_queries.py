@@ -8,6 +8,7 @@ from operator import add, and_
 from pyspark.sql import DataFrame, functions as F
 
 from bedside.operators import boosting as bo
+from bedside.operators import calibration as cb
 from bedside.operators import evaluation as ev
 from bedside.operators import frequency as fq
 from bedside.operators import lsh
@@ -327,6 +328,14 @@ def gaussian_nb(spark, sf_dir):
     return classes.select("label", "feature", r6("mean"), F.round("variance", 5).alias("variance"), "_c.*", "_m.*")
 
 
+@query("svm_probabilities")
+def svm_probabilities(spark, sf_dir):
+    """Predicted and found share of positives by bins of the probability that a linear
+    SVM gives after calibration."""
+    train, test = inputs.train_test(spark, sf_dir)
+    return cb.calibration_bins(cb.calibrated_predictions("linear_svm", train, test, FEATURES))
+
+
 @query("classifier_report")
 def classifier_report(spark, sf_dir):
     """Metrics of every classifier on the same rows; a row with its message for each
