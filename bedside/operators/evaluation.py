@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bedside.functions.mixture import logit_variance, mixture_nll
 from bedside.operators.ranking import ranked_counts
+from bedside.session import cut
 
 
 def _count(condition: Column) -> Column:
@@ -70,7 +71,9 @@ def leaderboard(preds: DataFrame, best_order: str = "model_ord") -> DataFrame:
     """Metrics per model and a flag on the best by area; the first model in list
     order keeps a tie. One row per model from the first aggregation on."""
     by = [best_order, "model"]
-    table = classification_metrics(preds, by).join(F.broadcast(roc_auc(preds, by)), by)
+    # Written, a row per model: the name of a single model as a constant is no key to join on.
+    counts, areas = cut(classification_metrics(preds, by), "metrics"), cut(roc_auc(preds, by), "areas")
+    table = counts.join(F.broadcast(areas), by)
     best = F.max_by(best_order, F.struct("auc", -F.col(best_order))).over(Window.partitionBy())
     return table.withColumn("is_best", F.col(best_order) == best)
 

@@ -129,8 +129,9 @@ def _met(open_: DataFrame, level: tuple[DataFrame, int], key: str, features: lis
 
 
 def _at_root(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
-    nothing = {"_box": F.lit(""), "_n": F.lit(0).cast("long"), "_leaf": F.lit(False), "_inner": F.lit(0.0), "_outer": F.lit(float("inf"))}
-    return rows.select(key, *features).withColumns(nothing)
+    """Rows above the root, written: as constants the box would be no key to join on."""
+    start = {"_box": F.lit(""), "_n": F.lit(0).cast("long"), "_leaf": F.lit(False), "_inner": F.lit(0.0), "_outer": F.lit(float("inf"))}
+    return cut(rows.select(key, *features).withColumns(start), "start")
 
 
 def radius_leaves(candidates: DataFrame, tree: BoxTree, features: list[str], radius: float) -> tuple[DataFrame, DataFrame]:

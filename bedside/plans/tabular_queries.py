@@ -263,7 +263,7 @@ def checked(by_model):
         same("accuracy", tp + tn, n) & same("precision", tp, tp + fp)
         & same("recall", tp, tp + fn) & same("f1", 2 * tp, 2 * tp + fp + fn)
     )
-    return md.metrics_of(by_model).join(counts, "model").select(
+    return md.metrics_of(by_model).join(cut(counts, "counts"), "model").select(
         "model", n.alias("test_rows"), (fn + tp).alias("positives"),
         agrees.cast("int").alias("consistent"),
     )
