@@ -227,7 +227,7 @@ def artificial_missingness(spark, sf_dir):
     return hidden.select("pid", "t", *[r6(f) for f in FEATURES], *[f"m_{f}" for f in FEATURES])
 
 
-PACKED = ["x_click", "x_engage", "x_anyv"]
+PACKED = [f"x_{f}" for f in FEATURES]
 
 
 @query("pack_sequences", with_stay(f"""{sequence_sql(1)}, p AS (
@@ -240,7 +240,7 @@ q AS (SELECT *, max(length) OVER (PARTITION BY batch_id) AS padded,
 SELECT CAST(batch_id AS INTEGER) AS batch_id, CAST(position AS INTEGER) AS position, pid, CAST(0 AS INTEGER) AS part,
        CAST(length AS BIGINT) AS length, CAST(padded AS BIGINT) AS padded,
        list_concat(rows, list_transform(range(padded - length),
-         lambda i: [CAST(0 AS FLOAT), CAST(0 AS FLOAT), CAST(0 AS FLOAT)])) AS x
+         lambda i: [{', '.join(['CAST(0 AS FLOAT)'] * len(PACKED))}])) AS x
 FROM q"""))
 def pack_sequences(spark, sf_dir):
     rounded = sequences(spark, sf_dir, 1).select("pid", "t", *[r6(c) for c in PACKED])
