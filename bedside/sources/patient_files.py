@@ -4,8 +4,8 @@ Files are read line by line and may be split, so one huge file is read by many
 tasks. The lines are ingested once to Parquet with their place (file, chunk,
 split, order in the split); numbering and header lookup then work per split.
 
-A patient is a file ``p1.psv``, or a folder ``file=p1.psv/chunk=N/`` as written
-by :func:`bedside.sources.sinks.write_patient_files`.
+A patient is a file ``p1.psv`` of the folder, or sections of the packed files that
+:func:`bedside.sources.sinks.write_packed` writes into the folder.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from bedside.session import cut
 PLACE = ["file", "chunk", "split"]
 
 
-#: A file of a folder, or a part of a patient as this package writes it.
-PLAIN, PARTS = r"^([^/=]+\.(?:psv|csv))$", r"^file=([^/]+)/chunk=(\d+)/[^/]+$"
+PLAIN = r"^([^/=]+\.(?:psv|csv))$"  # a file of the folder itself
+
+# Packed files: subfolder, index beside it, what ends a section, and its first line.
+PACKED, INDEX, SECTION_END = "packed", "packed-index", "\x1e"
+SECTION_HEAD = r"^file=([^\n]*)/chunk=(\d+)/split=(\d+)\n"
 
 
 def ingest_lines(spark: SparkSession, path: str | list[str], pattern: str = r"^p.*\.psv$") -> DataFrame:
@@ -33,9 +36,9 @@ def ingest_lines(spark: SparkSession, path: str | list[str], pattern: str = r"^p
 def placed_lines(spark: SparkSession, path: str | list[str], pattern: str = r"^p.*\.psv$") -> DataFrame:
     """(file, chunk, split, pos, value) of the files whose name matches.
 
-    Only files of the folder itself are read, besides the ``file=``/``chunk=``
-    folders of our own writer, so a name is met once and is the key ``file``. Of
-    several folders the key is ``<folder>/<name>``: equal names stay apart.
+    Only files of the folder itself are read, besides packed ones of our own writer,
+    so a name is met once and is the key ``file``. Of several folders the key is
+    ``<folder>/<name>``: equal names stay apart.
     Rows of one split come from one task in file order, so
     ``monotonically_increasing_id`` orders them there; it is compared within a
     split only.
@@ -55,16 +58,65 @@ def _folder_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     root = system.makeQualified(folder).toUri().getRawPath().rstrip("/") + "/"
     full = F.regexp_extract(F.col("_metadata.file_path"), r"^[^:/]+:(?://[^/]*)?(/.*)$", 1)
     inside = F.when(full.startswith(root), F.substring(full, len(root) + 1, 1 << 20)).otherwise("")
-    raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    plain, part = F.regexp_extract(inside, PLAIN, 1), F.regexp_extract(inside, PARTS, 1)
-    lines = raw.select(
-        F.when(plain != "", plain).otherwise(part).alias("file"),
-        F.coalesce(F.regexp_extract(inside, PARTS, 2).try_cast("long"), F.lit(0)).alias("chunk"),
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": "*.{psv,csv}"}
+    lines = spark.read.options(**options).text(path).select(
+        F.regexp_extract(inside, PLAIN, 1).alias("file"),
+        F.lit(0).cast("long").alias("chunk"),
         F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("pos"),
         "value",
     )
-    return lines.filter(F.col("file").rlike(pattern))
+    found = lines.filter(F.col("file").rlike(pattern))
+    packed = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{PACKED}")
+    if not system.exists(packed):
+        return found
+    return found.unionByName(_section_lines(_sections(spark, path).filter(F.col("file").rlike(pattern))))
+
+
+def _sections(spark: SparkSession, path: str, parts: list[str] | None = None) -> DataFrame:
+    """(file, chunk, split, part, block, value): the packed sections, each read whole by
+    one task; files may be split between sections."""
+    folder = f"{path.rstrip('/')}/{PACKED}"
+    raw = spark.read.option("lineSep", SECTION_END).text(
+        folder if parts is None else [f"{folder}/{part}" for part in parts]
+    )
+    number = [F.regexp_extract("value", SECTION_HEAD, i).try_cast("long") for i in (2, 3)]
+    return raw.select(
+        F.regexp_extract("value", SECTION_HEAD, 1).alias("file"), number[0].alias("chunk"), number[1].alias("split"),
+        F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("block"), "value",
+    )
+
+
+def _section_lines(sections: DataFrame) -> DataFrame:
+    texts = F.split("value", "\n", -1)
+    body = F.slice(texts, F.lit(2), F.size(texts) - 1)
+    return sections.select(*PLACE, F.posexplode(body).alias("pos", "value")).select(
+        *PLACE, F.col("pos").cast("long").alias("pos"), "value"
+    )
+
+
+def section_index(spark: SparkSession, path: str) -> DataFrame:
+    """(file, chunk, split, part, offset, length): where each section's bytes lie in
+    the packed file ``part``. Only sizes are sorted, those of one file together."""
+    rows = _sections(spark, path).select(
+        *PLACE, "part", "block", F.monotonically_increasing_id().alias("_i"),
+        F.octet_length("value").cast("long").alias("length"),
+    )
+    earlier = Window.partitionBy("part").orderBy("block", "_i").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.col("length") + 1).over(earlier), F.lit(0))
+    return rows.withColumn("offset", offset).select(*PLACE, "part", "offset", "length")
+
+
+def patient_lines(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
+    """The placed lines of the packed patients listed in ``names`` (``file``): the index
+    tells which packed files hold them, and no other is opened. The names of those
+    files, of which a folder holds one per some 100 MB, come to the driver."""
+    wanted = names.select("file").distinct()
+    index = spark.read.parquet(f"{path.rstrip('/')}/{INDEX}").join(wanted, "file", "left_semi")
+    parts = sorted(r["part"] for r in index.select("part").distinct().collect())
+    if not parts:
+        return _section_lines(_sections(spark, path).limit(0))
+    return _section_lines(_sections(spark, path, parts).join(wanted, "file", "left_semi"))
 
 
 def bare_name(file: str = "file") -> Column:
@@ -198,9 +250,3 @@ def read_union(lines: DataFrame) -> DataFrame:
 def positive_files(lines: DataFrame, label: str) -> DataFrame:
     """Files with any label text ``1``; files without the label column have none."""
     return data_lines(lines).filter(_named(label) == "1").select("file").distinct()
-
-
-def lines_of(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """All lines of the listed files, matched per split."""
-    wanted = _splits(lines).join(files, "file", "left_semi").select(*PLACE)
-    return lines.join(wanted, PLACE, "left_semi")
