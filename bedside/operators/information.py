@@ -55,6 +55,22 @@ def quantile_edges(counts: DataFrame, bins: int = 5) -> DataFrame:
     return found.select("feature", inner_edges(F.col("quantiles")).alias("edges"))
 
 
+def uniform_edges(counts: DataFrame, bins: int = 5) -> DataFrame:
+    """(feature, edges): inner borders of up to ``bins`` bins of equal width, fewer when
+    a feature has fewer distinct values and none when it has one."""
+    spans = counts.groupBy("feature", "value").agg(F.sum("n").alias("n")).groupBy("feature").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.count(F.lit(1)).alias("distinct")
+    )
+    used = F.greatest(F.lit(2), F.least(F.lit(bins), F.col("distinct"))).cast("int")
+    width = (F.col("high") - F.col("low")) / used
+    borders = F.transform(F.sequence(F.lit(1), used - 1), lambda i: F.col("low") + width * i)
+    none = F.array().cast("array<double>")
+    return spans.select("feature", F.when(F.col("distinct") > 1, borders).otherwise(none).alias("edges"))
+
+
+EDGES = {"quantile": quantile_edges, "uniform": uniform_edges}
+
+
 def with_bin(df: DataFrame, edges: DataFrame) -> DataFrame:
     """Number of inner edges not above the value. One edge row per feature."""
     joined = df.join(F.broadcast(edges), "feature")
@@ -62,19 +78,19 @@ def with_bin(df: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumn("bin", bin_).drop("edges")
 
 
-def quantile_bin(chart: DataFrame, features: list[str], bins: int = 5) -> DataFrame:
-    """(pid, t, feature, value, bin) over present cells."""
-    edges = quantile_edges(cut(value_counts(chart, features), "values"), bins)
+def quantile_bin(chart: DataFrame, features: list[str], bins: int = 5, strategy: str = "quantile") -> DataFrame:
+    """(pid, t, feature, value, bin) over present cells; ``strategy`` is a key of ``EDGES``."""
+    edges = EDGES[strategy](cut(value_counts(chart, features), "values"), bins)
     long = unpivot(chart, ["pid", "t"], features).filter(F.col("value").isNotNull())
     return with_bin(long, edges)
 
 
-def mutual_information(chart: DataFrame, features: list[str], bins: int = 5) -> DataFrame:
+def mutual_information(chart: DataFrame, features: list[str], bins: int = 5, strategy: str = "quantile") -> DataFrame:
     """(feature, mi, status), in nats. 0 for a feature with one value, NULL if it
     has fewer than ``2 * bins`` present rows or one class."""
     counts = cut(value_counts(chart, features), "values")
     table = (
-        with_bin(counts, quantile_edges(counts, bins))
+        with_bin(counts, EDGES[strategy](counts, bins))
         .groupBy("feature", "bin", "y")
         .agg(F.sum("n").alias("n"))
     )

@@ -9,11 +9,13 @@ from bedside.operators import evaluation as ev
 from bedside.operators import frequency as fq
 from bedside.operators import information as mi
 from bedside.operators import sequence as sq
+from bedside.operators import sketches as sk
 from bedside.operators import tabular as tb
 from bedside.plans import inputs, sql
 from bedside.plans.registry import q6, query, r6
 from bedside.plans.sequence_queries import HORIZON, TARGETS
 from bedside.plans.sql import with_preds, with_stay
+from bedside.session import cut, stored
 
 FEATURES = inputs.STAY_FEATURES
 # A two-valued feature next to the recorded ones: its equal quantile edges merge.
@@ -59,6 +61,20 @@ def quantile_bin(spark, sf_dir):
     return binned.select("pid", "t", "feature", r6("value"), "bin")
 
 
+@query("uniform_bin", with_stay(f"""{MI_CHART}, {MI_CELLS},
+sp AS (SELECT feature, min(value) AS low, max(value) AS high, count(DISTINCT value) AS d FROM mc GROUP BY feature),
+wd AS (SELECT *, greatest(2, least(5, d)) AS k, (high - low) / greatest(2, least(5, d)) AS width FROM sp),
+ed AS (SELECT feature, low + width * i AS edge FROM (SELECT *, unnest(range(1, k)) AS i FROM wd WHERE d > 1)),
+bn AS (SELECT mc.feature, mc.value, mc.y, (SELECT count(*) FROM ed WHERE ed.feature = mc.feature AND ed.edge <= mc.value) AS bin FROM mc)
+SELECT feature, CAST(bin AS INTEGER) AS bin, CAST(count(*) AS BIGINT) AS n, {q6('min(value)')} AS low, {q6('max(value)')} AS high FROM bn GROUP BY feature, bin"""))
+def uniform_bin(spark, sf_dir):
+    """The other strategy: bins of equal width, here counted."""
+    binned = mi.quantile_bin(mi_chart(spark, sf_dir), MI_FEATURES, strategy="uniform")
+    return binned.groupBy("feature", "bin").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.min("value"), "low"), r6(F.max("value"), "high")
+    )
+
+
 @query("distinct_counts", with_stay(f"""{MI_CHART}, c AS ({sql.long_form('mic', MI_FEATURES)})
 SELECT feature, CAST(count(DISTINCT value) AS BIGINT) AS distinct_values,
        CAST(count(DISTINCT CASE WHEN value IS NOT NULL THEN y END) AS BIGINT) AS classes FROM c GROUP BY feature"""))
@@ -79,6 +95,54 @@ def mi_order(spark, sf_dir):
     return mi.mi_order(scores.select("feature", r6("mi")))
 
 
+# --- sketches ----------------------------------------------------------------
+
+KINDS = ["click", "view", "purchase"]
+PROBS = [0.01, 0.25, 0.5, 0.75, 0.99]
+KIND_CELLS = "kc AS (SELECT event_type AS feature, value FROM events WHERE event_type IN ('click', 'view', 'purchase') AND value IS NOT NULL)"
+
+
+def monthly_sketches(spark, sf_dir):
+    """Sketches of the values of three kinds of event, stored per month; and the exact
+    counts they are held against."""
+    events = inputs.table(spark, sf_dir, "events")
+    chart = events.select("ts", *[F.when(F.col("event_type") == k, F.col("value")).alias(k) for k in KINDS])
+
+    def build():
+        month = F.date_format(F.col("ts"), "yyyy-MM")
+        return sk.sketch_parts(chart, KINDS, month)
+
+    parts = stored(spark, f"sketches:{sf_dir}", build)
+    counts = mi.value_counts(chart.withColumn("y", F.lit(1)), KINDS).select("feature", "value", "n")
+    return sk.merged(parts), counts
+
+
+@query("sketch_quantiles", f"""WITH {KIND_CELLS}
+SELECT feature, CAST(prob AS DOUBLE) AS prob, CAST(count(*) AS BIGINT) AS n, 1 AS within
+FROM kc, (SELECT unnest({PROBS}) AS prob) GROUP BY feature, prob""")
+def sketch_quantiles(spark, sf_dir):
+    """Quantiles of all months from stored sketches; ``within``: the rank error, taken
+    from all values, is within the bound."""
+    whole, counts = monthly_sketches(spark, sf_dir)
+    found = cut(sk.sketched_quantiles(whole, PROBS), "quantiles")
+    errors = sk.rank_distance(counts, found)
+    return found.select("feature", "prob", "n").join(F.broadcast(errors), ["feature", "prob"]).select(
+        "feature", "prob", "n", (F.col("error") <= sk.rank_error()).cast("int").alias("within")
+    )
+
+
+@query("sketch_distinct", f"""WITH {KIND_CELLS}
+SELECT feature, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT value) AS BIGINT) AS exact, 1 AS within FROM kc GROUP BY feature""")
+def sketch_distinct(spark, sf_dir):
+    """Distinct values by merged sketches beside the exact counts."""
+    whole, counts = monthly_sketches(spark, sf_dir)
+    exact = cut(counts.groupBy("feature").agg(F.count(F.lit(1)).alias("exact")), "exact")
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.col("exact") * sk.distinct_error()
+    return sk.sketched_distinct(whole).join(F.broadcast(exact), "feature").select(
+        "feature", "n", "exact", near.cast("int").alias("within")
+    )
+
+
 # --- mixture functions -------------------------------------------------------
 
 
