@@ -131,6 +131,22 @@ def mixed_format_union(spark, sf_dir):
     return rows.select("file", "t", *[r6(f) for f in FEATURES], F.col(LABEL).alias("y"))
 
 
+@query("quoted_records", with_stay("""SELECT pid, t, CASE t % 3 WHEN 0 THEN 'hour "' || t || '", of' || chr(10) || 'patient ' || pid
+  WHEN 1 THEN 'a,b' ELSE '' END AS note, CAST(y AS VARCHAR) AS outcome FROM stay"""))
+def quoted_records(spark, sf_dir):
+    """Notes with commas, quotes and line ends, written as quoted cells and read back."""
+    chart = inputs.stay(spark, sf_dir)
+    hour, pid = F.col("t").cast("string"), F.col("pid").cast("string")
+    long = F.concat(F.lit('hour "'), hour, F.lit('", of\npatient '), pid)
+    note = F.when(F.col("t") % 3 == 0, long).when(F.col("t") % 3 == 1, "a,b").otherwise("")
+    cell = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    path = new_path(spark, "notes")
+    name = F.concat(F.lit("q"), pid, F.lit(".csv"))
+    sinks.write_patient_files(chart.withColumn("note", cell), path, {"note": "note", "y": LABEL}, name, ",")
+    rows = pf.read_text_by_name(pf.ingest_records(spark, path), ["note", LABEL])
+    return rows.select(pid_of_file(), "t", "note", LABEL)
+
+
 def extract(spark, sf_dir):
     """Folder of the extracted patients and the check of their number."""
     path = new_path(spark, "positive")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from bedside.functions.cells import cell_present, label_is_one, split_line, to_number, trimmed
 from bedside.operators.blocks import number_rows, prefix_sums
 from bedside.session import cut
+from bedside.sources.quoted import quoted_records, split_cells
 
 PLACE = ["file", "chunk", "split"]
 
@@ -33,6 +34,11 @@ def ingest_lines(spark: SparkSession, path: str | list[str], pattern: str = r"^p
     return cut(placed_lines(spark, path, pattern), "lines")
 
 
+def ingest_records(spark: SparkSession, path: str | list[str], pattern: str = r"\.(psv|csv)$") -> DataFrame:
+    """The same with records of quoted cells over several lines as one line each."""
+    return cut(quoted_records(ingest_lines(spark, path, pattern)), "records")
+
+
 def placed_lines(spark: SparkSession, path: str | list[str], pattern: str = r"^p.*\.psv$") -> DataFrame:
     """(file, chunk, split, pos, value) of the files whose name matches.
 
@@ -141,8 +147,9 @@ def limit_files(lines: DataFrame, limit: int | None) -> DataFrame:
 
 
 def delimiter_split(line: Column) -> Column:
-    """Split by the file's kind: ``|`` for .psv, a comma for .csv."""
-    return F.when(F.col("file").endswith(".psv"), split_line(line)).otherwise(split_line(line, ","))
+    """Split by the file's kind: ``|`` for .psv, a comma outside quoted cells for .csv."""
+    plain = F.when(F.contains(line, F.lit('"')), split_cells(trimmed(line))).otherwise(split_line(line, ","))
+    return F.when(F.col("file").endswith(".psv"), split_line(line)).otherwise(plain)
 
 
 def _splits(lines: DataFrame) -> DataFrame:
