@@ -18,6 +18,7 @@ from bedside.plans.score_queries import MI_FEATURES, SCORES, mi_chart
 from bedside.plans.sequence_queries import stats_sql
 from bedside.plans.sql import with_stay
 from bedside.session import cut, new_path, shared_dir, stored
+from bedside.sources import incremental as inc
 from bedside.sources import patient_files as pf
 from bedside.sources import sinks
 
@@ -265,3 +266,27 @@ def keyed_materialise(spark, sf_dir):
     return table.agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("rows")).withColumn(
         "reused", F.lit(int(reused))
     )
+
+
+@query("incremental_materialise", with_stay("""SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(DISTINCT pid) AS BIGINT) AS patients,
+  CAST(sum(y) AS BIGINT) AS positives, 1 AS rebuilt FROM stay"""))
+def incremental_materialise(spark, sf_dir):
+    """A table built while the first file lacked its last line, then refreshed from all
+    files: one part is built again."""
+    source = lines(spark, sf_dir)
+    first = source.agg(F.min("file")).scalar()
+    mine = F.col("file") == first
+    whole = source.filter(mine)
+    end = whole.select(F.max(F.struct("chunk", "split", "pos"))).scalar()
+    shorter = source.filter(~mine | (F.struct("chunk", "split", "pos") != end))
+    folder = new_path(spark, "following")
+
+    def build(rows):
+        return pf.read_by_name(rows, HEADER)
+
+    inc.refresh(shorter, folder, build, {"columns": ",".join(HEADER)})
+    rebuilt = inc.refresh(source, folder, build, {"columns": ",".join(HEADER)})
+    return inc.current_table(spark, folder).agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("file").alias("patients"),
+        F.sum(LABEL).cast("long").alias("positives"),
+    ).withColumn("rebuilt", F.lit(len(rebuilt)))
