@@ -242,13 +242,13 @@ def class_distribution_split(spark, sf_dir):
 # --- classifiers -------------------------------------------------------------
 
 # What SQL can say of the result of a classifier it cannot fit: which rows were scored,
-# and that the metrics are those of the confusion counts. ``classifier_report`` has the
-# metrics themselves; that signal is found is tested on rows made with one.
-SCORED_ROWS = "CAST((SELECT count(*) FROM test) AS BIGINT) AS test_rows, CAST((SELECT sum(y) FROM test) AS BIGINT) AS positives, 1 AS consistent"
+# that the metrics are those of the confusion counts, and that the area shows the signal
+# of the rows. ``classifier_report`` has the metrics themselves.
+SCORED_ROWS = "CAST((SELECT count(*) FROM test) AS BIGINT) AS test_rows, CAST((SELECT sum(y) FROM test) AS BIGINT) AS positives, 1 AS consistent, 1 AS signal"
 
 
 def checked(by_model):
-    """(model, test_rows, positives, consistent) of predictions by model."""
+    """(model, test_rows, positives, consistent, signal) of predictions by model."""
     rows = [df.select(F.lit(name).alias("model"), "y", "pred") for name, df in by_model.items()]
     counts = ev.confusion_matrix(reduce(DataFrame.unionByName, rows), by=["model"]).groupBy("model").agg(
         *[F.max(F.when(F.col("label") == i, F.col(f"pred_{j}"))).alias(f"c{i}{j}") for i in (0, 1) for j in (0, 1)]
@@ -265,7 +265,7 @@ def checked(by_model):
     )
     return md.metrics_of(by_model).join(cut(counts, "counts"), "model").select(
         "model", n.alias("test_rows"), (fn + tp).alias("positives"),
-        agrees.cast("int").alias("consistent"),
+        agrees.cast("int").alias("consistent"), (F.col("auc") > 0.5).cast("int").alias("signal"),
     )
 
 
@@ -407,7 +407,7 @@ def tabular_classification(spark, sf_dir):
     final = cut(rb.balanced(augmented, FEATURES), "final")
     sizes = tb.one_row(final.agg(F.sum(1 - F.col("y")).alias("zeros"), F.sum("y").alias("ones")))
     done, failed = md.all_predictions(final, test, FEATURES)
-    return with_errors(checked(done), failed).withColumn("_n", sizes).select(
+    return with_errors(checked(done).drop("signal"), failed).withColumn("_n", sizes).select(
         "model", "test_rows", "positives", "consistent",
         F.col("_n.zeros").alias("train_negatives"), F.col("_n.ones").alias("train_positives"), "error",
     )
