@@ -147,8 +147,38 @@ def _time_of_lap(knots: tuple):
     return time
 
 
+def _training_order() -> list[Column]:
+    """Copies by position; the hash of the row and the lap settle ties."""
+    return [F.col("position"), F.xxhash64("row"), F.col("copy")]
+
+
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy with the columns of the input, range-sorted by position."""
     copies = mixed.select("row", F.posexplode("positions").alias("copy", "position"))
-    order = [F.col("position"), F.xxhash64("row"), F.col("copy")]
+    order = _training_order()
     return copies.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")
+
+
+def mix_in_order(docs: DataFrame, size: Column, **options) -> DataFrame:
+    """Every document with what the curriculum takes of it, read from the training order.
+
+    :func:`mix` gives copies their positions, a range sort by position lays all copies
+    in training order, and running totals over it say where each begins. Returns
+    ``row``, ``size``, ``source_size``, ``target``, ``taken`` (words of its copies there),
+    ``positions`` and ``starts``: words trained on before each of its copies. ``docs``
+    should hold narrow columns, since copies are sorted with them.
+    """
+    mixed = cut(mix(docs, size, **options).withColumn("_at", F.monotonically_increasing_id()), "mixed")
+    copies = mixed.select(
+        "row", "size", "source_size", "target", "_at", F.posexplode_outer("positions").alias("copy", "position")
+    ).withColumn("words", F.when(F.col("copy").isNotNull(), F.col("size")).otherwise(F.lit(0)))
+    places = prefix_sums(copies, _training_order(), "words", "training-order")
+    place = F.when(F.col("copy").isNotNull(), F.struct("copy", "position", "before"))
+    found = places.groupBy("_at").agg(
+        *[F.first(c).alias(c) for c in ("row", "size", "source_size", "target")],
+        F.sum("words").alias("taken"), F.sort_array(F.collect_list(place)).alias("places"),
+    )
+    return found.select(
+        "row", "size", "source_size", "target", "taken",
+        F.col("places.position").alias("positions"), F.col("places.before").alias("starts"),
+    )

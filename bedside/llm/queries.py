@@ -123,11 +123,10 @@ def hilbert_sharding(spark, sf_dir):
 @query("op10_curriculum_mixing")
 def curriculum_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("n"))
-    mixed = mixing.mix(docs, F.col("n"))
+    mixed = mixing.mix_in_order(docs, F.col("n"))
     return mixed.select(
-        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target",
-        (F.col("size") * F.size("positions")).alias("taken"),
-        F.get("positions", F.lit(0)).alias("first_position"),
+        F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken",
+        F.get("positions", F.lit(0)).alias("first_position"), F.get("starts", F.lit(0)).alias("first_start"),
     )
 
 
