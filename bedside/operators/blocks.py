@@ -8,6 +8,9 @@ Patients shorter than one block, nearly all of them, take one shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BLOCK = 1 << 16
@@ -43,13 +46,25 @@ def prefix_sums(sizes: DataFrame, key: list[str], blocks: list[str], weights: li
 
 
 def number_rows(
-    df: DataFrame, key: list[str], order: list[str], blocks: list[Column], out: str = "t"
+    df: DataFrame, key: list[str], order: list[str], blocks: list[Column], out: str = "t", size: int = BLOCK
 ) -> DataFrame:
     """Number the rows of each key 0, 1, 2 ... by ``order``.
 
-    ``blocks`` are expressions that never decrease along ``order``, coarse to
-    fine (a month, then a day): only rows of one block are sorted together.
+    Keys of at most ``size`` rows are sorted whole, with one shuffle of the rows. For
+    longer ones ``blocks`` are expressions that never decrease along ``order``, coarse to
+    fine (a month, then a day): only rows of one block are sorted together. Rows with a
+    NULL in the key or a block are counted but left out.
     """
+    whole = df.dropna(subset=key)
+    # At most one key per ``size`` rows, so the list is small by count.
+    long_keys = F.broadcast(whole.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size).select(*key))
+    inside = Window.partitionBy(*key).orderBy(*order)
+    short = whole.join(long_keys, key, "left_anti").withColumn(out, F.row_number().over(inside) - 1)
+    short = short.filter(reduce(and_, [b.isNotNull() for b in blocks]))
+    return short.unionByName(_number_by_blocks(whole.join(long_keys, key, "left_semi"), key, order, blocks, out))
+
+
+def _number_by_blocks(df: DataFrame, key: list[str], order: list[str], blocks: list[Column], out: str) -> DataFrame:
     names = [f"_b{i}" for i in range(len(blocks))]
     tagged = df.withColumns(dict(zip(names, blocks)))
     sizes = tagged.groupBy(*key, *names).agg(F.count(F.lit(1)).alias("n"))

@@ -43,32 +43,38 @@ def stay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, f"stay:{sf_dir}", lambda: build_stay(table(spark, sf_dir, "events")))
 
 
-def build_items(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
+ITEM_COLUMNS = ["qty", "price", "disc", "tax", "qf", "y"]
+
+
+def build_items(lineitem: DataFrame, orders: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Line items of a customer as one long chart, numbered by ship date and by
     range of order keys within a date. The join is written once, since numbering
-    reads it twice."""
-    lines = lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("o_custkey").cast("long").alias("pid"),
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
-        F.col("l_quantity").alias("qty"),
-        F.col("l_extendedprice").alias("price"),
-        F.expr("nullif(l_discount, 0)").alias("disc"),
-        F.expr("nullif(l_tax, 0)").alias("tax"),
-        F.when(F.col("l_linestatus") == "F", F.col("l_quantity")).alias("qf"),
-        F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("y"),
-    )
+    reads it twice. ``columns`` are made before the join, so it and the numbering carry
+    these and the order alone."""
+    made = {
+        "qty": F.col("l_quantity"),
+        "price": F.col("l_extendedprice"),
+        "disc": F.expr("nullif(l_discount, 0)"),
+        "tax": F.expr("nullif(l_tax, 0)"),
+        "qf": F.when(F.col("l_linestatus") == "F", F.col("l_quantity")),
+        "y": F.when(F.col("l_returnflag") == "R", 1).otherwise(0),
+    }
+    columns = columns or ITEM_COLUMNS
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    blocks = [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / (1 << 20))]
-    return number_rows(cut(lines, "lines"), ["pid"], order, blocks).select(
-        "pid", "t", "qty", "price", "disc", "tax", "qf", "y"
+    narrow = lineitem.select(*order, *[made[c].alias(c) for c in columns])
+    lines = narrow.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.col("o_custkey").cast("long").alias("pid"), *order, *columns
     )
+    blocks = [F.col("l_shipdate"), F.floor(F.col("l_orderkey") / (1 << 20))]
+    return number_rows(cut(lines, "lines"), ["pid"], order, blocks).select("pid", "t", *columns)
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def items(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The chart of line items, or a narrower one with the ``columns`` asked for."""
     return stored(
         spark,
-        f"items:{sf_dir}",
-        lambda: build_items(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")),
+        f"items:{sf_dir}:{','.join(columns or ITEM_COLUMNS)}",
+        lambda: build_items(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"), columns),
     )
 
 

@@ -148,7 +148,7 @@ ITEM_GAPS = ["disc", "tax", "qf"]
     for f in ITEM_GAPS)} FROM items"""))
 def locf_items(spark, sf_dir):
     """Last value and gap of three sparse columns over all line items."""
-    walked = with_last_observed(inputs.items(spark, sf_dir), ITEM_GAPS)
+    walked = with_last_observed(inputs.items(spark, sf_dir, ITEM_GAPS), ITEM_GAPS)
     return walked.select(
         "pid", "t",
         *[F.coalesce(f"last_{f}", F.lit(0.0)).alias(f) for f in ITEM_GAPS],
