@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from bedside.functions.mixture import bce_with_logits, sigmoid, softmax
 from bedside.operators.ranking import one_row
+from bedside.session import new_path
 
 ENOUGH = 1e-7  # rise of the mean log likelihood at which steps end
 
@@ -103,42 +104,72 @@ class Sums:
     gate_bend: np.ndarray  # curvature of the gate, all its weights by all
 
 
-def _batch_sums(model: Mixture, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The sums over one batch of rows, one after another, the number of rows first."""
-    a, b = x @ model.gate.T, x @ model.parts.T
-    log_gate = a - np.logaddexp.reduce(a, axis=1, keepdims=True)
-    joint = log_gate - np.maximum(b, 0) + b * y[:, None] - np.log1p(np.exp(-np.abs(b)))
-    fit = np.logaddexp.reduce(joint, axis=1, keepdims=True)
-    g, r = np.exp(log_gate), np.exp(joint - fit)
-    p = np.exp(-np.logaddexp(0, -b))
-    ks, width = range(len(model.parts)), x.shape[1]
-
-    def products(weight: np.ndarray) -> np.ndarray:
-        return (x * weight[:, None]).T @ x
-
-    both = np.zeros((len(ks), width, len(ks), width))
-    for k in ks:
-        for m in range(k):
-            shared = products(g[:, k] * g[:, m])
-            both[k, :, m], both[m, :, k] = -shared, -shared
-            both[k, :, k] += shared
-            both[m, :, m] += shared
+def _log_sums(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per column the log of the sum of exponentials, and each row's share of the sum."""
+    most = logits.max(axis=0)
+    shares = np.exp(logits - most)
+    total = shares.sum(axis=0)
+    return most + np.log(total), shares / total
+
+
+def _pairs(x: np.ndarray) -> np.ndarray:
+    """Products of the inputs, (weight, row), for each pair once; the same for all models."""
+    return np.concatenate([x[i] * x[i:] for i in range(len(x))])
+
+
+def _batch_sums(model: Mixture, x: np.ndarray, pairs: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The sums over one batch of rows, one after another, the number of rows first. Rows
+    lie along the last axis of ``x`` and ``pairs``, so every step runs over whole columns
+    and all products of inputs come from one matrix product."""
+    (parts, width), a, b = model.gate.shape, model.gate @ x, model.parts @ x
+    log_total, g = _log_sums(a)
+    tail = np.exp(-np.abs(b))
+    joint = a - log_total - np.maximum(b, 0) + b * y - np.log1p(tail)
+    fit, r = _log_sums(joint)
+    p = np.where(b >= 0, 1.0, tail) / (1.0 + tail)
+    bends = r * p * (1 - p)
+    lower = [(k, m) for k in range(parts) for m in range(k)]
+    shared = [g[k] * g[m] for k, m in lower]
+    sums = np.vstack([r, bends, *shared]) @ pairs.T
+    first, second = np.triu_indices(width)
+    products = np.empty((len(sums), width, width))
+    products[:, first, second] = products[:, second, first] = sums
+    both = np.zeros((parts, width, parts, width))
+    for (k, m), found in zip(lower, products[2 * parts:]):
+        both[k, :, m], both[m, :, k] = -found, -found
+        both[k, :, k] += found
+        both[m, :, m] += found
     found = [
-        len(y), fit.sum(), (r - g).T @ x, (r * (y[:, None] - p)).T @ x,
-        np.array([products(r[:, k]) for k in ks]),
-        np.array([products(r[:, k] * p[:, k] * (1 - p[:, k])) for k in ks]), both,
+        len(y), fit.sum(), (r - g) @ x.T, (r * (y - p)) @ x.T,
+        products[:parts], products[parts : 2 * parts], both,
     ]
     return np.concatenate([np.ravel(f) for f in found])
 
 
-def _task_sums(models: list[Mixture], features: tuple[str, ...], label: str):
-    """The sums of each model over the rows of one task as (model, slot, value)."""
+def _packed(rows: DataFrame, features: list[str], label: str) -> DataFrame:
+    """The rows as written blocks of numbers (``data``: inputs, then the label, a column
+    after the other), so that a scan hands over blocks and not rows. They are not
+    compressed: what a task reads of a file then bounds what it holds."""
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                columns = [batch.column(c).to_numpy(zero_copy_only=False).astype("<f8") for c in (*features, label)]
+                yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(columns).tobytes()], pa.binary())], names=["data"])
+
+    path = new_path(rows.sparkSession, "packed")
+    rows.select(*features, label).dropna().mapInArrow(pack, "data binary").write.option("compression", "none").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def _task_sums(models: list[Mixture], inputs: int):
+    """The sums of each model over the blocks of one task as (model, slot, value)."""
     def run(batches):
         totals = None
-        for batch in batches:
-            columns = [batch.column(f).to_numpy(zero_copy_only=False) for f in (*features, label)]
-            x = np.column_stack([*columns[:-1], np.ones(len(columns[0]))]).astype(float)
-            found = np.array([_batch_sums(m, x, columns[-1].astype(float)) for m in models])
+        for block in (block for batch in batches for block in batch.column("data")):
+            numbers = np.frombuffer(block.as_buffer(), "<f8").reshape(inputs + 1, -1)
+            x, y = np.vstack([numbers[:-1], np.ones(numbers.shape[1])]), numbers[-1]
+            pairs = _pairs(x)
+            found = np.array([_batch_sums(m, x, pairs, y) for m in models])
             totals = found if totals is None else totals + found
         if totals is not None:
             which, slot = np.indices(totals.shape, dtype=np.int32)
@@ -150,11 +181,15 @@ def _task_sums(models: list[Mixture], features: tuple[str, ...], label: str):
 
 
 def _sums(rows: DataFrame, models: list[Mixture], label: str) -> list[Sums]:
+    """The sums of each model over rows that are not packed yet."""
+    return _block_sums(_packed(rows, list(models[0].features), label), models)
+
+
+def _block_sums(blocks: DataFrame, models: list[Mixture]) -> list[Sums]:
     """The sums of each model; one scan for all, added up by Spark."""
-    features, (parts, width) = models[0].features, models[0].gate.shape
+    parts, width = models[0].gate.shape
     found = (
-        rows.select(*features, label)
-        .mapInArrow(_task_sums(models, features, label), "model int, slot int, value double")
+        blocks.mapInArrow(_task_sums(models, width - 1), "model int, slot int, value double")
         .groupBy("model", "slot").agg(F.sum("value").alias("value")).collect()
     )
     if not found:
@@ -206,7 +241,7 @@ class _Climb:
     done: bool = False
 
 
-def _advance(rows, climbs, label, penalty, steps, enough) -> None:
+def _advance(blocks, climbs, penalty, steps, enough) -> None:
     """Up to ``steps`` scans. A step that would lower the goal is not taken; the bounds
     decide the next one, and if that fails too, only rounding is left."""
     for _ in range(steps):
@@ -214,7 +249,7 @@ def _advance(rows, climbs, label, penalty, steps, enough) -> None:
         if not going:
             break
         wanted = [_moved(c.model, c.sums, penalty, c.newton) for c in going]
-        for c, model, sums in zip(going, wanted, _sums(rows, wanted, label)):
+        for c, model, sums in zip(going, wanted, _block_sums(blocks, wanted)):
             goal = _goal(model, sums, penalty)
             if goal >= c.goals[-1]:
                 c.done = goal - c.goals[-1] < enough
@@ -231,15 +266,15 @@ def fit_mixture(
     """The mixture and the goal (mean log likelihood less the penalty on the weights)
     before and after each step of the start that was kept.
 
-    ``rows`` should be written, since each step scans the features and the label
-    once; numpy adds up each batch, and a step sends one set of sums to the driver.
+    ``rows`` are packed into written blocks once; each step scans these, numpy adds up
+    each block, and a step sends one set of sums to the driver.
     Rows with a NULL in a feature or the label take no part. All starts take ``warm``
     steps in the same scans, the best goes on.
     """
-    known = rows.select(*features, label).dropna()
+    blocks = _packed(rows, features, label)
     models = [Mixture.start(features, parts, seed + i) for i in range(starts)]
-    climbs = [_Climb(m, s, [_goal(m, s, penalty)]) for m, s in zip(models, _sums(known, models, label))]
-    _advance(known, climbs, label, penalty, warm, 0.0)
+    climbs = [_Climb(m, s, [_goal(m, s, penalty)]) for m, s in zip(models, _block_sums(blocks, models))]
+    _advance(blocks, climbs, penalty, warm, 0.0)
     best = max(climbs, key=lambda c: c.goals[-1])
-    _advance(known, [best], label, penalty, steps, ENOUGH)
+    _advance(blocks, [best], penalty, steps, ENOUGH)
     return best.model, best.goals
