@@ -16,9 +16,11 @@ from bedside.functions.mixture import squared_distance
 from bedside.session import cut
 
 LEAF = 8  # points up to which a box is not split
+NEAR_LEAF = 64  # the same for nearest neighbours, where a query needs ``k`` points of one leaf
 FAN = 8  # parts a box is split into, about; a power of two
+NEAR_FAN = 16  # the same for nearest neighbours: fewer levels, each a scan of all points
 SMALL = 4096  # boxes up to which a level is sent to every task
-STEPS = 2  # levels a join goes down before it is written
+STEPS = 2  # levels a radius join, or one row per query, goes down before it is written
 ACCURACY = 256  # of the quantiles boxes are split at
 
 
@@ -97,30 +99,31 @@ def box_tree(points: DataFrame, features: list[str], leaf: int = LEAF, fan: int
         )
 
 
-def _corners(features: list[str]) -> tuple[Column, Column]:
+def _corners(features: list[str], bound=F.col) -> tuple[Column, Column]:
     """Squared distance of the nearest and of the farthest corner of a box. Rounding
     is monotone, so they bound the distances to its points as computed."""
     inner, outer = F.lit(0.0), F.lit(0.0)
     for f in features:
-        below, above = F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}")
+        below, above = bound(f"lo_{f}") - F.col(f), F.col(f) - bound(f"hi_{f}")
         gap, far = F.greatest(below, above, F.lit(0.0)), F.greatest(F.abs(below), F.abs(above))
         inner, outer = inner + gap * gap, outer + far * far
     return inner, outer
 
 
-def _met(open_: DataFrame, level: tuple[DataFrame, int], key: str, features: list[str], done: Column) -> DataFrame:
-    """Rows (``key``, features, box, its number of points, corners): the children of
-    the boxes each open row still has; leaves and rows that are ``done`` stay."""
+def _met(open_: DataFrame, level: tuple[DataFrame, int], keys: list[str], features: list[str], done: Column) -> DataFrame:
+    """Rows (``keys``, features, box, its number of points, corners): the children of
+    the boxes each open row still has; leaves, which have none, and rows that are
+    ``done`` stay."""
     inner, outer = _corners(features)
     boxes, number = level
     children = _level(boxes.select(
         "_parent", F.col("_box").alias("_child"), F.col("_n").alias("_child_n"), F.col("_leaf").alias("_child_leaf"), *_bounds(features)
     ), number)
-    asked = open_.withColumn("_parent", F.when(~(F.col("_leaf") | done), F.col("_box")))
+    asked = open_.withColumn("_parent", F.when(~done, F.col("_box")))
     met = asked.join(children, "_parent", "left")
     opened = F.col("_child").isNotNull()
     return met.select(
-        key, *features,
+        *keys, *features,
         F.coalesce("_child", "_box").alias("_box"), F.coalesce("_child_n", "_n").alias("_n"),
         F.coalesce("_child_leaf", "_leaf").alias("_leaf"),
         F.when(opened, inner).otherwise(F.col("_inner")).alias("_inner"),
@@ -128,19 +131,19 @@ def _met(open_: DataFrame, level: tuple[DataFrame, int], key: str, features: lis
     )
 
 
-def _at_root(rows: DataFrame, key: str, features: list[str]) -> DataFrame:
+def _at_root(rows: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """Rows above the root, written: as constants the box would be no key to join on."""
     start = {"_box": F.lit(""), "_n": F.lit(0).cast("long"), "_leaf": F.lit(False), "_inner": F.lit(0.0), "_outer": F.lit(float("inf"))}
-    return cut(rows.select(key, *features).withColumns(start), "start")
+    return cut(rows.select(*keys, *features).withColumns(start), "start")
 
 
 def radius_leaves(candidates: DataFrame, tree: BoxTree, features: list[str], radius: float) -> tuple[DataFrame, DataFrame]:
     """(leaves, inside): the boxes in which points within ``radius`` of a candidate
     (``det_id``) may lie, and the candidates that hold a whole box in their ball."""
     limit = radius * radius
-    open_, inside = _at_root(candidates, "det_id", features), None
+    open_, inside = _at_root(candidates, ["det_id"], features), None
     for number, level in enumerate(tree.levels, 1):
-        open_ = _met(open_, level, "det_id", features, F.col("_outer") <= limit).filter(F.col("_inner") <= limit)
+        open_ = _met(open_, level, ["det_id"], features, F.col("_outer") <= limit).filter(F.col("_inner") <= limit)
         if number % STEPS == 0 or number == len(tree.levels):
             met = cut(open_, "met")
             sure = met.filter(F.col("_outer") <= limit).select("det_id").distinct()
@@ -189,33 +192,61 @@ def radius_flag(df: DataFrame, detectors: DataFrame, features: list[str], radius
     ).drop("_far")
 
 
+def home_leaves(queries: DataFrame, tree: BoxTree, features: list[str], k: int) -> DataFrame:
+    """(``_query``, features, ``_box``, ``_limit``): a leaf near each query and a squared
+    distance within which ``k`` points are certain, NULL if there are fewer points.
+
+    A query goes to the nearest child of ``k`` points or more, and stays one row: the
+    children of a box, a few, lie in one row. The farthest corners on the way and the
+    kth distance in the leaf are such distances.
+    """
+    start = {"_box": F.lit(""), "_limit": F.lit(None).cast("double")}
+    at = cut(queries.select("_query", *features).withColumns(start), "start")
+
+    def met(box: Column) -> Column:
+        inner, outer = _corners(features, lambda name: box[name])
+        return F.struct((box["_n"] < k).alias("few"), inner.alias("inner"), outer.alias("outer"), box["_box"].alias("box"))
+
+    for number, (boxes, count) in enumerate(tree.levels, 1):
+        children = boxes.groupBy("_parent").agg(F.collect_list(F.struct("_box", "_n", *_bounds(features))).alias("_children"))
+        asked = at.withColumnRenamed("_box", "_parent").join(_level(children, count), "_parent", "left")
+        at = asked.withColumn("_next", F.array_min(F.transform("_children", met))).select(
+            "_query", *features, F.coalesce("_next.box", "_parent").alias("_box"),
+            F.least("_limit", F.when(~F.col("_next.few"), F.col("_next.outer"))).alias("_limit"),
+        )
+        if number % STEPS == 0 or number == len(tree.levels):
+            at = cut(at, "home")
+    held = tree.points.groupBy("_box").agg(F.collect_list(F.array(*features)).alias("_held"))
+    distances = F.transform("_held", lambda v: squared_distance([(F.col(f), v[i]) for i, f in enumerate(features)]))
+    kth = F.get(F.array_sort(distances), F.lit(k - 1))
+    return at.join(held, "_box", "left").select("_query", *features, "_box", F.least("_limit", kth).alias("_limit"))
+
+
 def nearest_leaves(queries: DataFrame, tree: BoxTree, features: list[str], k: int) -> DataFrame:
     """The leaves that can hold one of the ``k`` nearest points of each query
     (``_query``, features), with ``_limit``: the squared distance within which ``k``
-    points are certain, from the farthest corners of the boxes met so far."""
-    query = Window.partitionBy("_query")
-    sure = F.sum(F.least("_n", F.lit(k))).over(query.orderBy("_outer").rowsBetween(Window.unboundedPreceding, 0))
-    reach = F.min(F.when(F.col("_sure") >= k, F.col("_outer"))).over(query)
-    open_ = _at_root(queries, "_query", features)
-    for number, level in enumerate(tree.levels, 1):
-        met = _met(open_, level, "_query", features, F.lit(False)).withColumn("_sure", sure).withColumn("_limit", reach)
-        open_ = met.filter(F.col("_limit").isNull() | (F.col("_inner") <= F.col("_limit"))).drop("_sure")
-        if number % STEPS == 0 or number == len(tree.levels):
-            open_ = cut(open_, "met")
+    points are certain. It is known before the query opens its first box, so
+    that few boxes are open at any level."""
+    keys = ["_query", "_limit"]
+    open_ = _at_root(home_leaves(queries, tree, features, k), keys, features)
+    # Written at each level: the code of two levels in one stage is too long to be compiled.
+    for level in tree.levels:
+        met = _met(open_, level, keys, features, F.lit(False))
+        open_ = cut(met.filter(F.col("_limit").isNull() | (F.col("_inner") <= F.col("_limit"))), "met")
     return open_
 
 
 def nearest(
-    queries: DataFrame, points: DataFrame, features: list[str], k: int, payload: str = "y", leaf: int = LEAF,
+    queries: DataFrame, points: DataFrame, features: list[str], k: int, payload: str = "y", leaf: int = NEAR_LEAF,
 ) -> DataFrame:
     """(features, ``neighbours``) per distinct query vector: its ``k`` nearest
     points as sorted structs (d2, id, payload, v), ties by id. Exact.
 
-    Queries go down a tree of boxes and drop boxes that cannot hold one of the ``k``
-    nearest. Then a query looks into its nearest leaf, which gives a closer bound in
-    most cases, and into the other leaves within that bound. Of equal points only the
-    first ``k`` ids are kept, equal queries are asked once. Each level is written to
-    the shared folder, so a lost executor repeats part of one level.
+    A query looks into one leaf near it, which bounds the distance of its ``k`` nearest
+    points. Then it goes down the tree of boxes, drops those beyond the bound and looks
+    into the leaves that are left. Of equal points only the first ``k`` ids are kept,
+    equal queries are asked once. Levels are written to the shared folder, so a lost
+    executor repeats part of one or two.
     """
     first = Window.partitionBy(*features).orderBy("id")
     usable = (
@@ -224,7 +255,7 @@ def nearest(
         .filter(F.col("_copy") <= k)
         .drop("_copy")
     )
-    tree = box_tree(usable, features, max(leaf, k))
+    tree = box_tree(usable, features, max(leaf, k), NEAR_FAN)
     asked = cut(queries.select(*features).distinct().withColumn("_query", F.monotonically_increasing_id()), "queries")
     if not tree.levels[0][1]:
         kind = points.schema["id"].dataType.simpleString()
@@ -234,21 +265,9 @@ def nearest(
     here = tree.points.select("_box", "id", payload, F.array(*features).alias("v"), *[F.col(f).alias(f"p_{f}") for f in features])
     d2 = squared_distance([(F.col(f), F.col(f"p_{f}")) for f in features])
     best = Window.partitionBy("_query").orderBy("d2", "id")
-
-    def closest(rows: DataFrame) -> DataFrame:
-        measured = rows.join(here, "_box").withColumn("d2", d2).select("_query", "_limit", "d2", "id", payload, "v")
-        inside = measured.filter(F.col("_limit").isNull() | (F.col("d2") <= F.col("_limit")))
-        return inside.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
-
-    home = cut(leaves.groupBy("_query").agg(F.min_by("_box", F.struct("_inner", "_outer", "_box")).alias("_box")), "home")
-    first = cut(closest(leaves.join(home, ["_query", "_box"], "left_semi")), "first")
-    kth = first.filter(F.col("_rank") == k).select("_query", F.col("d2").alias("_kth"))
-    others = leaves.join(home, ["_query", "_box"], "left_anti").join(kth, "_query", "left")
-    others = others.withColumn("_limit", F.least("_limit", "_kth")).filter(
-        F.col("_limit").isNull() | (F.col("_inner") <= F.col("_limit"))
-    )
-    both = first.unionByName(closest(others)).drop("_rank", "_limit")
-    ranked = both.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
+    measured = leaves.join(here, "_box").withColumn("d2", d2)
+    inside = measured.filter(F.col("_limit").isNull() | (F.col("d2") <= F.col("_limit"))).select("_query", "d2", "id", payload, "v")
+    ranked = inside.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k)
     found = ranked.groupBy("_query").agg(F.array_sort(F.collect_list(F.struct("d2", "id", payload, "v"))).alias("neighbours"))
     return asked.join(cut(found, "found"), "_query").drop("_query")
 
