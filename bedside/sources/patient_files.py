@@ -215,7 +215,7 @@ def read_by_name(lines: DataFrame, wanted: list[str]) -> DataFrame:
     rows = data_lines(lines).filter("NOT blank").select(
         *PLACE, "pos", *[to_number(_named(c)).alias(c) for c in wanted]
     )
-    return number_rows(rows, ["file"], ["pos"], [F.col("chunk"), F.col("split")]).select(
+    return number_rows(rows, ["file"], ["chunk", "split", "pos"], [F.col("chunk"), F.col("split")]).select(
         "file", "t", *wanted
     )
 
